@@ -7,6 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 
 from plumbline.llm.decontamination import find_contamination
+from plumbline.llm.packing import pack_documents
 from plumbline.llm.quality_rules import judge_quality
 from plumbline.llm.runtime import table
 from plumbline.llm.token_counts import count_tokens
@@ -32,6 +33,10 @@ def op1_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
     return find_contamination(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
 
 
+def op3_pack_sequences(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pack_documents(table(spark, sf_dir, "documents"), tokenizer_path())
+
+
 def op4_url_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return judge_urls(table(spark, sf_dir, "pages"), RULES)
 
@@ -46,6 +51,7 @@ def op10_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_decontaminate": op1_decontaminate,
+    "op3_pack_sequences": op3_pack_sequences,
     "op4_url_rules": op4_url_rules,
     "op7_token_counts": op7_token_counts,
     "op10_quality_rules": op10_quality_rules,
