@@ -10,6 +10,7 @@ from plumbline.llm.decontamination import find_contamination
 from plumbline.llm.packing import pack_documents
 from plumbline.llm.quality_rules import judge_quality
 from plumbline.llm.runtime import table
+from plumbline.llm.secrets import scan_secrets
 from plumbline.llm.token_counts import count_tokens
 from plumbline.llm.url_rules import Rule, judge_urls
 
@@ -45,6 +46,10 @@ def op7_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return count_tokens(table(spark, sf_dir, "documents"), tokenizer_path())
 
 
+def op8_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return scan_secrets(table(spark, sf_dir, "documents"))
+
+
 def op10_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return judge_quality(table(spark, sf_dir, "documents"))
 
@@ -54,6 +59,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op3_pack_sequences": op3_pack_sequences,
     "op4_url_rules": op4_url_rules,
     "op7_token_counts": op7_token_counts,
+    "op8_secret_scan": op8_secret_scan,
     "op10_quality_rules": op10_quality_rules,
 }
 
