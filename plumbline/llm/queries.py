@@ -7,6 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 
 from plumbline.llm.decontamination import find_contamination
+from plumbline.llm.licenses import scan_licenses
 from plumbline.llm.packing import pack_documents
 from plumbline.llm.quality_rules import judge_quality
 from plumbline.llm.runtime import table
@@ -50,6 +51,10 @@ def op8_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return scan_secrets(table(spark, sf_dir, "documents"))
 
 
+def op9_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return scan_licenses(table(spark, sf_dir, "documents"))
+
+
 def op10_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return judge_quality(table(spark, sf_dir, "documents"))
 
@@ -60,6 +65,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op4_url_rules": op4_url_rules,
     "op7_token_counts": op7_token_counts,
     "op8_secret_scan": op8_secret_scan,
+    "op9_license_scan": op9_license_scan,
     "op10_quality_rules": op10_quality_rules,
 }
 
