@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 
 from plumbline.llm.decontamination import find_contamination
 from plumbline.llm.licenses import scan_licenses
+from plumbline.llm.near_duplicates import find_near_duplicates
 from plumbline.llm.packing import pack_documents
 from plumbline.llm.quality_rules import judge_quality
 from plumbline.llm.runtime import table
@@ -43,6 +44,10 @@ def op4_url_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return judge_urls(table(spark, sf_dir, "pages"), RULES)
 
 
+def op6_near_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return find_near_duplicates(table(spark, sf_dir, "documents"), shingle=3, threshold=0.85)
+
+
 def op7_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return count_tokens(table(spark, sf_dir, "documents"), tokenizer_path())
 
@@ -63,6 +68,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_decontaminate": op1_decontaminate,
     "op3_pack_sequences": op3_pack_sequences,
     "op4_url_rules": op4_url_rules,
+    "op6_near_duplicates": op6_near_duplicates,
     "op7_token_counts": op7_token_counts,
     "op8_secret_scan": op8_secret_scan,
     "op9_license_scan": op9_license_scan,
@@ -95,5 +101,18 @@ r(verdict, h, p) as (values ('block', 'com', '/en/'), ('allow', 'example.com', '
 f as (select page_id, arg_max(h || p, len(h || p)) as rule, arg_max(verdict, len(h || p)) as verdict
   from u join r on (host = h or ends_with(host, '.' || h)) and starts_with(path, p) group by page_id)
 select page_id, host, path, rule, coalesce(verdict, 'allow') as verdict from u left join f using (page_id)
+""",
+    "op6_near_duplicates": r"""
+with recursive w as (select doc_id, list_filter(regexp_split_to_array(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[\x20\x09-\x0D]+'), x -> x <> '') as w from documents),
+s as (select doc_id, unnest(list_distinct(case when len(w) = 0 then [] when len(w) < 3 then [array_to_string(w, ' ')]
+  else list_transform(range(1, len(w) - 1), i -> w[i] || ' ' || w[i + 1] || ' ' || w[i + 2]) end)) as g from w),
+n as (select doc_id, count(*) as n from s group by doc_id),
+c as (select a.doc_id as a, b.doc_id as b, count(*) as c from s a join s b on a.g = b.g and a.doc_id < b.doc_id group by 1, 2),
+l as (select a, b from c join n x on x.doc_id = a join n y on y.doc_id = b where 100 * c >= 85 * (x.n + y.n - c)),
+e as (select a, b from l union select b, a from l),
+r(id, to_id) as (select doc_id, doc_id from documents union select r.id, e.b from r join e on r.to_id = e.a),
+m as (select id, min(to_id) as component_id from r group by id)
+select d.doc_id, coalesce(n, 0)::bigint as n_shingles, component_id, d.doc_id = component_id as kept
+from documents d join m on m.id = d.doc_id left join n on n.doc_id = d.doc_id
 """,
 }
