@@ -15,6 +15,7 @@ from plumbline.llm.runtime import table
 from plumbline.llm.secrets import scan_secrets
 from plumbline.llm.token_counts import count_tokens
 from plumbline.llm.url_rules import Rule, judge_urls
+from plumbline.llm.warc import archive_round_trip
 
 
 def tokenizer_path() -> str:
@@ -36,6 +37,10 @@ def op1_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
     return find_contamination(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
 
 
+def op2_warc_round_trip(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return archive_round_trip(table(spark, sf_dir, "pages"))
+
+
 def op3_pack_sequences(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pack_documents(table(spark, sf_dir, "documents"), tokenizer_path())
 
@@ -66,6 +71,7 @@ def op10_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_decontaminate": op1_decontaminate,
+    "op2_warc_round_trip": op2_warc_round_trip,
     "op3_pack_sequences": op3_pack_sequences,
     "op4_url_rules": op4_url_rules,
     "op6_near_duplicates": op6_near_duplicates,
@@ -114,5 +120,16 @@ r(id, to_id) as (select doc_id, doc_id from documents union select r.id, e.b fro
 m as (select id, min(to_id) as component_id from r group by id)
 select d.doc_id, coalesce(n, 0)::bigint as n_shingles, component_id, d.doc_id = component_id as kept
 from documents d join m on m.id = d.doc_id left join n on n.doc_id = d.doc_id
+""",
+    "op2_warc_round_trip": r"""
+with p as (select page_id, coalesce(html, '') as html, sha1(coalesce(html, '')) as h from pages),
+d as (select page_id, h, strlen(html)::bigint as payload_bytes, max(page_id) over (partition by h) as newest,
+  list_transform(range(0, 8), lambda i: ('0x' || substr(h, 5 * i + 1, 5))::integer) as v from p)
+select page_id, payload_bytes,
+  array_to_string(list_transform(v, lambda x: substr('ABCDEFGHIJKLMNOPQRSTUVWXYZ234567', (x >> 15) % 32 + 1, 1) || substr('ABCDEFGHIJKLMNOPQRSTUVWXYZ234567', (x >> 10) % 32 + 1, 1)
+    || substr('ABCDEFGHIJKLMNOPQRSTUVWXYZ234567', (x >> 5) % 32 + 1, 1) || substr('ABCDEFGHIJKLMNOPQRSTUVWXYZ234567', x % 32 + 1, 1)), '') as payload_digest,
+  case when newest = page_id then 'response' else 'revisit' end as record_type,
+  case when newest <> page_id then newest end as refers_to
+from d
 """,
 }
