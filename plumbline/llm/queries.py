@@ -10,6 +10,7 @@ from plumbline.llm.decontamination import find_contamination
 from plumbline.llm.licenses import scan_licenses
 from plumbline.llm.near_duplicates import find_near_duplicates
 from plumbline.llm.packing import pack_documents
+from plumbline.llm.quality_model import judge_by_model
 from plumbline.llm.quality_rules import judge_quality
 from plumbline.llm.runtime import table
 from plumbline.llm.secrets import scan_secrets
@@ -49,6 +50,10 @@ def op4_url_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return judge_urls(table(spark, sf_dir, "pages"), RULES)
 
 
+def op5_quality_model(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return judge_by_model(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
 def op6_near_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:
     return find_near_duplicates(table(spark, sf_dir, "documents"), shingle=3, threshold=0.85)
 
@@ -74,6 +79,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op2_warc_round_trip": op2_warc_round_trip,
     "op3_pack_sequences": op3_pack_sequences,
     "op4_url_rules": op4_url_rules,
+    "op5_quality_model": op5_quality_model,
     "op6_near_duplicates": op6_near_duplicates,
     "op7_token_counts": op7_token_counts,
     "op8_secret_scan": op8_secret_scan,
