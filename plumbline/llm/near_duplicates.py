@@ -185,7 +185,8 @@ class _Job:
         left = pairs.join(full.select(F.col("cls").alias("a"), F.col("items").alias("x")), "a")
         both = left.join(full.select(F.col("cls").alias("b"), F.col("items").alias("y")), "b")
         common = F.size(F.array_intersect("x", "y"))
-        linked = 100 * common >= self.threshold * (F.size("x") + F.size("y") - common)
+        # 100 * common >= threshold * (x + y - common), with the intersection written once
+        linked = (100 + self.threshold) * common >= self.threshold * (F.size("x") + F.size("y"))
         return materialise(both.where(linked).select("a", "b").distinct(), "links")
 
     def links(self) -> DataFrame:
