@@ -1,10 +1,6 @@
 """All queries of the engine, by name, and the SQL that says the same."""
 
-from __future__ import annotations
+from plumbline.plans.oracles import ORACLES
+from plumbline.plans.queries import QUERIES
 
-from collections.abc import Callable
-
-from pyspark.sql import DataFrame, SparkSession
-
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
-ORACLES: dict[str, str] = {}
+__all__ = ["ORACLES", "QUERIES"]
