@@ -31,7 +31,8 @@ def chart_data(holdout: DataFrame, summary: DataFrame) -> DataFrame:
 
 
 def shown(x: Column | str, places: int = 4) -> Column:
-    return F.coalesce(F.format_string(f"%.{places}f", x), F.lit("--"))
+    x = F.col(x) if isinstance(x, str) else x
+    return F.when(x.isNull(), "--").otherwise(F.format_string(f"%.{places}f", x))
 
 
 def histogram(df: DataFrame, column: str, bins: int) -> DataFrame:
