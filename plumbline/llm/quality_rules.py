@@ -3,8 +3,9 @@
 Two histograms of a text, of character classes and of its language's commonest
 short words, are compared with the same histograms of the whole language by
 Jensen-Shannon distance (base 2, so 0 to 1). Before that come plain length and
-repetition rules. Everything is DataFrame expressions: two passes over the
-text, one to make the references and one to judge, and no shuffle of text.
+repetition rules. Everything is DataFrame expressions: one pass over the text
+writes each row's counts and short words, from which the references are made
+and the rows judged; no text is shuffled.
 
 References: for each ``lang`` the class counts of all its documents, and the
 counts of its words of at most ``COMMON_LENGTH`` code points, of which the
@@ -50,28 +51,23 @@ CLASSES = {
 }
 
 
-def _left(text: Column, inside: str) -> Column:
+def _without(text: Column, inside: str) -> Column:
+    return F.regexp_replace(text, f"[{inside}]+", "")
+
+
+def _only(text: Column, inside: str) -> Column:
     """How many characters of the class a text has."""
     return F.length(F.regexp_replace(text, f"[^{inside}]+", "")).cast("long")
 
 
 def _words(text: Column) -> Column:
-    return F.filter(F.split(text, _SPACE), lambda w: w != "")
-
-
-def _class_counts(text: Column) -> Column:
-    return F.array(*[_left(text, inside) for inside in CLASSES.values()], F.length(text).cast("long"))
-
-
-def _with_rest(counts: Column) -> Column:
-    """The last entry, all characters, becomes those of no class."""
-    n = len(CLASSES)
-    return F.concat(F.slice(counts, 1, n), F.array(counts[n] - sum((counts[i] for i in range(1, n)), counts[0])))
+    bare = F.btrim(text, F.lit(" \t\n\x0b\f\r"))
+    return F.when(bare == "", F.array().cast("array<string>")).otherwise(F.split(bare, _SPACE))
 
 
 def _shares(counts: Column) -> Column:
-    total = F.aggregate(counts, F.lit(0).cast("long"), lambda a, x: a + x)
-    return F.transform(counts, lambda x: F.when(total > 0, x / total).otherwise(F.lit(0.0)))
+    sums = F.aggregate(counts, F.lit(0).cast("long"), lambda a, x: a + x)
+    return _let(sums, lambda total: F.transform(counts, lambda x: F.when(total > 0, x / total).otherwise(F.lit(0.0))))
 
 
 def js_distance(p: Column, q: Column) -> Column:
@@ -85,14 +81,51 @@ def js_distance(p: Column, q: Column) -> Column:
     return F.sqrt(F.greatest(total / 2, F.lit(0.0)))
 
 
-def language_references(docs: DataFrame) -> DataFrame:
+def _signals(docs: DataFrame, keep: list[Column]) -> DataFrame:
+    """keep, and what each row's text comes to; written, as references and verdicts both read it."""
+    text = F.coalesce("text", F.lit(""))
+    df = docs.select(*keep, F.coalesce("lang", F.lit("")).alias("__lang"), text.alias("__text"), _without(text, CLASSES["lower"]).alias("rest"))
+    names = [c for c in df.columns if c.startswith("__keep")] + ["__lang"]
+    df = df.select(*names, "__text", "rest", _without(F.col("rest"), CLASSES["space"]).alias("odd"))
+    lines = F.filter(F.split("__text", "\n", -1), lambda x: F.btrim(x, F.lit(" \t\n\x0b\f\r")) != "")
+    # most characters are lower-case letters or white space: the other classes are counted in what is left
+    some = [_only(F.col("odd"), CLASSES[c]) for c in ("upper", "digit", "mark", "wide")]
+    n_lower, n_space, n_odd = F.length("__text") - F.length("rest"), F.length("rest") - F.length("odd"), F.length("odd")
+    df = df.select(
+        *names,
+        _words(F.col("__text")).alias("w"),
+        lines.alias("lines"),
+        _only(F.col("odd"), "#*$%&|<>").alias("n_symbols"),
+        (F.length("__text") - n_space).cast("long").alias("word_chars"),
+        F.array(n_lower.cast("long"), some[0], some[1], n_space.cast("long"), some[2], some[3], n_odd.cast("long")).alias("c"),
+    )
+    n = F.size("w")
+    windows = F.transform(F.sequence(F.lit(1), n - 2), lambda i: F.struct(F.xxhash64(F.element_at("w", i), F.element_at("w", i + 1), F.element_at("w", i + 2)).alias("h"), i.alias("p")))
+    c = F.col("c")
+    df = df.select(
+        *names, "word_chars", "n_symbols",
+        n.cast("long").alias("n_words"),
+        (F.size("lines") - F.size(F.array_distinct("lines"))).cast("long").alias("n_dup_lines"),
+        F.when(n >= 3, F.sort_array(windows)).alias("windows"),
+        F.concat(F.slice(c, 1, 6), F.array(c[6] - c[1] - c[2] - c[4] - c[5])).alias("classes"),
+        F.transform(F.filter("w", lambda x: F.length(x) <= COMMON_LENGTH), lambda x: F.lower(x)).alias("short"),
+    )
+    m = F.size("windows")
+    twice = F.transform(
+        "windows",
+        lambda x, i: F.when(((i > 0) & (F.get("windows", i - 1)["h"] == x["h"])) | ((i < m - 1) & (F.get("windows", i + 1)["h"] == x["h"])), x["p"]),
+    )
+    df = df.select(*names, "word_chars", "n_symbols", "n_words", "n_dup_lines", "classes", "short", F.sort_array(F.array_compact(twice)).alias("twice"))
+    covered = F.transform("twice", lambda x, i: F.when(i < F.size("twice") - 1, F.least(F.lit(3), F.get("twice", i + 1) - x)).otherwise(3))
+    repeated = F.when(F.size("twice") > 0, F.aggregate(covered, F.lit(0), lambda a, x: a + x)).otherwise(0).cast("long")
+    return materialise(df.withColumn("n_repeat_words", repeated).drop("twice"), "quality-signals")
+
+
+def language_references(signals: DataFrame) -> DataFrame:
     """lang, class_share, common, common_share of each language with enough words."""
-    plain = docs.select(F.coalesce("lang", F.lit("")).alias("lang"), F.coalesce("text", F.lit("")).alias("text"))
-    split = plain.select("lang", _class_counts(F.col("text")).alias("c"), _words(F.lower("text")).alias("w"))
     n = len(CLASSES) + 1
-    classes = split.groupBy("lang").agg(F.array(*[F.sum(F.col("c")[i]) for i in range(n)]).alias("counts"), F.sum(F.size("w").cast("long")).alias("words"))
-    short = split.select("lang", F.explode(F.filter("w", lambda w: F.length(w) <= COMMON_LENGTH)).alias("word"))
-    counted = short.groupBy("lang", "word").count()
+    classes = signals.groupBy(F.col("__lang").alias("lang")).agg(F.array(*[F.sum(F.col("classes")[i]) for i in range(n)]).alias("counts"), F.sum("n_words").alias("words"))
+    counted = signals.select(F.col("__lang").alias("lang"), F.explode("short").alias("word")).groupBy("lang", "word").count()
     order = [F.desc("count"), F.asc("word")]
     counted = counted.withColumn("salt", F.pmod(F.xxhash64("word"), F.lit(_SALTS)))
     few = counted.withColumn("r", F.row_number().over(Window.partitionBy("lang", "salt").orderBy(*order))).where(F.col("r") <= COMMON_WORDS)
@@ -104,63 +137,34 @@ def language_references(docs: DataFrame) -> DataFrame:
         classes.where(F.col("words") >= MIN_REFERENCE_WORDS)
         .join(lists, "lang")
         .select(
-            "lang",
-            _shares(_with_rest(F.col("counts"))).alias("class_share"),
+            F.col("lang").alias("__lang"),
+            _shares(F.col("counts")).alias("class_share"),
             F.transform("l", lambda x: x["word"]).alias("common"),
             _shares(F.concat(counts, F.array(rest))).alias("common_share"),
         )
     )
 
 
-def _signals(docs: DataFrame, keep: list[Column]) -> DataFrame:
-    """keep, and the counts of every row's text, in steps that share what they compute."""
-    refs = materialise(language_references(docs), "language-references")
+def _compared(signals: DataFrame) -> DataFrame:
+    refs = materialise(language_references(signals), "language-references")
     if refs.limit(BROADCAST_LANGUAGES + 1).count() <= BROADCAST_LANGUAGES:
         refs = F.broadcast(refs)
-    refs = refs.select(F.col("lang").alias("__lang"), "class_share", "common", "common_share")
-    text = F.coalesce("text", F.lit(""))
-    df = docs.select(*keep, text.alias("__text"), F.coalesce("lang", F.lit("")).alias("__lang"))
-    df = df.join(refs, "__lang", "left")
-    names = [c for c in df.columns if c.startswith("__keep")]
-    lines = F.filter(F.split("__text", "\n", -1), lambda x: x.rlike(r"[^\x20\x09-\x0D]"))
-    df = df.select(
-        *names,
-        _words(F.col("__text")).alias("w"),
-        lines.alias("lines"),
-        _left(F.col("__text"), "#*$%&|<>").alias("n_symbols"),
-        _with_rest(_class_counts(F.col("__text"))).alias("classes"),
-        "class_share",
-        "common",
-        "common_share",
-    )
-    n = F.size("w")
-    windows = F.transform(F.sequence(F.lit(1), n - 2), lambda i: F.struct(F.xxhash64(F.element_at("w", i), F.element_at("w", i + 1), F.element_at("w", i + 2)).alias("h"), i.alias("p")))
-    df = df.select(
-        *names,
-        n.cast("long").alias("n_words"),
-        F.length(F.array_join("w", "")).cast("long").alias("word_chars"),
-        "n_symbols",
-        (F.size("lines") - F.size(F.array_distinct("lines"))).cast("long").alias("n_dup_lines"),
-        F.when(n >= 3, F.sort_array(windows)).alias("windows"),
-        js_distance(_shares(F.col("classes")), F.col("class_share")).alias("class_distance"),
-        F.when(F.col("common").isNotNull(), F.array_remove(F.transform("w", lambda x: F.array_position("common", F.lower(x))), 0)).alias("at"),
-        "common",
-        "common_share",
-    )
-    m = F.size("windows")
-    twice = F.transform(
-        "windows",
-        lambda x, i: F.when(((i > 0) & (F.get("windows", i - 1)["h"] == x["h"])) | ((i < m - 1) & (F.get("windows", i + 1)["h"] == x["h"])), x["p"]),
+    df = signals.join(refs, "__lang", "left")
+
+    def found(at: Column) -> Column:
+        each = [(F.size(at) - F.size(F.array_remove(at, F.lit(k).cast("long")))).cast("long") for k in range(1, COMMON_WORDS + 1)]
+        return F.concat(F.slice(F.array(*each), 1, F.size("common")), F.array(F.col("n_words") - F.size(at)))
+
+    # bound once: a filter on the verdict moves below the projection and would repeat what has only a column's name
+    at = F.array_remove(F.transform("short", lambda x: F.array_position("common", x)), 0)
+    common = _let(_let(at, found), lambda counts: js_distance(_shares(counts), F.col("common_share")))
+    return df.withColumn("class_distance", js_distance(_shares(F.col("classes")), F.col("class_share"))).withColumn(
+        "common_distance", F.when(F.col("common").isNotNull(), common)
     )
-    found = [F.size("at") - F.size(F.array_remove("at", F.lit(k).cast("long"))) for k in range(1, COMMON_WORDS + 1)]
-    counts = F.slice(F.array(*[x.cast("long") for x in found]), 1, F.size("common"))
-    df = df.select(
-        *names, "n_words", "word_chars", "n_symbols", "n_dup_lines", "class_distance",
-        F.sort_array(F.array_compact(twice)).alias("twice"),
-        js_distance(_shares(F.concat(counts, F.array(F.col("n_words") - F.size("at")))), F.col("common_share")).alias("common_distance"),
-    )
-    covered = F.transform("twice", lambda x, i: F.when(i < F.size("twice") - 1, F.least(F.lit(3), F.get("twice", i + 1) - x)).otherwise(3))
-    return df.withColumn("n_repeat_words", F.when(F.size("twice") > 0, F.aggregate(covered, F.lit(0), lambda a, x: a + x)).otherwise(0).cast("long"))
+
+
+def _let(value: Column, use) -> Column:
+    return F.get(F.transform(F.array(value), use), F.lit(0))
 
 
 def _verdict(df: DataFrame) -> DataFrame:
@@ -171,7 +175,7 @@ def _verdict(df: DataFrame) -> DataFrame:
 
 def judge_quality(docs: DataFrame) -> DataFrame:
     """The signals and the verdict of each document row."""
-    df = _verdict(_signals(docs, [F.col("doc_id").alias("__keep_id")]))
+    df = _verdict(_compared(_signals(docs, [F.col("doc_id").alias("__keep_id")])))
     return df.select(
         F.col("__keep_id").alias("doc_id"), "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words",
         "base_failed", "kept", F.round("class_distance", 9).alias("class_distance"), F.round("common_distance", 9).alias("common_distance"),
@@ -180,5 +184,5 @@ def judge_quality(docs: DataFrame) -> DataFrame:
 
 def drop_low_quality(docs: DataFrame) -> DataFrame:
     """The rows that the rules keep, with their columns as they were."""
-    df = _verdict(_signals(docs, [F.struct(*[docs[c] for c in docs.columns]).alias("__keep_row")]))
+    df = _verdict(_compared(_signals(docs, [F.struct(*[docs[c] for c in docs.columns]).alias("__keep_row")])))
     return df.where("kept").select(*[F.col("__keep_row")[c].alias(c) for c in docs.columns])
