@@ -9,8 +9,8 @@ of its steps reaches a threshold. Everything here is DataFrame expressions.
 Training, from labelled samples: positives are the secret values that the rules
 find in the documents, together with ``RANDOM_SAMPLES`` strings over the same
 alphabet made from hashes, so that the model knows more than one generator;
-negatives are the identifier-like runs of the documents that no rule touches.
-Steps between characters are counted over all of them, map-side first; the
+negatives are the identifier-like runs of the documents that no rule touches,
+each different run once. Steps between characters are counted over all of them, map-side first; the
 table has (alphabet + 1)^2 cells whatever the corpus and becomes one array
 literal of log ratios. The threshold is part of the model, not of the data.
 
@@ -37,6 +37,7 @@ BASE = {"assign": (_ASSIGN, 2, 6), "access": (r"AKIA[A-Z0-9]+", 0, 20), "hex": (
 CANDIDATE = r"[A-Za-z0-9+/_=-]{16,}"
 ALPHABET = "abcdefghijklmnopqrstuvwxyzABCDEFGHIJKLMNOPQRSTUVWXYZ0123456789+/_=-"
 RANDOM_SAMPLES = 2_000
+WEIGHT = 10
 #: Mean log-likelihood ratio for each step (natural logarithm) from which a run is a secret.
 THRESHOLD = 1.0
 #: A run that is one word in letters of one case only is never a secret.
@@ -114,23 +115,24 @@ def train(docs: DataFrame) -> list[float]:
         F.lit(1).alias("secret"),
         F.explode(F.array(F.base64(F.unhex(F.sha2(F.col("id").cast("string"), 256))), F.regexp_replace(F.base64(F.unhex(F.sha2(F.concat(F.lit("x"), F.col("id").cast("string")), 256))), "[+/=]", ""))).alias("run"),
     )
-    runs = found.unionByName(made).groupBy("secret", "run").count()
-    at = runs.select("secret", "count", F.transform(_chars(F.col("run")), _index).alias("i"))
+    # each different run counts once: what a text repeats is no more ordinary for that
+    runs = found.unionByName(made).distinct()
+    at = runs.select("secret", F.transform(_chars(F.col("run")), _index).alias("i"))
     # the first step leaves from 0, the start of a run
-    steps = at.select("secret", "count", F.explode(F.arrays_zip(F.concat(F.array(F.lit(0)), F.slice("i", 1, F.size("i") - 1)).alias("a"), F.col("i").alias("b"))).alias("s"))
-    counted = steps.groupBy("secret", (F.col("s.a") * size + F.col("s.b")).alias("cell")).agg(F.sum("count").alias("n"))
+    steps = at.select("secret", F.explode(F.arrays_zip(F.concat(F.array(F.lit(0)), F.slice("i", 1, F.size("i") - 1)).alias("a"), F.col("i").alias("b"))).alias("s"))
+    counted = steps.groupBy("secret", (F.col("s.a") * size + F.col("s.b")).alias("cell")).agg(F.count("*").alias("n"))
     counts = [[0.0] * (size * size) for _ in range(2)]
     for r in counted.collect():  # two tables of (alphabet + 1)^2 cells at most
         counts[r["secret"]][r["cell"]] = float(r["n"])
     from math import log
 
     ratios = [0.0] * (size * size)
+    # a character's own frequency stands for what a history has not shown: WEIGHT steps of it
+    alone = [[(sum(c[b::size]) + 0.5) / (sum(c) + 0.5 * size) for b in range(size)] for c in counts]
     for a in range(size):
-        row = slice(a * size, (a + 1) * size)
-        totals = [sum(c[row]) for c in counts]
+        totals = [sum(c[a * size : (a + 1) * size]) for c in counts]
         for b in range(size):
-            # half a count for each cell, so that steps never seen have a finite ratio
-            p = [(counts[k][a * size + b] + 0.5) / (totals[k] + 0.5 * size) for k in range(2)]
+            p = [(counts[k][a * size + b] + WEIGHT * alone[k][b]) / (totals[k] + WEIGHT) for k in range(2)]
             ratios[a * size + b] = round(log(p[1] / p[0]), 6)
     return ratios
 
