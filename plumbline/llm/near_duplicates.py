@@ -16,7 +16,9 @@ bucket every class is compared with its leader, the member whose buckets are
 fullest: in a group of near copies that is the text they were copied from.
 Confirmed links make components; then the members of each bucket outside its
 leader's component, and only they, are compared with the members of other
-components, so that no link is lost which the bands propose. At the threshold a
+components, through the elements that their leader lacks, so that no link is
+lost which the bands propose and no pairs are listed for what the whole group
+has in common. At the threshold a
 link shares no band with a probability of ``(1 - t^ROWS)^BANDS``: 5e-8 at 0.80,
 6e-11 at 0.85.
 
@@ -162,11 +164,9 @@ class _Job:
     def _few(self, df: DataFrame) -> DataFrame:
         return F.broadcast(df) if df.limit(BROADCAST_ROWS + 1).count() <= BROADCAST_ROWS else df
 
-    def confirmed(self, pairs: DataFrame) -> DataFrame:
-        """Those pairs of classes whose full sets reach the threshold."""
+    def full_sets(self, named: DataFrame) -> DataFrame:
+        """cls, items: the whole set of every class named, from one text that has it."""
         width = self.width
-        pairs = materialise(pairs.distinct(), "proposed")
-        named = pairs.select(F.col("a").alias("cls")).union(pairs.select(F.col("b").alias("cls"))).distinct()
         needed = materialise(self.classes.join(named, "cls", "left_semi").select(F.col("rep").alias("r"), F.col("row").alias("w")), "needed")
         plain = self.docs.select("doc_id", F.xxhash64("text").alias("row"), "text")
         texts = plain.join(self._few(needed), (F.col("row") == F.col("w")) & F.col("doc_id").eqNullSafe(F.col("r")), "left_semi")
@@ -181,13 +181,19 @@ class _Job:
                 names = pa.array([xxhash.xxh3_128_digest(s.tobytes()) for s in found], pa.binary())
                 yield pa.RecordBatch.from_arrays([names, pa.ListArray.from_arrays(pa.array(ends), pa.array(values))], names=["cls", "items"])
 
-        full = materialise(texts.select(F.col("text").cast("binary")).mapInArrow(sets, "cls binary, items array<long>"), "sets")
-        left = pairs.join(full.select(F.col("cls").alias("a"), F.col("items").alias("x")), "a")
-        both = left.join(full.select(F.col("cls").alias("b"), F.col("items").alias("y")), "b")
-        common = F.size(F.array_intersect("x", "y"))
+        return materialise(texts.select(F.col("text").cast("binary")).mapInArrow(sets, "cls binary, items array<long>").dropDuplicates(["cls"]), "sets")
+
+    def _with_sets(self, pairs: DataFrame, a: str, b: str, full: DataFrame) -> DataFrame:
+        """The pairs with both sets, x of a and y of b; the side with hot keys meets narrow rows."""
+        left = pairs.join(full.select(F.col("cls").alias(b), F.col("items").alias("y")), b)
+        return left.join(full.select(F.col("cls").alias(a), F.col("items").alias("x")), a)
+
+    def confirmed(self, pairs: DataFrame, full: DataFrame) -> DataFrame:
+        """Those pairs of classes whose full sets reach the threshold."""
+        both = self._with_sets(materialise(pairs, "proposed"), "a", "b", full)
         # 100 * common >= threshold * (x + y - common), with the intersection written once
-        linked = (100 + self.threshold) * common >= self.threshold * (F.size("x") + F.size("y"))
-        return materialise(both.where(linked).select("a", "b").distinct(), "links")
+        linked = (100 + self.threshold) * F.size(F.array_intersect("x", "y")) >= self.threshold * (F.size("x") + F.size("y"))
+        return materialise(both.where(linked).select("a", "b"), "links")
 
     def links(self) -> DataFrame:
         rows = self.classes.select("cls", F.explode("bands").alias("key"))
@@ -195,26 +201,56 @@ class _Job:
         shared = materialise(rows.join(counts, "key").select("key", "cls", "members"), "buckets")
         fullness = shared.groupBy("cls").agg(F.sum("members").alias("fullness"))
         leaders = shared.join(fullness, "cls").groupBy("key").agg(F.max(F.struct("fullness", "cls")).alias("m")).select("key", F.col("m.cls").alias("leader"))
-        led = materialise(shared.join(leaders, "key").select("key", "cls", "leader"), "led")
+        led = materialise(shared.join(leaders, "key").select("key", "cls", "leader", "members"), "led")
         facts = self.classes.select("cls", "n", *_SKETCH)
-        star = led.where("cls != leader").select("cls", "leader").distinct()
-        star = star.join(facts.alias("x"), "cls").join(facts.withColumnRenamed("cls", "leader").alias("y"), "leader")
-        links = self.confirmed(star.where(self._plausible("x", "y")).select(*_ordered("cls", "leader")))
+        star = materialise(led.where("cls != leader").select("cls", "leader").distinct(), "stars")
+        alike = star.join(facts.alias("x"), "cls").join(facts.withColumnRenamed("cls", "leader").alias("y"), "leader")
+        alike = materialise(alike.where(self._plausible("x", "y")).select(F.col("leader").alias("a"), F.col("cls").alias("b")), "alike")
+        full = self.full_sets(alike.select(F.col("a").alias("cls")).union(alike.select("b")).distinct())
+        links = self.confirmed(alike, full)
         label = components(links)
-        # what its leader's component has not taken in, against the other components of its bucket
-        named = led.join(label, "cls", "left").withColumn("own", F.coalesce("comp", "cls")).drop("comp")
-        named = named.join(label.select(F.col("cls").alias("leader"), F.col("comp").alias("lc")), "leader", "left").withColumn("lead", F.coalesce("lc", "leader"))
-        mixed = named.groupBy("key").agg(F.min("own").alias("lo"), F.max("own").alias("hi")).where("lo != hi").select("key")
-        open_ = materialise(named.join(mixed, "key", "left_semi").select("key", "cls", "own", "lead").join(facts, "cls"), "open")
-        rest, other = open_.where("own != lead").alias("x"), open_.alias("y")
-        # classes that are their bucket's leader were compared with all of it in the first round
-        late = rest.join(other, (F.col("x.key") == F.col("y.key")) & (F.col("x.own") != F.col("y.own")) & self._plausible("x", "y"))
-        late = late.select(F.least("x.cls", "y.cls").alias("a"), F.greatest("x.cls", "y.cls").alias("b")).distinct().join(
-            led.where("cls != leader").select(*_ordered("cls", "leader")).distinct(), ["a", "b"], "left_anti"
-        )
-        more = self.confirmed(late)
-        self.labels = components(links.union(more)) if more.limit(1).count() else label
-        return self.labels
+        late, full = self._late(led, star, label, full, facts)
+        more = self.confirmed(late, full)
+        return components(links.union(more)) if more.limit(1).count() else label
+
+    def _late(self, led: DataFrame, star: DataFrame, label: DataFrame, full: DataFrame, facts: DataFrame) -> tuple[DataFrame, DataFrame]:
+        """Pairs of a bucket in different components that its leader has not settled, and the sets they need.
+
+        Two sets have at most ``min(|x & L|, |y & L|)`` elements of their leader L
+        in common; what a link needs beyond that they must share outside L. So
+        pairs are found through elements that the leader lacks, which edits
+        introduced and few texts have, and counted: too few shared, no link. Pairs
+        that could be linked by the leader's elements alone go by the sketches.
+        Only members with a plausible partner, other than the leader, take part.
+        """
+        named = led.where("members > 2").join(label, "cls", "left").withColumn("own", F.coalesce("comp", "cls")).drop("comp", "members")
+        named = named.join(label.select(F.col("cls").alias("leader"), F.col("comp").alias("lc")), "leader", "left").withColumn("rest", F.col("own") != F.coalesce("lc", "leader")).drop("lc")
+        named = materialise(named.join(facts, "cls"), "members")
+        rest, other = named.where("rest").alias("x"), named.where("cls != leader").alias("y")
+        partner = (F.col("x.key") == F.col("y.key")) & (F.col("x.own") != F.col("y.own")) & self._plausible("x", "y")
+        own = rest.join(other, partner, "left_semi").union(other.join(rest, partner, "left_semi")).select("cls", "leader", "own", "rest").distinct()
+        own = materialise(own, "unsettled")
+        lacking = own.select("cls").union(own.select("leader")).distinct().join(full, "cls", "left_anti")
+        full = full.unionByName(self.full_sets(lacking))
+        both = self._with_sets(own, "leader", "cls", full)
+        new = F.array_except("y", "x")
+        open_ = materialise(both.select("leader", "cls", "own", "rest", F.size("y").alias("n"), (F.size("y") - F.size(new)).alias("inside"), new.alias("new")), "open")
+        t = self.threshold
+        need = t * (F.col("x.n") + F.col("y.n")) - (100 + t) * F.least("x.inside", "y.inside")
+        pair = [F.least("x.cls", "y.cls").alias("a"), F.greatest("x.cls", "y.cls").alias("b")]
+        sizes = 100 * F.least("x.n", "y.n") >= t * F.greatest("x.n", "y.n")
+        apart = (F.col("x.own") != F.col("y.own")) & sizes
+        tokens = open_.select("leader", "cls", "own", "rest", "n", "inside", F.explode("new").alias("token"))
+        x, y = tokens.where("rest").alias("x"), tokens.alias("y")
+        # of two that are both rest one order is enough
+        once = ~F.col("y.rest") | (F.col("x.cls") < F.col("y.cls"))
+        met = x.join(y, (F.col("x.leader") == F.col("y.leader")) & (F.col("x.token") == F.col("y.token")) & apart & once & (need > 0))
+        met = met.groupBy("x.leader", *pair).agg(F.count("*").alias("shared"), F.first(need).alias("need")).where((100 + t) * F.col("shared") >= F.col("need"))
+        # the leader's elements could be enough: few sets, smaller than the leader's, are like that
+        known = named.select("key", "cls", "leader", *_SKETCH).join(open_.drop("new"), ["cls", "leader"])
+        inner = known.where("rest").alias("x").join(known.alias("y"), (F.col("x.key") == F.col("y.key")) & apart & once & (need <= 0) & self._plausible("x", "y")).select(*pair)
+        stars = star.select(*_ordered("cls", "leader"))
+        return met.select("a", "b").union(inner).distinct().join(stars, ["a", "b"], "left_anti"), full
 
 
 def components(links: DataFrame) -> DataFrame:
