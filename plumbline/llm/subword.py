@@ -152,10 +152,10 @@ class Encoder:
         fresh = list(self.chunks.lacks(chunks))
         split = [[c] if c.isalpha() else _PRE.findall(c) for c in fresh]
         words = list(self.words.lacks({w for parts in split for w in parts}))
-        self.words.update(zip(words, self.pre_token_many(words)))
-        own = self.words
+        own = self.words.young
+        own.update(zip(words, self.pre_token_many(words)))
         ids = [own[parts[0]] if len(parts) == 1 else b"".join([own[w] for w in parts]) for parts in split]
-        self.chunks.update(zip(fresh, ids))
+        self.chunks.young.update(zip(fresh, ids))
 
     def ids_many(self, texts: list[str]) -> Iterator[bytes]:
         """The ids of each text as little-endian unsigned 32-bit integers.
@@ -166,7 +166,7 @@ class Encoder:
         for part in slices(texts):
             split = [None if (plain := plain_text(t)) is None else plain.split() for t in part]
             self.learn(set().union(*[chunks for chunks in split if chunks]))
-            get = self.chunks.__getitem__
+            get = self.chunks.young.__getitem__
             for text, chunks in zip(part, split):
                 if chunks is None:
                     yield np.array(self.whole.encode(text, add_special_tokens=False).ids, "<u4").tobytes()
@@ -193,25 +193,25 @@ def pre_tokens(chunk: str) -> list[str]:
     return [chunk] if chunk.isalpha() else _PRE.findall(chunk)
 
 
-class Kept(dict):
-    """A cache of two generations. ``age()`` lets the old one go once the young
-    one is full; what is looked up again moves from old to young."""
+class Kept:
+    """A cache of two generations. ``lacks()`` moves what is asked for again from
+    the old one to the young one; ``age()`` lets the old one go once the young
+    one is full. Between the two, what was asked for is in ``young``."""
 
     def __init__(self, entries: int = CACHE_ENTRIES):
-        super().__init__()
-        self.entries, self.old = entries, {}
+        self.entries, self.young, self.old = entries, {}, {}
 
     def lacks(self, keys: set) -> set:
-        return keys - self.keys() - self.old.keys()
-
-    def __missing__(self, key):
-        self[key] = out = self.old[key]
-        return out
+        missing = keys.difference(self.young)
+        if self.old and missing:
+            again = missing.intersection(self.old)
+            self.young.update((k, self.old[k]) for k in again)
+            missing -= again
+        return missing
 
     def age(self) -> None:
-        if len(self) >= self.entries:
-            self.old = dict(self)
-            self.clear()
+        if len(self.young) >= self.entries:
+            self.old, self.young = self.young, {}
 
 
 def plain_text(text: str) -> str | None:

@@ -31,19 +31,19 @@ class _Counter:
 
     def learn(self, chunks: set[str]) -> None:
         """Have the token counts of all these white-space chunks in the cache."""
-        known, own = self.frequent, self.words
-        fresh = list(self.chunks.lacks(chunks - known.keys()))
+        known, own = self.frequent, self.words.young
+        fresh = list(self.chunks.lacks(chunks.difference(known)))
         split = [pre_tokens(c) for c in fresh]
-        missing = list(own.lacks({w for parts in split for w in parts} - known.keys()))
+        missing = list(self.words.lacks({w for parts in split for w in parts}.difference(known)))
         own.update((w, len(ids) // 4) for w, ids in zip(missing, self.encoder.pre_token_many(missing)))
-        self.chunks.update((c, sum([known[w] if w in known else own[w] for w in parts])) for c, parts in zip(fresh, split))
+        self.chunks.young.update((c, sum([known[w] if w in known else own[w] for w in parts])) for c, parts in zip(fresh, split))
 
     def count_many(self, texts: list[str | None]) -> list[int]:
         out, known = [], self.frequent
         for part in slices([t or "" for t in texts]):
             split = [None if (plain := plain_text(t)) is None else plain.split() for t in part]
             self.learn(set().union(*[chunks for chunks in split if chunks]))
-            own = self.chunks
+            own = self.chunks.young
             for text, chunks in zip(part, split):
                 if chunks is None:
                     out.append(len(self.encoder.whole.encode(text, add_special_tokens=False).ids))
