@@ -40,7 +40,7 @@ from math import exp
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, functions as F
+from pyspark.sql import DataFrame, Window, functions as F
 
 from plumbline.llm.runtime import materialise
 
@@ -218,8 +218,8 @@ class _Job:
 
         Two sets have at most ``min(|x & L|, |y & L|)`` elements of their leader L
         in common; what a link needs beyond that they must share outside L. So
-        pairs are found through elements that the leader lacks, which edits
-        introduced and few texts have, and counted: too few shared, no link. Pairs
+        pairs are found through the rarest elements that the leader lacks, which
+        edits introduced and few texts have (a prefix filter, so none is lost). Pairs
         that could be linked by the leader's elements alone go by the sketches.
         Only members with a plausible partner, other than the leader, take part.
         """
@@ -240,17 +240,22 @@ class _Job:
         pair = [F.least("x.cls", "y.cls").alias("a"), F.greatest("x.cls", "y.cls").alias("b")]
         sizes = 100 * F.least("x.n", "y.n") >= t * F.greatest("x.n", "y.n")
         apart = (F.col("x.own") != F.col("y.own")) & sizes
-        tokens = open_.select("leader", "cls", "own", "rest", "n", "inside", F.explode("new").alias("token"))
+        # of elements in one order, rarest first, two sets that share k of n have one in common among the first n - k + 1
+        smallest = t * (F.col("n") + F.ceil(t * F.col("n") / 100)) - (100 + t) * F.col("inside")
+        enough = F.size("new") - F.greatest(F.lit(1), F.ceil(smallest / (100 + t))) + 1
+        tokens = open_.select("leader", "cls", "own", "rest", "n", "inside", enough.alias("enough"), F.explode("new").alias("token"))
+        common = tokens.groupBy("leader", "token").agg(F.count("*").alias("f"))
+        place = F.row_number().over(Window.partitionBy("leader", "cls").orderBy("f", "token"))
+        tokens = materialise(tokens.join(common, ["leader", "token"]).withColumn("place", place).where("place <= enough and f > 1").drop("enough", "place", "f"), "tokens")
         x, y = tokens.where("rest").alias("x"), tokens.alias("y")
         # of two that are both rest one order is enough
         once = ~F.col("y.rest") | (F.col("x.cls") < F.col("y.cls"))
-        met = x.join(y, (F.col("x.leader") == F.col("y.leader")) & (F.col("x.token") == F.col("y.token")) & apart & once & (need > 0))
-        met = met.groupBy("x.leader", *pair).agg(F.count("*").alias("shared"), F.first(need).alias("need")).where((100 + t) * F.col("shared") >= F.col("need"))
+        met = x.join(y, (F.col("x.leader") == F.col("y.leader")) & (F.col("x.token") == F.col("y.token")) & apart & once & (need > 0)).select(*pair)
         # the leader's elements could be enough: few sets, smaller than the leader's, are like that
         known = named.select("key", "cls", "leader", *_SKETCH).join(open_.drop("new"), ["cls", "leader"])
         inner = known.where("rest").alias("x").join(known.alias("y"), (F.col("x.key") == F.col("y.key")) & apart & once & (need <= 0) & self._plausible("x", "y")).select(*pair)
         stars = star.select(*_ordered("cls", "leader"))
-        return met.select("a", "b").union(inner).distinct().join(stars, ["a", "b"], "left_anti"), full
+        return met.union(inner).distinct().join(stars, ["a", "b"], "left_anti"), full
 
 
 def components(links: DataFrame) -> DataFrame:
