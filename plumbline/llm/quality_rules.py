@@ -16,7 +16,13 @@ reference table has one row for each language; it is broadcast if it has at most
 
 Guards: a text of fewer than ``MIN_WORDS`` words fails the base rules; a language
 with fewer than ``MIN_REFERENCE_WORDS`` words in all has no reference, and its
-documents are judged by the base rules alone.
+documents are judged by the base rules alone. A text without any common word is
+at the distance ``absent`` of its language, which depends on the share ``s`` of
+common words and is about 0.35 for s = 0.23. The limit of the common-word
+distance is therefore ``absent`` times ``sqrt(NEAR + NOISE / (n_words * s))``, the
+second term for the chance in a short text, at most ``ABSENT`` times it and never
+above ``MAX_COMMON_DISTANCE``. Texts in which fewer than ``MIN_EXPECTED`` common
+words are to be expected are held to ``MAX_COMMON_DISTANCE`` alone.
 
 Defined cases: a null text has no words and fails; a null ``lang`` is a language
 of its own; repeated rows give repeated results; an empty table gives an empty
@@ -36,6 +42,10 @@ COMMON_WORDS = 20
 COMMON_LENGTH = 4
 MAX_CLASS_DISTANCE = 0.33
 MAX_COMMON_DISTANCE = 0.42
+NEAR = 0.4
+NOISE = 5.5
+ABSENT = 0.9
+MIN_EXPECTED = 10
 BROADCAST_LANGUAGES = 10_000
 _SALTS = 8
 
@@ -122,7 +132,7 @@ def _signals(docs: DataFrame, keep: list[Column]) -> DataFrame:
 
 
 def language_references(signals: DataFrame) -> DataFrame:
-    """lang, class_share, common, common_share of each language with enough words."""
+    """lang, class_share, common, common_share, absent, used of each language with enough words."""
     n = len(CLASSES) + 1
     classes = signals.groupBy(F.col("__lang").alias("lang")).agg(F.array(*[F.sum(F.col("classes")[i]) for i in range(n)]).alias("counts"), F.sum("n_words").alias("words"))
     counted = signals.select(F.col("__lang").alias("lang"), F.explode("short").alias("word")).groupBy("lang", "word").count()
@@ -133,7 +143,7 @@ def language_references(signals: DataFrame) -> DataFrame:
     lists = top.groupBy("lang").agg(F.sort_array(F.collect_list(F.struct("r", "word", "count"))).alias("l"))
     counts = F.transform("l", lambda x: x["count"])
     rest = F.col("words") - F.aggregate(counts, F.lit(0).cast("long"), lambda a, x: a + x)
-    return (
+    found = (
         classes.where(F.col("words") >= MIN_REFERENCE_WORDS)
         .join(lists, "lang")
         .select(
@@ -143,6 +153,8 @@ def language_references(signals: DataFrame) -> DataFrame:
             _shares(F.concat(counts, F.array(rest))).alias("common_share"),
         )
     )
+    absent = F.transform("common_share", lambda x, i: F.when(i == F.size("common"), 1.0).otherwise(0.0))
+    return found.select("*", js_distance(absent, F.col("common_share")).alias("absent"), (1 - F.element_at("common_share", -1)).alias("used"))
 
 
 def _compared(signals: DataFrame) -> DataFrame:
@@ -169,7 +181,10 @@ def _let(value: Column, use) -> Column:
 
 def _verdict(df: DataFrame) -> DataFrame:
     failed = (F.col("n_words") < MIN_WORDS) | (100 * F.col("n_repeat_words") > 50 * F.col("n_words"))
-    near = (F.coalesce("class_distance", F.lit(0.0)) <= MAX_CLASS_DISTANCE) & (F.coalesce("common_distance", F.lit(0.0)) <= MAX_COMMON_DISTANCE)
+    expected = F.col("n_words") * F.col("used")
+    limit = F.col("absent") * F.least(F.lit(ABSENT), F.sqrt(NEAR + NOISE / F.greatest(expected, F.lit(1.0))))
+    limit = F.when(expected >= MIN_EXPECTED, F.least(F.lit(MAX_COMMON_DISTANCE), limit)).otherwise(MAX_COMMON_DISTANCE)
+    near = (F.coalesce("class_distance", F.lit(0.0)) <= MAX_CLASS_DISTANCE) & F.coalesce(F.col("common_distance") <= limit, F.lit(True))
     return df.withColumn("base_failed", failed).withColumn("kept", ~F.col("base_failed") & near)
 
 

@@ -469,3 +469,27 @@ def test_quality_rules_reject_odd_text_and_keep_the_rest(spark):
     docs = spark.createDataFrame([(i, t, "en") for i, t in enumerate(clean + odd)], "doc_id long, text string, lang string")
     kept = {x["doc_id"]: x["kept"] for x in quality_rules.judge_quality(docs).collect()}
     assert all(kept[i] for i in range(40)) and not any(kept[i] for i in range(40, 46))
+
+
+def test_quality_rules_reject_gibberish_and_other_languages(spark):
+    r = random.Random(7)
+    letters = "aeioulnrst"
+    words = {"en": "the of and to in is was it on by as at be or an he".split(), "de": "der die und in den von zu das mit des auf ist im dem ein sie".split()}
+
+    def text(lang, n):  # 23 of 100 words are common, as in prose
+        return " ".join(r.choice(words[lang]) if r.random() < 0.23 else "".join(r.choice(letters) for _ in range(r.randint(5, 9))) for _ in range(n))
+
+    def scrambled(t):
+        return "".join(chr(97 + r.randrange(26)) if c != " " else c for c in t)
+
+    clean = [("en", text("en", n)) for n in (60, 100, 200, 400) * 20] + [("de", text("de", 200)) for _ in range(60)]
+    odd = [("en", scrambled(text("en", n))) for n in (60, 100, 200, 400)] + [("en", text("de", n)) for n in (60, 100, 200, 400)]
+    # common words are so rare here that a text without any is ordinary
+    rare = [("xx", " ".join("".join(r.choice(letters) for _ in range(7)) for _ in range(100)) + (" ab" if i % 5 == 0 else "")) for i in range(40)]
+    rows = clean + odd + rare
+    docs = spark.createDataFrame([(i, t, lang) for i, (lang, t) in enumerate(rows)], "doc_id long, text string, lang string")
+    kept = {x["doc_id"]: x["kept"] for x in quality_rules.judge_quality(docs).collect()}
+    at = len(clean)
+    assert sum(not kept[i] for i in range(at)) <= at // 50
+    assert not any(kept[i] for i in range(at, at + len(odd)))
+    assert all(kept[i] for i in range(at + len(odd), len(rows)))
