@@ -288,6 +288,39 @@ def test_quality_model_separates_held_out_text(spark):
     assert all(kept[i] for i in range(120)) and not any(kept[i] for i in range(120, 160))
 
 
+@pytest.mark.parametrize("block", [4_000_000, 3_000])
+def test_quality_model_learns_other_scripts(spark, monkeypatch, block):
+    monkeypatch.setattr(quality_model, "BLOCK", block)
+    r = random.Random(8)
+    signs = [chr(0x4E00 + i) for i in range(1_500)]
+    words = ["".join(r.choices(signs, k=2)) for _ in range(600)]
+    rank = [1 / (i + 1) for i in range(600)]
+    clean = ["".join(r.choices(words, rank, k=150)) for _ in range(200)]
+    shuffled = ["".join(r.sample(t, len(t))) for t in clean[:30]]
+    uniform = ["".join(r.choices(signs, k=300)) for _ in range(30)]
+    rows = clean + shuffled + uniform
+    docs = spark.createDataFrame(list(enumerate(rows)), "doc_id long, text string").withColumn("lang", F.lit("zh"))
+    labels = spark.createDataFrame([(i, 1, 0) for i in range(150)], "doc_id long, quality int, toxic int")
+    kept = {x["doc_id"]: x["kept"] for x in quality_model.judge_by_model(docs, labels).collect()}
+    assert sum(kept[i] for i in range(200)) >= 195 and not any(kept[i] for i in range(200, 260))
+
+
+def test_quality_model_wide_characters_have_a_distribution(spark):
+    import numpy as np
+
+    docs = spark.createDataFrame([(i, t) for i, t in enumerate(["日本語 日本人", "é日本é", "語人é ü"])], "doc_id long, text string")
+    labels = spark.createDataFrame([(i, 1, 0) for i in range(3)], "doc_id long, quality int, toxic int")
+    (block,) = quality_model.wide_blocks(quality_model.train_wide(docs, labels))
+    seen = sorted(set("日本語人éü"))
+    for before in ("", "日", "x日", "日本", "é ", "語"):
+        for kind in range(quality_model.WIDE):
+            chars = [c for c in seen if ord(c) % quality_model.WIDE == kind]
+            if chars:  # one more stands for all that are unknown
+                unknown = chr(20_000 + (kind - 20_000) % quality_model.WIDE)
+                grams = [quality_model.wide_grams(before + c)[-1:] for c in [*chars, unknown]]
+                assert sum(np.exp(quality_model.wide_sum(block, g)) for g in grams) == pytest.approx(1, abs=1e-5)
+
+
 # 6 ---------------------------------------------------------------------------
 
 
