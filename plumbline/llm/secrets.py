@@ -4,7 +4,9 @@ Rules find secrets in known dress (assignments, access keys, hex runs). The
 model adds those in none: a run of secret-like characters is scored by two
 first-order character chains, one of random strings and one of ordinary
 identifiers, and is a span of kind ``model`` when the mean log-likelihood ratio
-of its steps reaches a threshold. Everything here is DataFrame expressions.
+of its steps reaches a threshold. Runs without a digit that may be words (few
+steps from lower to upper case, as in names of functions or paths) are scored by
+their letters in lower case, so that it is the words that count. Everything here is DataFrame expressions.
 
 Training, from labelled samples: positives are the secret values that the rules
 find in the documents, together with ``RANDOM_SAMPLES`` strings over the same
@@ -40,8 +42,10 @@ RANDOM_SAMPLES = 2_000
 WEIGHT = 10
 #: Mean log-likelihood ratio for each step (natural logarithm) from which a run is a secret.
 THRESHOLD = 1.0
-#: A run that is one word in letters of one case only is never a secret.
-MIXED = r"[0-9]"
+#: A run without letters and digits (a ruler) is never a secret; all others are scored.
+SCORED = r"[A-Za-z0-9]"
+#: A run without a digit is taken for words if it has at most one step from lower to upper case in so many characters.
+WORD = 5
 _BLOCK = 256
 
 
@@ -144,6 +148,12 @@ def _score(run: Column, ratios: Column) -> Column:
     return total["sum"] / F.length(run)
 
 
+def _judged(run: Column) -> Column:
+    """What of a run is scored."""
+    words = ~run.rlike("[0-9]") & (WORD * (F.size(F.split(run, "[a-z][A-Z]")) - 1) <= F.length(run))
+    return F.when(words, F.lower(F.regexp_replace(run, "[^A-Za-z]+", ""))).otherwise(run)
+
+
 def _scan(docs: DataFrame, keep: list[Column], ratios: list[float]) -> DataFrame:
     """keep, text and ``found``: all spans by start, then kind as listed."""
     df = docs.select(*keep, F.coalesce("text", F.lit("")).alias("__text"))
@@ -151,8 +161,7 @@ def _scan(docs: DataFrame, keep: list[Column], ratios: list[float]) -> DataFrame
     kinds = {k: p[0] for k, p in BASE.items()} | {"model": CANDIDATE}
     df = df.select(*names, *[F.regexp_extract_all("__text", F.lit(p), F.lit(0)).alias(f"m_{k}") for k, p in kinds.items()])
     table = F.array(*[F.lit(x) for x in ratios])
-    # a run without a digit is ordinary text; most texts end here without a score
-    keeps = {k: _keeps(k) for k in BASE} | {"model": lambda m: F.when(m.rlike(MIXED), _score(m, table) >= THRESHOLD).otherwise(False)}
+    keeps = {k: _keeps(k) for k in BASE} | {"model": lambda m: F.when(m.rlike(SCORED), _score(_judged(m), table) >= THRESHOLD).otherwise(False)}
     none = F.array().cast("array<struct<start:bigint,rank:int,kind:string,end:bigint,match:string>>")
     found = []
     for rank, (k, p) in enumerate(kinds.items()):

@@ -410,6 +410,19 @@ def test_secrets(docs, none):
     assert secrets.scan_secrets(none).count() == 0
 
 
+def test_secrets_without_a_digit(spark):
+    r = random.Random(9)
+    letters = "abcdefghijklmnopqrstuvwxyzABCDEFGHIJKLMNOPQRSTUVWXYZ"
+    plain = ["getElementFromDocument", "straightforward-international-request", "documents/element/requests", "INTERNATIONALDOCUMENT", "=" * 30, "/" * 20, "=====Document====="]
+    keys = ["".join(r.choices(letters, k=32)) for _ in range(40)]
+    rows = [f"see {x} there" for x in plain + keys]
+    docs = spark.createDataFrame(list(enumerate(rows)), "doc_id long, text string")
+    spans = {x["doc_id"]: x["spans"] for x in secrets.scan_secrets(docs, secrets.train(spark.read.parquet("/root/testdata/sf0.001/documents.parquet"))).collect()}
+    at = len(plain)
+    assert not any(spans[i] for i in range(at)), [rows[i] for i in range(at) if spans[i]]
+    assert sum(spans[i] == "model:4:36" for i in range(at, len(rows))) >= 39
+
+
 def test_redaction(docs):
     ratios = secrets.train(docs)
     spans = _by_id(secrets.scan_secrets(docs, ratios))
