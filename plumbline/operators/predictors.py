@@ -208,18 +208,51 @@ def polynomial(features: str, width: int) -> Column:
     return F.concat(F.transform(c, lambda x: x.cast("double")), F.array(*[(c[i] * c[j]).cast("double") for i in range(width) for j in range(i, width)]))
 
 
-def kernel_ridge(train: DataFrame, *, gamma: float, alpha: float, most: int = 4_000):
+def _rbf(q: np.ndarray, x: np.ndarray, gamma: float) -> np.ndarray:
+    return np.exp(-gamma * ((q**2).sum(1)[:, None] + (x**2).sum(1)[None] - 2 * q @ x.T))
+
+
+def _nystroem(train: DataFrame, gamma: float, alpha: float, basis: int):
+    """Basis rows, weights and mean label: all rows fit a kernel that ``basis`` rows, by hash, span."""
+    chosen = train.orderBy(F.xxhash64("features", "label")).limit(basis).toPandas()
+    x = np.array(chosen["features"].tolist(), float)
+    mean = float(train.agg(F.avg("label")).first()[0])
+
+    def sums(batches):
+        total = np.zeros((len(x), len(x) + 1))
+        for b in batches:
+            q = np.array(b.column(0).to_pylist(), float).reshape(-1, x.shape[1])
+            if not len(q):
+                continue
+            k = _rbf(q, x, gamma)
+            total += k.T @ np.column_stack([k, np.array(b.column(1).to_pylist(), float) - mean])
+        import pyarrow as pa
+
+        yield pa.RecordBatch.from_arrays([pa.array(np.arange(total.size)), pa.array(total.ravel())], names=["cell", "v"])
+
+    cells = train.select("features", "label").mapInArrow(sums, "cell long, v double").groupBy("cell").agg(F.sum("v").alias("v")).toPandas()
+    total = np.zeros(len(x) * (len(x) + 1))
+    total[cells["cell"].to_numpy()] = cells["v"].to_numpy()
+    total = total.reshape(len(x), -1)
+    own = _rbf(x, x, gamma)
+    weights = np.linalg.lstsq(total[:, :-1] + alpha * own + 1e-9 * np.eye(len(x)), total[:, -1], rcond=None)[0]
+    return x, weights, mean
+
+
+def kernel_ridge(train: DataFrame, *, gamma: float, alpha: float, most: int = 4_000, basis: int = 500):
     """RBF kernel ridge, in place of the support-vector regression that Spark lacks.
 
-    Its model is the training rows themselves, so their number has a bound.
+    Exact up to ``most`` training rows. Beyond them all rows are fitted through a
+    Nystroem basis of ``basis`` rows, whose Gram sums one aggregation adds up.
     """
     rows = train.select("features", "label").limit(most + 1).toPandas()
     if len(rows) > most:
-        raise ValueError(f"kernel ridge takes at most {most} training rows")
-    x, y = np.array(rows["features"].tolist(), float), rows["label"].to_numpy(float)
-    mean = y.mean()
-    distance = ((x[:, None] - x[None]) ** 2).sum(2) if len(x) <= 500 else (x**2).sum(1)[:, None] + (x**2).sum(1)[None] - 2 * x @ x.T
-    weights = np.linalg.solve(np.exp(-gamma * distance) + alpha * np.eye(len(x)), y - mean)
+        x, weights, mean = _nystroem(train, gamma, alpha, basis)
+    else:
+        x, y = np.array(rows["features"].tolist(), float), rows["label"].to_numpy(float)
+        mean = y.mean()
+        distance = ((x[:, None] - x[None]) ** 2).sum(2) if len(x) <= 500 else (x**2).sum(1)[:, None] + (x**2).sum(1)[None] - 2 * x @ x.T
+        weights = np.linalg.solve(np.exp(-gamma * distance) + alpha * np.eye(len(x)), y - mean)
 
     @F.pandas_udf("double")
     def predict(features):
