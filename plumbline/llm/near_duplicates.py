@@ -11,14 +11,33 @@ which is precise where similarities are high; proposals estimated more than
 ``MARGIN`` (about six standard errors) below the threshold go no further. The
 others are confirmed on the full sets.
 
-Groups of any size stay linear. Equal sets are one class from the start. In a
-bucket every class is compared with its leader, the member whose buckets are
-fullest: in a group of near copies that is the text they were copied from.
-Confirmed links make components; then the members of each bucket outside its
-leader's component, and only they, are compared with the members of other
-components, through the elements that their leader lacks, so that no link is
-lost which the bands propose and no pairs are listed for what the whole group
-has in common. At the threshold a
+Equal sets are one class from the start. In a bucket every class is compared with
+its leader, the member whose buckets are fullest: in a group of near copies that
+is the text they were copied from. Confirmed links make components.
+
+What is left are links between members of a bucket of which one at least is not
+in its leader's component. They are found exactly, through the members' symmetric
+differences from the leader, ``dx = x ^ L``: as ``x ^ y = dx ^ dy``, two sets are
+linked if and only if
+
+    |dx & dy| >= (w(x) + w(y)) / (2 * (100 + t)),  w(x) = (100 + t) * |dx| - (100 - t) * |x|
+
+with the threshold ``t`` in hundredths, and that is never less than one element,
+since one of the two is not linked to the leader. So a prefix filter applies:
+the elements of the differences are ordered rarest first among the members of a
+leader, and linked pairs meet in a prefix of both, whose length follows from a
+member's own ``w`` and the class of its partner's. What a whole group has in
+common, with the leader or without it, is no part of the differences, or comes
+last in them. Elements of one member alone only count.
+
+Members that share an element of their prefixes are a bucket of the second kind.
+Where more than ``CROSSINGS`` pairs for each entry could meet there, each such
+bucket is first compared with two leaders of its own, again while that finds
+links, which settles clusters inside the group with two rows an entry; then all
+pairs between components that are left, and whose places in the order allow a
+link, are confirmed. Only a crowd of texts
+that are all just short of linked, and have no cluster among them, makes more
+pairs than that. At the threshold a
 link shares no band with a probability of ``(1 - t^ROWS)^BANDS``: 5e-8 at 0.80,
 6e-11 at 0.85.
 
@@ -40,15 +59,21 @@ from math import exp
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window, functions as F
+from pyspark.sql import DataFrame, functions as F
 
-from plumbline.llm.runtime import materialise
+from plumbline.llm.runtime import materialise, unused
 
 SHINGLE, THRESHOLD = 5, 0.8
 BANDS, ROWS, BITS, MARGIN = 32, 4, 256, 0.2
 SAMPLES = BANDS * ROWS
 #: Rows up to which a list of ids is broadcast.
 BROADCAST_ROWS = 500_000
+#: Pairs for each entry of a prefix up to which they are met without further leaders, and rounds of leaders.
+CROSSINGS, ROUNDS = 4, 6
+#: Classes of w: their width is a part of this of the greatest w, or of what is linked to the leader if that is more.
+FINE = 22
+#: Words whose hashes a task keeps at once; longer words than LONG bytes are not kept.
+WORDS, LONG = 100_000, 40
 _LOWER = bytes(b + 32 if 0x41 <= b <= 0x5A else b for b in range(256))
 _draw = np.random.default_rng(20240607).integers(0, 1 << 63, (3, SAMPLES), dtype=np.uint64)
 _A, _B, _C = _draw[0] * np.uint64(2) + np.uint64(1), _draw[1], _draw[2] * np.uint64(2) + np.uint64(1)
@@ -57,29 +82,31 @@ _SKETCH = [f"s{i}" for i in range(BITS // 64)]
 
 
 class _WordHashes(dict):
+    """Hashes of words; one for each partition, so that it ends with it."""
+
     def __missing__(self, word: bytes) -> int:
         import xxhash
 
-        if len(self) >= 1_000_000:
-            self.clear()
-        self[word] = out = xxhash.xxh3_64_intdigest(word)
+        out = xxhash.xxh3_64_intdigest(word)
+        if len(word) <= LONG:
+            if len(self) >= WORDS:
+                self.clear()
+            self[word] = out
         return out
 
 
-_words = _WordHashes()
-
-
 def _mixed(x: np.ndarray) -> np.ndarray:
     x = (x ^ (x >> np.uint64(31))) * _MIX
     return x ^ (x >> np.uint64(29))
 
 
-def shingle_set(raw: bytes | None, width: int) -> np.ndarray:
+def shingle_set(raw: bytes | None, width: int, hashes: _WordHashes | None = None) -> np.ndarray:
     """The sorted distinct hashes of a text's shingles."""
     words = (raw or b"").translate(_LOWER).split()
     if not words:
         return np.empty(0, np.uint64)
-    h = np.fromiter(map(_words.__getitem__, words), np.uint64, len(words))
+    hashes = _WordHashes() if hashes is None else hashes
+    h = np.fromiter(map(hashes.__getitem__, words), np.uint64, len(words))
     k = min(width, len(words))
     n = len(words) - k + 1
     x = np.zeros(n, np.uint64)
@@ -114,10 +141,11 @@ def _signatures(docs: DataFrame, width: int) -> DataFrame:
     def sign(batches):
         import xxhash
 
+        hashes = _WordHashes()
         for batch in batches:
             ns, cls, samples = [], [], []
             for raw in batch.column(2).to_pylist():
-                s = shingle_set(raw, width)
+                s = shingle_set(raw, width, hashes)
                 ns.append(len(s))
                 cls.append(xxhash.xxh3_128_digest(s.tobytes()) if len(s) else None)
                 if len(s):
@@ -174,8 +202,9 @@ class _Job:
         def sets(batches):
             import xxhash
 
+            hashes = _WordHashes()
             for batch in batches:
-                found = [shingle_set(raw, width) for raw in batch.column(0).to_pylist()]
+                found = [shingle_set(raw, width, hashes) for raw in batch.column(0).to_pylist()]
                 ends = np.concatenate([[0], np.cumsum([len(s) for s in found])]).astype(np.int32)
                 values = np.concatenate([np.empty(0, np.uint64), *found]).view(np.int64)
                 names = pa.array([xxhash.xxh3_128_digest(s.tobytes()) for s in found], pa.binary())
@@ -201,61 +230,108 @@ class _Job:
         shared = materialise(rows.join(counts, "key").select("key", "cls", "members"), "buckets")
         fullness = shared.groupBy("cls").agg(F.sum("members").alias("fullness"))
         leaders = shared.join(fullness, "cls").groupBy("key").agg(F.max(F.struct("fullness", "cls")).alias("m")).select("key", F.col("m.cls").alias("leader"))
-        led = materialise(shared.join(leaders, "key").select("key", "cls", "leader", "members"), "led")
+        led = materialise(shared.join(leaders, "key").where("cls != leader").select("key", "cls", "leader", "members"), "led")
         facts = self.classes.select("cls", "n", *_SKETCH)
-        star = materialise(led.where("cls != leader").select("cls", "leader").distinct(), "stars")
-        alike = star.join(facts.alias("x"), "cls").join(facts.withColumnRenamed("cls", "leader").alias("y"), "leader")
-        alike = materialise(alike.where(self._plausible("x", "y")).select(F.col("leader").alias("a"), F.col("cls").alias("b")), "alike")
-        full = self.full_sets(alike.select(F.col("a").alias("cls")).union(alike.select("b")).distinct())
-        links = self.confirmed(alike, full)
-        label = components(links)
-        late, full = self._late(led, star, label, full, facts)
-        more = self.confirmed(late, full)
-        return components(links.union(more)) if more.limit(1).count() else label
-
-    def _late(self, led: DataFrame, star: DataFrame, label: DataFrame, full: DataFrame, facts: DataFrame) -> tuple[DataFrame, DataFrame]:
-        """Pairs of a bucket in different components that its leader has not settled, and the sets they need.
-
-        Two sets have at most ``min(|x & L|, |y & L|)`` elements of their leader L
-        in common; what a link needs beyond that they must share outside L. So
-        pairs are found through the rarest elements that the leader lacks, which
-        edits introduced and few texts have (a prefix filter, so none is lost). Pairs
-        that could be linked by the leader's elements alone go by the sketches.
-        Only members with a plausible partner, other than the leader, take part.
-        """
-        named = led.where("members > 2").join(label, "cls", "left").withColumn("own", F.coalesce("comp", "cls")).drop("comp", "members")
-        named = named.join(label.select(F.col("cls").alias("leader"), F.col("comp").alias("lc")), "leader", "left").withColumn("rest", F.col("own") != F.coalesce("lc", "leader")).drop("lc")
-        named = materialise(named.join(facts, "cls"), "members")
-        rest, other = named.where("rest").alias("x"), named.where("cls != leader").alias("y")
-        partner = (F.col("x.key") == F.col("y.key")) & (F.col("x.own") != F.col("y.own")) & self._plausible("x", "y")
-        own = rest.join(other, partner, "left_semi").union(other.join(rest, partner, "left_semi")).select("cls", "leader", "own", "rest").distinct()
-        own = materialise(own, "unsettled")
-        lacking = own.select("cls").union(own.select("leader")).distinct().join(full, "cls", "left_anti")
-        full = full.unionByName(self.full_sets(lacking))
-        both = self._with_sets(own, "leader", "cls", full)
-        new = F.array_except("y", "x")
-        open_ = materialise(both.select("leader", "cls", "own", "rest", F.size("y").alias("n"), (F.size("y") - F.size(new)).alias("inside"), new.alias("new")), "open")
+        star = led.select("cls", "leader").distinct().join(facts.alias("x"), "cls").join(facts.withColumnRenamed("cls", "leader").alias("y"), "leader")
+        star = materialise(star.select("leader", "cls", F.col("x.n").alias("n"), F.col("y.n").alias("ln"), self._plausible("x", "y").alias("plausible")), "stars")
+        full = self.full_sets(star.select("cls").union(star.select("leader")).distinct())
+        both = self._with_sets(star, "leader", "cls", full)
+        apart = F.concat(F.array_except("y", "x"), F.array_except("x", "y")).alias("apart")
+        around = materialise(both.select("leader", "cls", "n", "ln", "plausible", apart), "around")
+        t = self.threshold
+        near = around.where(f"plausible and {100 + t} * size(apart) <= {100 - t} * (n + ln)")
+        label = components(near.select(F.col("leader").alias("a"), F.col("cls").alias("b")))
+        return self._late(led, around, label, full, facts)
+
+    def _named(self, rows: DataFrame, label: DataFrame) -> DataFrame:
+        """rows with ``own``, the component of their class, as it is now."""
+        return rows.drop("own").join(label, "cls", "left").withColumn("own", F.coalesce("comp", "cls")).drop("comp")
+
+    def _open(self, led: DataFrame, around: DataFrame, label: DataFrame) -> DataFrame:
+        """The members that may have a link which their leader has not shown, with what prefixes follow from."""
+        t = self.threshold
+        named = self._named(led.where("members > 2").select("key", "cls", "leader"), label)
+        named = named.join(label.select(F.col("cls").alias("leader"), F.col("comp").alias("lc")), "leader", "left").withColumn("rest", F.col("own") != F.coalesce("lc", "leader"))
+        named = materialise(named.select("key", "cls", "leader", "own", "rest"), "members")
+        keys = named.groupBy("key").agg(F.max("rest").alias("any"), F.min("own").alias("x"), F.max("own").alias("y")).where("any and x != y").select("key")
+        open_ = named.join(keys, "key", "left_semi").select("leader", "cls", "rest").distinct()
+        open_ = around.join(open_, ["leader", "cls"]).withColumn("id", F.xxhash64("leader", "cls"))
+        tokens = materialise(open_.select("id", "leader", F.explode("apart").alias("token")).select("id", F.xxhash64("leader", "token").alias("h")), "tokens")
+        common = tokens.groupBy("h").agg(F.count("*").alias("f")).where("f > 1")
+        lists = tokens.join(common, "h").groupBy("id").agg(F.sort_array(F.collect_list(F.struct("f", "h"))).alias("l"), F.sum("f").alias("weight"))
+        out = open_.select("id", "cls", "rest", "n", "ln", F.size("apart").alias("s")).join(lists, "id")
+        w, least = f"{100 + t} * s - {100 - t} * n", f"{100 - t} * ln"
+        return materialise(out.withColumn("w", F.expr(w)).withColumn("linked", F.expr(least)).withColumn("first", F.expr("s - size(l) + 1")).drop("id", "ln"), "open")
+
+    def _roles(self, open_: DataFrame) -> tuple[DataFrame, DataFrame]:
+        """Entries of the prefixes: of the member with the smaller w by its own class, of the other by each class it may meet."""
         t = self.threshold
-        need = t * (F.col("x.n") + F.col("y.n")) - (100 + t) * F.least("x.inside", "y.inside")
-        pair = [F.least("x.cls", "y.cls").alias("a"), F.greatest("x.cls", "y.cls").alias("b")]
-        sizes = 100 * F.least("x.n", "y.n") >= t * F.greatest("x.n", "y.n")
-        apart = (F.col("x.own") != F.col("y.own")) & sizes
-        # of elements in one order, rarest first, two sets that share k of n have one in common among the first n - k + 1
-        smallest = t * (F.col("n") + F.ceil(t * F.col("n") / 100)) - (100 + t) * F.col("inside")
-        enough = F.size("new") - F.greatest(F.lit(1), F.ceil(smallest / (100 + t))) + 1
-        tokens = open_.select("leader", "cls", "own", "rest", "n", "inside", enough.alias("enough"), F.explode("new").alias("token"))
-        common = tokens.groupBy("leader", "token").agg(F.count("*").alias("f"))
-        place = F.row_number().over(Window.partitionBy("leader", "cls").orderBy("f", "token"))
-        tokens = materialise(tokens.join(common, ["leader", "token"]).withColumn("place", place).where("place <= enough and f > 1").drop("enough", "place", "f"), "tokens")
-        x, y = tokens.where("rest").alias("x"), tokens.alias("y")
-        # of two that are both rest one order is enough
-        once = ~F.col("y.rest") | (F.col("x.cls") < F.col("y.cls"))
-        met = x.join(y, (F.col("x.leader") == F.col("y.leader")) & (F.col("x.token") == F.col("y.token")) & apart & once & (need > 0)).select(*pair)
-        # the leader's elements could be enough: few sets, smaller than the leader's, are like that
-        known = named.select("key", "cls", "leader", *_SKETCH).join(open_.drop("new"), ["cls", "leader"])
-        inner = known.where("rest").alias("x").join(known.alias("y"), (F.col("x.key") == F.col("y.key")) & apart & once & (need <= 0) & self._plausible("x", "y")).select(*pair)
-        stars = star.select(*_ordered("cls", "leader"))
-        return met.union(inner).distinct().join(stars, ["a", "b"], "left_anti"), full
+        two = 2 * (100 + t)
+        cls_of = lambda w: f"cast(floor({FINE} * asinh(({w}) / ({FINE} * 0.5D * linked))) as int)"
+        edge = f"{FINE} * 0.5D * linked * sinh(k / {FINE}.0D)"
+        each = open_.select("cls", "rest", "n", "s", "w", "linked", "weight", "first", F.posexplode("l").alias("i", "e"))
+        each = each.select("cls", "rest", "n", "s", "w", "linked", "weight", F.col("e.h").alias("h"), (F.col("first") + F.col("i")).alias("place"))
+        less = each.where(f"place <= s + 1 - ceil((w + greatest(w, linked + 1)) / {two}.0D)").withColumn("k", F.expr(cls_of("w")))
+        lowest = f"case when rest then greatest(w - {200 * (100 - t)}.0D * n / {t}, -linked) else linked + 1 end - 0.5D"
+        more = each.withColumn("ks", F.expr(f"case when rest or w > linked then sequence({cls_of(lowest)}, greatest({cls_of(lowest)}, {cls_of('w')})) end"))
+        more = more.withColumn("k", F.explode("ks")).where(f"place <= s + 1 - greatest(1, ceil((w + {edge}) / {two}.0D - 1e-6D))")
+        return less.drop("linked"), more.drop("ks", "linked")
+
+    def _late(self, led: DataFrame, around: DataFrame, label: DataFrame, full: DataFrame, facts: DataFrame) -> DataFrame:
+        """The components once all links between members of a bucket have been found."""
+        t = self.threshold
+        open_ = self._open(led, around, label)
+        less, more = (materialise(part, "entries") for part in self._roles(open_))
+        entries = materialise(less.select("h", "cls", "weight").union(more.select("h", "cls", "weight")).distinct(), "prefixes")
+        tested = None
+        meet = less.groupBy("h", "k").agg(F.count("*").alias("x")).join(more.groupBy("h", "k").agg(F.count("*").alias("y")), ["h", "k"])
+        crowded = (meet.agg(F.sum(F.col("x") * F.col("y"))).first()[0] or 0) > CROSSINGS * entries.count()
+        for number in range(ROUNDS if crowded else 0):
+            named = self._named(entries, label)
+            owns = named.groupBy("h", "own").agg(F.count("*").alias("c"), F.max(F.struct("weight" if not number else F.xxhash64("cls", F.lit(number)).alias("weight"), "cls")).alias("m"))
+            most = owns.groupBy("h").agg(F.max(F.struct("c", "own", "m")).alias("big"), F.sum("c").alias("every")).where("every > big.c")
+            most = materialise(most, "fullest")
+            second = owns.join(most, "h").where("own != big.own").groupBy("h").agg(F.max(F.struct("m.weight", "m.cls", "own")).alias("m"))
+            chosen = most.select("h", F.col("big.m.cls").alias("lead"), F.col("big.own").alias("lead_own")).union(second.select("h", "m.cls", "m.own"))
+            pairs = named.join(chosen, "h").where("own != lead_own").select(*_ordered("cls", "lead")).distinct()
+            pairs = pairs.join(tested, ["a", "b"], "left_anti") if tested is not None else pairs
+            pairs = materialise(pairs, "second-stars")
+            tested = pairs if tested is None else tested.union(pairs)
+            links = self.confirmed(self._alike(pairs, facts), full)
+            if not links.limit(1).count():
+                break
+            label = merged(label, links)
+        # what the largest component of an element's members has among itself is no pair: only others meet it
+        named = self._named(entries, label)
+        owns = named.groupBy("h", "own").agg(F.count("*").alias("c"))
+        most = owns.groupBy("h").agg(F.max(F.struct("c", "own")).alias("big"), F.sum("c").alias("every")).where("every > big.c").select("h", F.col("big.own").alias("big"))
+        most = materialise(most, "fullest")
+        x = self._named(more, label).join(most, "h").withColumn("side", F.explode(F.when(F.col("own") == F.col("big"), F.array(F.lit(False))).otherwise(F.array(F.lit(False), F.lit(True)))))
+        y = self._named(less, label).join(most, "h").withColumn("side", F.col("own") == F.col("big"))
+        two = 2 * (100 + t)
+        met = F.expr(
+            f"x.h = y.h and x.k = y.k and x.side = y.side and x.own != y.own and (x.rest or y.rest) and (x.w > y.w or x.w = y.w and x.cls > y.cls)"
+            f" and 100 * least(x.n, y.n) >= {t} * greatest(x.n, y.n) and 1 + least(x.s - x.place, y.s - y.place) >= (x.w + y.w) / {two}.0D"
+        )
+        pairs = x.alias("x").join(y.alias("y"), met).select(*_ordered("x.cls", "y.cls")).distinct()
+        pairs = pairs.join(tested, ["a", "b"], "left_anti") if tested is not None else pairs
+        links = self.confirmed(self._alike(pairs, facts), full)
+        return merged(label, links) if links.limit(1).count() else label
+
+    def _alike(self, pairs: DataFrame, facts: DataFrame) -> DataFrame:
+        """Those pairs that the sketches do not rule out."""
+        both = pairs.join(facts.withColumnRenamed("cls", "a").alias("x"), "a").join(facts.withColumnRenamed("cls", "b").alias("y"), "b")
+        return both.where(self._plausible("x", "y")).select("a", "b")
+
+
+def merged(label: DataFrame, links: DataFrame) -> DataFrame:
+    """The components of ``label`` joined where ``links`` connect them; only components are walked, not their members."""
+    comp = lambda c: label.select(F.col("cls").alias(c), F.col("comp").alias(f"{c}_own"))
+    own = links.join(comp("a"), "a", "left").join(comp("b"), "b", "left").select(F.coalesce("a_own", "a").alias("a"), F.coalesce("b_own", "b").alias("b"))
+    far = components(own.where("a != b").distinct()).select(F.col("cls").alias("old"), F.col("comp").alias("new"))
+    moved = label.join(far, F.col("comp") == F.col("old"), "left").select("cls", F.coalesce("new", "comp").alias("comp"))
+    fresh = far.join(label, F.col("old") == F.col("cls"), "left_anti").select(F.col("old").alias("cls"), F.col("new").alias("comp"))
+    return materialise(moved.union(fresh), "labels")
 
 
 def components(links: DataFrame) -> DataFrame:
@@ -277,29 +353,37 @@ def components(links: DataFrame) -> DataFrame:
             return label
 
 
-def find_near_duplicates(docs: DataFrame, *, shingle: int = SHINGLE, threshold: float = THRESHOLD) -> DataFrame:
-    """doc_id, n_shingles, component_id, kept of every document row."""
+def _judged(docs: DataFrame, shingle: int, threshold: float) -> DataFrame:
+    """doc_id, row (its text's hash), n_shingles, component_id, kept of every document row."""
     job = _Job(docs, shingle, threshold)
     labels = job.links()
     linked = job.classes.select("cls", "rep").join(labels, "cls")
     least = linked.groupBy("comp").agg(F.min("rep").alias("least"))
     linked = linked.join(least, "comp").select("cls", "least")
     of_class = materialise(job.classes.select("cls", "rep").join(linked, "cls", "left").select("cls", F.coalesce("least", "rep").alias("component_id")), "components")
-    out = job.signed.select("doc_id", F.col("n").alias("n_shingles"), "cls").join(of_class, "cls", "left")
+    out = job.signed.select("doc_id", "row", F.col("n").alias("n_shingles"), "cls").join(of_class, "cls", "left")
     component = F.when(F.col("cls").isNull(), F.col("doc_id")).otherwise(F.col("component_id"))
-    out = out.select("doc_id", "n_shingles", component.alias("component_id"))
+    out = out.select("doc_id", "row", "n_shingles", component.alias("component_id"))
     return out.withColumn("kept", F.coalesce(F.col("doc_id") == F.col("component_id"), F.col("component_id").isNull()))
 
 
+def find_near_duplicates(docs: DataFrame, *, shingle: int = SHINGLE, threshold: float = THRESHOLD) -> DataFrame:
+    """doc_id, n_shingles, component_id, kept of every document row."""
+    return _judged(docs, shingle, threshold).drop("row")
+
+
 def drop_near_duplicates(docs: DataFrame, *, shingle: int = SHINGLE, threshold: float = THRESHOLD) -> DataFrame:
     """One document of each component, with its columns as they were.
 
-    A document goes if its id is that of one that is not kept. Rows that share
-    the kept id are one document if their text is the same too.
+    A row goes if its id and text are those of one that is not kept, so rows
+    that share an id are judged apart. Kept rows with the same id and text are
+    one document.
     """
-    found = materialise(find_near_duplicates(docs, shingle=shingle, threshold=threshold), "near-duplicates")
-    gone = found.where(~F.col("kept")).select(F.col("doc_id").alias("__gone")).distinct()
+    found = materialise(_judged(docs, shingle, threshold).select("doc_id", "row", "kept"), "near-duplicates")
+    name, text = unused("id", docs.columns), unused("row", docs.columns)
+    gone = found.where(~F.col("kept")).select(F.col("doc_id").alias(name), F.col("row").alias(text)).distinct()
     few = gone.limit(BROADCAST_ROWS + 1).count() <= BROADCAST_ROWS
-    left = docs.join(F.broadcast(gone) if few else gone, docs["doc_id"].eqNullSafe(F.col("__gone")), "left_anti")
-    twice = found.where("kept").groupBy("doc_id").count().where("count > 1")
+    same = docs["doc_id"].eqNullSafe(F.col(name)) & (F.xxhash64(docs["text"]) == F.col(text))
+    left = docs.join(F.broadcast(gone) if few else gone, same, "left_anti")
+    twice = found.where("kept").groupBy("doc_id", "row").count().where("count > 1")
     return left.dropDuplicates(["doc_id", "text"]) if twice.limit(1).count() else left

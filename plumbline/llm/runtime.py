@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 import tempfile
 import uuid
 
@@ -11,13 +12,16 @@ from pyspark.sql import DataFrame, SparkSession
 def scratch_dir(spark: SparkSession) -> str:
     """The folder that driver and executors share, as ``spark.checkpoint.dir`` names it.
 
-    Only where the session has none (tests, notebooks in local mode) a temporary
-    folder is made and kept for the session.
+    Where the session has none, in local mode (tests, notebooks) a temporary
+    folder is made and kept for the session; on a cluster that is an error,
+    since executors would not see each other's files.
     """
     named = spark.sparkContext.getConf().get("spark.checkpoint.dir", None)
     if not named:
         named = spark.conf.get("plumbline.scratch.dir", None)
     if not named:
+        if not re.match(r"local(\[[^-]*\])?$", spark.sparkContext.master):
+            raise ValueError("spark.checkpoint.dir must name a folder that driver and executors share")
         named = "file://" + tempfile.mkdtemp(prefix="plumbline-")
         spark.conf.set("plumbline.scratch.dir", named)
     return named.rstrip("/")
@@ -42,3 +46,11 @@ def materialise(df: DataFrame, name: str) -> DataFrame:
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+
+
+def unused(name: str, columns: list[str]) -> str:
+    """A column name like the one given that the table does not have."""
+    taken = {c.lower() for c in columns}
+    while name.lower() in taken:
+        name += "_"
+    return name
