@@ -8,13 +8,17 @@ by multiplicative weights: each length has a price that falls as it is covered,
 the next configuration is the most valuable one at these prices (a knapsack,
 priced by dynamic programming over the capacity), and it is taken in proportion.
 The fractional solution is rounded down to whole configurations, the prices are
-found anew for what is left, and the last rest is placed by best fit.
+found anew for what is left, and the last rest is placed by best fit, on counts
+of equal sequences, so that its cost follows from the lengths, not the pieces.
+The prices are a dual solution as well: what all pieces are worth over what one
+sequence can be worth is a lower bound of the number of sequences.
 
 Distribution: one map-side pass cuts the texts and numbers the pieces of each
 length within their task; the written piece table fixes that numbering. Counts
 by (task, length) turn it into a rank within the length, and a small table of
-rank intervals, whose size depends on the histogram only, places each rank in
-its sequence. Texts are never shuffled and no length is gathered in one task.
+rank intervals places each rank in its sequence, by binary search: its size
+depends on the capacity only (a few for each length and configuration), so it is
+broadcast. Texts are never shuffled and no length is gathered in one task.
 
 Defined cases: a null text counts as empty and is one piece, the end token;
 repeated rows are separate documents; null ids stay null; an empty table gives
@@ -25,6 +29,7 @@ from __future__ import annotations
 
 import zlib
 from collections import Counter
+from math import ceil
 
 import numpy as np
 import pyarrow as pa
@@ -39,8 +44,6 @@ END_ID = 0
 STEPS, SEEDS, ROUNDS = 60, 24, 3
 #: How much of a length a round may place.
 SHARE = 0.6
-#: Pieces that best fit places one by one.
-LISTED = 400_000
 _built: dict[str, Encoder] = {}
 _PIECE = "doc_id long, piece int, start long, length long, ids_crc32 long, task long, nth long"
 
@@ -99,8 +102,8 @@ def _configuration(first: int, lengths: np.ndarray, taken: np.ndarray, capacity:
     return out
 
 
-def _weights_round(lengths: np.ndarray, demand: np.ndarray, capacity: int) -> Counter:
-    """A fractional cover of the demand: configurations and how often each is taken.
+def _weights_round(lengths: np.ndarray, demand: np.ndarray, capacity: int) -> tuple[Counter, float]:
+    """A fractional cover of the demand, configurations and how often each is taken, and a lower bound of any cover.
 
     One knapsack table prices the best configuration around every item, so each
     step takes those around the SEEDS items that lag behind most.
@@ -108,75 +111,101 @@ def _weights_round(lengths: np.ndarray, demand: np.ndarray, capacity: int) -> Co
     covered = np.zeros(len(lengths))
     each = float(lengths @ demand) / capacity / (STEPS * SEEDS)
     taken: Counter = Counter()
-    rate = np.log(len(lengths) + 1.0)
+    rate, bound = np.log(len(lengths) + 1.0), 0.0
     for _ in range(STEPS):
         # the price of a length: its size, raised or lowered as it lags behind or runs ahead
         lag = covered / demand - covered @ lengths / (demand @ lengths)
         prices = lengths * np.exp(-np.clip(rate * lag, -8, 8))
-        table = _knapsack(lengths, prices, capacity)[1]
+        value, table = _knapsack(lengths, prices, capacity)
+        bound = max(bound, float(prices @ demand) / value[capacity])
         for seed in np.argsort(lag - lengths / capacity, kind="stable")[:SEEDS].tolist():
             items = _configuration(seed, lengths, table, capacity)
             np.add.at(covered, items, each)
             taken[tuple(sorted(items))] += each
-    return taken
+    return taken, bound
 
 
-def _best_fit(lengths: list[int], capacity: int) -> list[list[int]]:
-    """Longest first, each into the fullest sequence that still has room."""
-    room: list[list[int]] = [[] for _ in range(capacity + 1)]
-    bins: list[list[int]] = []
+def best_fit(counts: dict[int, int], capacity: int) -> Counter:
+    """Longest first, each into the fullest sequence that still has room: configurations and how often each is made.
+
+    Sequences with equal contents are counted, not listed. Of those with the same
+    room each takes all it can of a length before the next one does.
+    """
+    room: list[list[list]] = [[] for _ in range(capacity + 1)]
     occupied = np.zeros(capacity + 1, bool)
-    for length in lengths:
-        open_ = np.flatnonzero(occupied[length:])
-        if len(open_):
-            r = length + int(open_[0])
-            b = room[r].pop()
-            occupied[r] = bool(room[r])
-        else:
-            r, b = capacity, len(bins)
-            bins.append([])
-        bins[b].append(length)
-        room[r - length].append(b)
-        occupied[r - length] = True
-    return bins
 
+    def put(items: tuple[int, ...], times: int) -> None:
+        if times:
+            r = capacity - sum(items)
+            room[r].append([items, times])
+            occupied[r] = True
+
+    for length in sorted(counts, reverse=True):
+        left = counts[length]
+        while left:
+            open_ = np.flatnonzero(occupied[length:])
+            if len(open_):
+                r = length + int(open_[0])
+                items, times = room[r].pop()
+                occupied[r] = bool(room[r])
+            else:
+                r, items, times = capacity, (), left
+            fit = r // length
+            full = min(times, left // fit)
+            put(items + (length,) * fit, full)
+            left, times = left - full * fit, times - full
+            if left and times:  # fewer than one takes
+                put(items + (length,) * left, 1)
+                left, times = 0, times - 1
+            if items:
+                put(items, times)
+    out: Counter = Counter()
+    for group in room:
+        for items, times in group:
+            out[items] += times
+    return out
 
-def plan_sequences(histogram: dict[int, int], *, capacity: int = CAPACITY) -> list[tuple[tuple[int, ...], int]]:
-    """Configurations (lengths, longest first) and how many sequences have each.
+
+def plan_with_bound(histogram: dict[int, int], *, capacity: int = CAPACITY) -> tuple[list[tuple[tuple[int, ...], int]], int]:
+    """Configurations (lengths, longest first) and how many sequences have each, and the least number of sequences there could be.
 
     Together they hold every length exactly as often as the histogram says.
     """
     left = {n: c for n, c in histogram.items() if c > 0}
     plan: Counter = Counter()
-    if capacity in left:
-        plan[(capacity,)] = left.pop(capacity)
-    for _ in range(ROUNDS):
+    whole = left.pop(capacity, 0)
+    if whole:
+        plan[(capacity,)] = whole
+    bound = 0.0
+    if left:
+        lengths, demand = np.array(sorted(left)), np.array([left[n] for n in sorted(left)], float)
+        for prices in (lengths.astype(float), (2 * lengths > capacity).astype(float)):
+            if prices.any():
+                bound = max(bound, float(prices @ demand) / _knapsack(lengths, prices, capacity)[0][capacity])
+    for number in range(ROUNDS):
         if sum(left.values()) < 256:
             break
         lengths = np.array(sorted(left))
         demand = np.array([left[n] for n in lengths.tolist()], float)
         # whole configurations only, none beyond its share: what is left keeps the histogram's shape
         share = {n: int(SHARE * c) for n, c in left.items()}
-        for items, times in sorted(_weights_round(lengths, demand, capacity).items(), key=lambda x: -x[1]):
+        taken, least = _weights_round(lengths, demand, capacity)
+        bound = bound if number else max(bound, least)
+        for items, times in sorted(taken.items(), key=lambda x: -x[1]):
             need = Counter(lengths[list(items)].tolist())
-            whole = min([max(1, int(times)), *(share[n] // c for n, c in need.items())])
-            if whole > 0 and sum(n * c for n, c in need.items()) == capacity:
-                plan[tuple(sorted(need.elements(), reverse=True))] += whole
+            most = min([max(1, int(times)), *(share[n] // c for n, c in need.items())])
+            if most > 0 and sum(n * c for n, c in need.items()) == capacity:
+                plan[tuple(sorted(need.elements(), reverse=True))] += most
                 for n, c in need.items():
-                    left[n] -= whole * c
-                    share[n] -= whole * c
+                    left[n] -= most * c
+                    share[n] -= most * c
         left = {n: c for n, c in left.items() if c > 0}
-    # the rest, at most LISTED pieces at a time: beyond that, equal sequences are counted, not listed
-    while left:
-        scale = -(-sum(left.values()) // LISTED)
-        part = {n: c // scale for n, c in left.items() if c >= scale} or dict(left)
-        scale = 1 if part == left else scale
-        for b in _best_fit([n for n in sorted(part, reverse=True) for _ in range(part[n])], capacity):
-            plan[tuple(sorted(b, reverse=True))] += scale
-            for n in b:
-                left[n] -= scale
-        left = {n: c for n, c in left.items() if c > 0}
-    return list(plan.items())
+    plan.update(best_fit(left, capacity))
+    return list(plan.items()), whole + ceil(bound * (1 - 1e-12) - 1e-9)
+
+
+def plan_sequences(histogram: dict[int, int], *, capacity: int = CAPACITY) -> list[tuple[tuple[int, ...], int]]:
+    return plan_with_bound(histogram, capacity=capacity)[0]
 
 
 def _intervals(plan: list[tuple[tuple[int, ...], int]]) -> list[tuple[int, int, int, int, int, int]]:
@@ -201,17 +230,20 @@ def pack_documents(docs: DataFrame, tokenizer_path: str, *, capacity: int = CAPA
     before = Window.partitionBy("length").orderBy("task").rowsBetween(Window.unboundedPreceding, -1)
     firsts = counts.select("length", "task", F.coalesce(F.sum("count").over(before), F.lit(0)).alias("first"))
     histogram = {r["length"]: r["n"] for r in pieces.groupBy("length").agg(F.count("*").alias("n")).collect()}
-    rows = _intervals(plan_sequences(histogram, capacity=capacity))
-    places = spark.createDataFrame(rows, "l long, lo long, hi long, sequence long, per long, at long")
-    ranked = pieces.join(firsts, ["length", "task"]).withColumn("rank", F.col("first") + F.col("nth"))
-    placed = ranked.join(F.broadcast(places), (F.col("length") == F.col("l")) & (F.col("rank") >= F.col("lo")) & (F.col("rank") < F.col("hi")))
-    k = F.col("rank") - F.col("lo")
-    return placed.select(
-        "doc_id",
-        "piece",
-        "start",
-        "length",
-        "ids_crc32",
-        (F.col("sequence") + F.expr("(rank - lo) div per")).alias("sequence_id"),
-        (F.col("at") + F.pmod(k, F.col("per")) * F.col("length")).alias("offset"),
-    )
+    rows = sorted(_intervals(plan_sequences(histogram, capacity=capacity)))
+    places = spark.sparkContext.broadcast(np.array(rows, np.int64).reshape(-1, 6))
+    ranked = pieces.join(firsts, ["length", "task"]).select("doc_id", "piece", "start", "length", "ids_crc32", (F.col("first") + F.col("nth")).alias("rank"))
+
+    def place(batches):
+        table = places.value
+        starts = table[:, 0] << 48 | table[:, 1]
+        for batch in batches:
+            if not batch.num_rows:
+                continue
+            length, rank = (batch.column(k).to_numpy() for k in (3, 5))
+            at = np.searchsorted(starts, length << 48 | rank, "right") - 1
+            k, per = rank - table[at, 1], table[at, 4]
+            found = [pa.array(table[at, 3] + k // per), pa.array(table[at, 5] + k % per * length)]
+            yield pa.RecordBatch.from_arrays([*batch.columns[:5], *found], names=["doc_id", "piece", "start", "length", "ids_crc32", "sequence_id", "offset"])
+
+    return ranked.mapInArrow(place, "doc_id long, piece int, start long, length long, ids_crc32 long, sequence_id long, offset long")
