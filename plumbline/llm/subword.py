@@ -5,7 +5,9 @@ of its chunks, one after another, and a chunk's ids can be kept. Which texts
 may be split this way is decided from their characters alone: code points below
 U+0300, whose case, composition and category agree in Python and in the
 library, without the separators U+001C to U+001F and without ``<|``, which may
-begin a special token. Every other text goes through the library as a whole.
+begin a special token. Every other text goes through the library as a whole, and
+so does every text if the file's normaliser, pre-tokens or model are not those
+that are written out here.
 """
 
 from __future__ import annotations
@@ -17,8 +19,8 @@ from collections.abc import Iterator
 
 import numpy as np
 
-#: Entries in each of the two generations of a worker's cache.
-CACHE_ENTRIES = 400_000
+#: Entries in each of the two generations of a worker's cache, about 170 bytes each; longer keys than LONG characters are not kept.
+CACHE_ENTRIES, LONG = 300_000, 64
 
 
 def _class(*initials: str) -> str:
@@ -39,15 +41,43 @@ _PRINTABLE = [*range(33, 127), *range(161, 173), *range(174, 256)]
 _LETTER = {b: b for b in _PRINTABLE} | {b: 256 + k for k, b in enumerate(b for b in range(256) if b not in _PRINTABLE)}
 
 
+#: How a file has to normalise and split for its texts to be split here.
+_NORMAL = [{"type": "NFC"}, {"type": "Replace", "pattern": {"Regex": "\\s+"}, "content": " "}, {"type": "Lowercase"}]
+_PATTERN = "'s|'t|'re|'ve|'m|'ll|'d|[\\p{L}]+|[\\p{N}]|[^\\s\\p{L}\\p{N}]+"
+_SPLIT = [
+    {"type": "Split", "pattern": {"Regex": _PATTERN}, "behavior": "Removed", "invert": True},
+    {"type": "ByteLevel", "add_prefix_space": False, "trim_offsets": True, "use_regex": False},
+]
+
+
+def _as_written_here(file: dict) -> bool:
+    model, split = file["model"], file.get("pre_tokenizer") or {}
+    plain = all(not model.get(k) for k in ("dropout", "unk_token", "continuing_subword_prefix", "fuse_unk", "byte_fallback", "ignore_merges"))
+    special = all(t["content"].startswith("<|") and not t["normalized"] for t in file.get("added_tokens", ()))
+    same = (file.get("normalizer") or {}).get("normalizers") == _NORMAL and split.get("pretokenizers") == _SPLIT
+    letters = plain and bool(model.get("end_of_word_suffix")) and all(chr(c) + e in model["vocab"] for c in _LETTER.values() for e in ("", model["end_of_word_suffix"]))
+    return model.get("type") == "BPE" and special and same and letters and not file.get("truncation") and not file.get("padding")
+
+
 class Encoder:
-    """ids of texts, and of pre-tokens, of one ``tokenizers`` file."""
+    """ids of texts, and of pre-tokens, of one ``tokenizers`` file.
+
+    ``splits`` tells whether texts of this file may be split at white space.
+    """
 
     def __init__(self, path: str):
         from tokenizers import Tokenizer
 
         self.whole = Tokenizer.from_file(path)
+        self.whole.no_truncation()
+        self.whole.no_padding()
         with open(path, encoding="utf-8") as f:
-            model = json.load(f)["model"]
+            file = json.load(f)
+        self.kept: Kept = Kept()
+        self.splits = _as_written_here(file)
+        if not self.splits:
+            return
+        model = file["model"]
         self.vocabulary = ids = model["vocab"]
         self.end = model["end_of_word_suffix"]
         self.symbols = {chr(c): ids[chr(c)] for c in _LETTER.values()}
@@ -60,8 +90,9 @@ class Encoder:
         self._keys = np.array(sorted(self.merges), np.int64)
         self._values = np.array([self.merges[k] for k in self._keys.tolist()], np.int64)
         self._inner, self._outer = (np.array([ids_of.get(chr(c), -1) for c in range(512)], np.int64) for ids_of in (self.symbols, self.last))
-        self.words: Kept = Kept()
-        self.chunks: Kept = Kept()
+
+    def plain(self, text: str) -> str | None:
+        return plain_text(text) if self.splits else None
 
     def _mapped(self, word: str) -> str:
         if word.isascii() and word.isprintable():
@@ -148,14 +179,14 @@ class Encoder:
             sizes[live] -= 1
 
     def learn(self, chunks: set[str]) -> None:
-        """Have the ids of all these chunks in the cache."""
-        fresh = list(self.chunks.lacks(chunks))
-        split = [[c] if c.isalpha() else _PRE.findall(c) for c in fresh]
-        words = list(self.words.lacks({w for parts in split for w in parts}))
-        own = self.words.young
-        own.update(zip(words, self.pre_token_many(words)))
-        ids = [own[parts[0]] if len(parts) == 1 else b"".join([own[w] for w in parts]) for parts in split]
-        self.chunks.young.update(zip(fresh, ids))
+        """Have the ids of all these chunks in the cache; a chunk of one pre-token is kept once."""
+        fresh, own = self.kept.lacks(chunks), self.kept.young
+        split = {c: parts for c in fresh if not c.isalpha() and len(parts := _PRE.findall(c)) > 1}
+        words = fresh.difference(split)
+        words |= self.kept.lacks({w for parts in split.values() for w in parts})
+        many = list(words)
+        own.update(zip(many, self.pre_token_many(many)))
+        own.update((c, b"".join([own[w] for w in parts])) for c, parts in split.items())
 
     def ids_many(self, texts: list[str]) -> Iterator[bytes]:
         """The ids of each text as little-endian unsigned 32-bit integers.
@@ -164,16 +195,15 @@ class Encoder:
         what is held besides the cache has a bound.
         """
         for part in slices(texts):
-            split = [None if (plain := plain_text(t)) is None else plain.split() for t in part]
+            split = [None if (plain := self.plain(t)) is None else plain.split() for t in part]
             self.learn(set().union(*[chunks for chunks in split if chunks]))
-            get = self.chunks.young.__getitem__
+            get = self.kept.young.__getitem__
             for text, chunks in zip(part, split):
                 if chunks is None:
                     yield np.array(self.whole.encode(text, add_special_tokens=False).ids, "<u4").tobytes()
                 else:
                     yield b"".join(map(get, chunks))
-            self.words.age()
-            self.chunks.age()
+            self.kept.age()
 
 
 def slices(texts: list[str], characters: int = 1_000_000) -> Iterator[list[str]]:
@@ -198,20 +228,20 @@ class Kept:
     the old one to the young one; ``age()`` lets the old one go once the young
     one is full. Between the two, what was asked for is in ``young``."""
 
-    def __init__(self, entries: int = CACHE_ENTRIES):
-        self.entries, self.young, self.old = entries, {}, {}
+    def __init__(self, entries: int | None = None):
+        self.entries, self.young, self.old = entries or CACHE_ENTRIES, {}, {}
 
     def lacks(self, keys: set) -> set:
         missing = keys.difference(self.young)
         if self.old and missing:
-            again = missing.intersection(self.old)
-            self.young.update((k, self.old[k]) for k in again)
-            missing -= again
+            old = self.old
+            self.young.update([(k, old[k]) for k in missing if k in old])
+            missing = missing.difference(self.young)
         return missing
 
     def age(self) -> None:
         if len(self.young) >= self.entries:
-            self.old, self.young = self.young, {}
+            self.old, self.young = {k: v for k, v in self.young.items() if len(k) <= LONG}, {}
 
 
 def plain_text(text: str) -> str | None:
@@ -219,23 +249,3 @@ def plain_text(text: str) -> str | None:
     if _ODD.search(text):
         return None
     return text.lower() if text.isascii() else unicodedata.normalize("NFC", text).lower()
-
-
-def frequent_lengths(path: str) -> dict[str, int]:
-    """Token counts of the pre-tokens that the file's own vocabulary holds whole.
-
-    A BPE vocabulary is the list of the pre-tokens most frequent in the text it
-    was made from; it has a fixed size and needs no pass over the corpus.
-    """
-    encoder = Encoder(path)
-    code = {chr(c): b for b, c in _LETTER.items()}
-    out = {}
-    for entry in encoder.vocabulary:
-        if entry.endswith(encoder.end) and all(c in code for c in entry[: -len(encoder.end)]):
-            try:
-                word = bytes(code[c] for c in entry[: -len(encoder.end)]).decode("utf-8")
-            except UnicodeDecodeError:
-                continue
-            if word and plain_text(word) == word and _PRE.findall(word) == [word]:
-                out[word] = len(encoder.pre_token(word))
-    return out

@@ -189,22 +189,54 @@ def test_packing(docs, none, library):
     assert packing.pack_documents(none, tokenizer_path()).count() == 0
 
 
-@pytest.mark.parametrize("listed", [400_000, 50])
-def test_plans_hold_the_histogram(monkeypatch, listed):
-    monkeypatch.setattr(packing, "LISTED", listed)
+def test_plans_hold_the_histogram():
     r = random.Random(1)
     lengths = [min(64, 1 + int(r.expovariate(1 / 20))) for _ in range(5_000)]
-    plan = packing.plan_sequences(Counter(lengths), capacity=64)
+    plan, bound = packing.plan_with_bound(Counter(lengths), capacity=64)
+    assert bound <= sum(t for _, t in plan) and bound >= ceil(sum(lengths) / 64)
     got = Counter()
     for items, times in plan:
         assert sum(items) <= 64
         for n in items:
             got[n] += times
     assert got == Counter(lengths)
-    assert sum(t for _, t in plan) <= (1.01 if listed > 50 else 1.08) * ceil(sum(lengths) / 64)
+    assert sum(t for _, t in plan) <= 1.01 * bound
     assert packing.plan_sequences({}) == []
 
 
+def test_plans_of_many_pieces_cost_what_their_lengths_cost():
+    """Sixty million pieces are as quick as a thousand: best fit works on counts, and the bound is the dual's."""
+    r = random.Random(5)
+    histogram = {n: r.randrange(1, 1_000_000) for n in range(1, 129)}
+    plan, bound = packing.plan_with_bound(histogram, capacity=128)
+    got = Counter()
+    for items, times in plan:
+        assert sum(items) <= 128
+        for n in items:
+            got[n] += times
+    assert got == Counter(histogram) and bound <= sum(t for _, t in plan) <= 1.01 * bound
+    # pieces of just over a third of a sequence: two fit, which the volume alone does not tell
+    plan, bound = packing.plan_with_bound({44: 1_000_001}, capacity=128)
+    assert sum(t for _, t in plan) == bound == 500_001
+
+
+def test_best_fit_of_counts_is_best_fit():
+    r = random.Random(6)
+    for _ in range(200):
+        counts = {r.randrange(1, 41): r.randrange(1, 9) for _ in range(r.randrange(1, 12))}
+        bins = []
+        for n in sorted(Counter(counts).elements(), reverse=True):
+            open_ = [b for b in bins if sum(b) + n <= 40]
+            (max(open_, key=sum) if open_ else bins.append([]) or bins[-1]).append(n)
+        # sequences that are equally full may be taken in any order, which leaves them as full
+        filled, used = Counter(), Counter()
+        for items, times in packing.best_fit(counts, 40).items():
+            filled[sum(items)] += times
+            for n in items:
+                used[n] += times
+        assert filled == Counter(map(sum, bins)) and used == Counter(counts)
+
+
 def test_token_counts(docs, none, library):
     found = _by_id(token_counts.count_tokens(docs, tokenizer_path()))
     for k, t in TEXT.items():
@@ -218,7 +250,7 @@ def test_ids_are_the_librarys(library):
     alphabet = [chr(c) for c in range(0x300)] + list("  '''stremd09\n") * 12 + ["\u0301", "\u2003", "Σ", "<|endoftext|>", "漢"]
     texts = ["".join(r.choice(alphabet) for _ in range(r.randrange(40))) for _ in range(3_000)] + [LONG]
     e = subword.Encoder(tokenizer_path())
-    e.chunks.entries = e.words.entries = 500
+    e.kept.entries = 500
     for t, ids in zip(texts, e.ids_many(texts), strict=True):
         told = library.encode(t, add_special_tokens=False).ids
         assert ids == struct.pack(f"<{len(told)}I", *told), t
@@ -226,10 +258,38 @@ def test_ids_are_the_librarys(library):
         assert e.pre_token(w) == library.encode(w, add_special_tokens=False).ids
 
 
+def test_frequent_table(spark, library):
+    """Tier one holds the corpus's own frequent words, whole texts are counted without it too, and its size has a bound."""
+    r = random.Random(3)
+    vocabulary = ["".join(r.choice("abcdefgh") for _ in range(r.randrange(2, 9))) + r.choice(["", "", ",", "'s"]) for _ in range(2_000)]
+    texts = [" ".join(r.choices(vocabulary, [1 / (i + 1) for i in range(2_000)], k=300)) for _ in range(40)] + [None, "x" * 70_000]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").repartition(3)
+    chunks = token_counts.frequent_chunks(docs, tokenizer_path())
+    assert chunks[0] in vocabulary[:3] and len(chunks) <= token_counts.FREQUENT and max(map(len, chunks)) <= token_counts.LONG
+    table = token_counts.read_table(token_counts.token_table(chunks, tokenizer_path()))
+    assert all(table[c] == len(library.encode(c, add_special_tokens=False).ids) for c in chunks[:200])
+    assert token_counts.read_table(token_counts.token_table([], tokenizer_path())) == {}
+    got = {x["doc_id"]: x["n_tokens"] for x in token_counts.count_tokens(docs, tokenizer_path()).collect()}
+    assert got == {i: len(library.encode(t or "", add_special_tokens=False).ids) for i, t in enumerate(texts)}
+
+
+def test_other_files_go_through_the_library(docs):
+    """A file with other pre-tokens is never split here."""
+    import public_tokenizers
+    from tokenizers import Tokenizer
+
+    path = public_tokenizers.path("byte_bpe_50k.json")
+    assert not subword.Encoder(path).splits and subword.Encoder(tokenizer_path()).splits
+    other = Tokenizer.from_file(path)
+    found = _by_id(token_counts.count_tokens(docs, path))
+    assert {k: v[2] for k, v in found.items()} == {k: len(other.encode(t or "", add_special_tokens=False).ids) for k, t in TEXT.items()}
+
+
 # 4 ---------------------------------------------------------------------------
 
 
-URLS = [None, "", "no-scheme", "http://www.Example.COM/en/77?x", "https://example.com/en/6", "x://com/en/", "http://a.b.net/de/8", "http://example.net/de/81#f", "http://example.net", "http://xcom/en/", "http://notexample.com/en/7", "http://s.org/es/?q=/", "http://s.org?/es/", "://com/en/7", "a://b://c/en/"]
+URLS = [None, "", "no-scheme", "http://www.Example.COM/en/77?x", "https://example.com/en/6", "x://com/en/", "http://a.b.net/de/8", "http://example.net/de/81#f", "http://example.net", "http://xcom/en/", "http://notexample.com/en/7", "http://s.org/es/?q=/", "http://s.org?/es/", "://com/en/7", "a://b://c/en/",
+        "http://example,x.com/en/7", "http://a.example,x.net/de/8", "http://a\0b.com/en/7", "http://a\x01.com/en/", "http://.com/en/", "http://example..com/en/7", "http://com./en/", "http://a.com/x/y"]
 
 
 def _judged(url, rules):
@@ -244,10 +304,12 @@ def _judged(url, rules):
     return host, path, best and best.host + best.path, best.verdict if best else "allow"
 
 
-@pytest.mark.parametrize("block", [200_000, 2])
+@pytest.mark.parametrize("block", [8 << 20, 1, 230])
 def test_url_rules(spark, monkeypatch, block):
-    monkeypatch.setattr(url_rules, "RULE_BLOCK", block)
+    monkeypatch.setattr(url_rules, "RULE_BYTES", block)
     extra = [*RULES, url_rules.Rule("block", "example.com", "/"), url_rules.Rule("block", "net", ""), url_rules.Rule("allow", "example.net", "/de/")]
+    # ties of every kind, in one block or several: the longer host, then allow; labels that are empty or hold the separator
+    extra += [url_rules.Rule(*r) for r in (("allow", "a.com", "/x"), ("block", "a.com", "/x"), ("block", "com", "/x/y"), ("block", "b.com", "/en/7"), ("block", "a\0b.com", ""), ("allow", "", "/en/"), ("block", ".com", "/en/"), ("block", "com.", ""), ("allow", "com.", ""))]
     pages = spark.createDataFrame([(i, u, "x") for i, u in enumerate(URLS * 3)], "page_id long, url string, host string").repartition(4)
     for rules in (RULES, extra, []):
         found = {r[0]: tuple(r)[1:] for r in url_rules.judge_urls(pages, rules).collect()}
