@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from plumbline.llm.decontamination import find_contamination
 from plumbline.llm.licenses import scan_licenses
@@ -35,7 +35,11 @@ RULES = [
 
 
 def op1_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return find_contamination(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+    found = find_contamination(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+    spans = F.transform("spans", lambda x: F.concat_ws(":", x["start"].cast("string"), x["end"].cast("string")))
+    return found.select(
+        "doc_id", "n_words", "n_hit", F.size("items").cast("long").alias("n_items"), F.sha2(F.array_join("items", ","), 256).alias("items_sha256"), "contaminated", F.array_join(spans, ",").alias("spans")
+    )
 
 
 def op2_warc_round_trip(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -101,10 +105,16 @@ dw as (select doc_id, k, i, array_to_string(w[i:i + k - 1], ' ') as win
 hit as (select dw.doc_id, dw.i, dw.k, iw.item_id from dw join iw using (k, win)),
 words as (select doc_id, count(distinct j) as n_hit from (select doc_id, unnest(range(i, i + k)) as j from hit) group by doc_id),
 items as (select doc_id, count(*) as n_items, string_agg(cast(item_id as varchar), ',' order by cast(item_id as varchar)) as s
-  from (select distinct doc_id, item_id from hit) group by doc_id)
+  from (select distinct doc_id, item_id from hit) group by doc_id),
+runs as (select doc_id, min(j) as a, max(j) as b from (select doc_id, j, j - row_number() over (partition by doc_id order by j) as g
+  from (select distinct doc_id, unnest(range(i, i + k)) as j from hit)) group by doc_id, g),
+pieces as (select doc_id, list_transform({_WORDS}, lambda x: length(x)) as n, list_transform(regexp_split_to_array(text, '[^\\x00-\\x2F\\x3A-\\x40\\x5B-\\x60\\x7B-\\x7F]+'), lambda x: length(x)) as gap
+  from documents where doc_id in (select doc_id from hit)),
+spans as (select doc_id, string_agg((coalesce(list_sum(n[1:a - 1]), 0) + list_sum(gap[1:a]))::bigint || ':' || (list_sum(n[1:b]) + list_sum(gap[1:b]))::bigint, ',' order by a) as spans
+  from runs join pieces using (doc_id) group by doc_id)
 select d.doc_id, cast(len(w) as bigint) as n_words, coalesce(n_hit, 0)::bigint as n_hit, coalesce(n_items, 0)::bigint as n_items,
-  sha256(coalesce(s, '')) as items_sha256, coalesce(n_hit, 0) > 0 and 20 * coalesce(n_hit, 0) >= len(w) as contaminated
-from d left join words using (doc_id) left join items using (doc_id)
+  sha256(coalesce(s, '')) as items_sha256, coalesce(n_hit, 0) > 0 and 20 * coalesce(n_hit, 0) >= len(w) as contaminated, coalesce(spans, '') as spans
+from d left join words using (doc_id) left join items using (doc_id) left join spans using (doc_id)
 """,
     "op4_url_rules": r"""
 with u as (select page_id, translate(regexp_extract(coalesce(url, ''), '(?s)^.*?://([^/?#]*)', 1), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') as host,

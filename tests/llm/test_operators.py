@@ -91,22 +91,53 @@ def _contaminated(t):
     return len(w), len(hit), len(names), digest, bool(hit) and 20 * len(hit) >= len(w)
 
 
-@pytest.mark.parametrize("block_bytes", [1 << 18, 20])
-def test_decontamination(spark, docs, none, block_bytes):
+@pytest.mark.parametrize(("block_bytes", "held"), [(1 << 21, 1 << 25), (20, 1 << 25), (20, 1)])
+def test_decontamination(spark, docs, none, monkeypatch, block_bytes, held):
+    monkeypatch.setattr(decontamination, "HELD", held)
     bench = spark.createDataFrame(BENCHMARK, "item_id long, text string")
-    found = _by_id(decontamination.find_contamination(docs, bench, block_bytes=block_bytes))
+    found = _by_id(_digest(decontamination.find_contamination(docs, bench, block_bytes=block_bytes)))
     assert {k: v[1:] for k, v in found.items()} == {k: _contaminated(t) for k, t in TEXT.items()}
     assert decontamination.find_contamination(none, bench).count() == 0
     assert not decontamination.find_contamination(docs, bench.where("false")).where("contaminated").count()
+    kept = decontamination.drop_contaminated(docs, bench, block_bytes=block_bytes)
+    assert kept.columns == docs.columns
+    assert Counter(r["doc_id"] for r in kept.collect()) == Counter(r[0] for r in ROWS if not _contaminated(r[1])[4])
+    assert decontamination.drop_contaminated(none, bench, block_bytes=block_bytes).count() == 0
+
+
+def _digest(found):
+    return found.select("doc_id", "n_words", "n_hit", F.size("items"), F.sha2(F.array_join("items", ","), 256), "contaminated")
 
 
-def test_decontamination_spans_and_stage(spark, docs):
+def test_decontamination_spans(spark, docs):
     bench = spark.createDataFrame(BENCHMARK, "item_id long, text string")
-    rows = decontamination.find_contamination(docs, bench, keep_spans=True).where("doc_id = 10").collect()
+    rows = decontamination.find_contamination(docs, bench).where("doc_id = 10").collect()
     assert [TEXT[10][s["start"] : s["end"]] for s in rows[0]["spans"]] == ["Short Item"] and rows[0]["items"] == ["1", "10", "2"]
-    kept = decontamination.drop_contaminated(docs, bench)
-    assert kept.columns == docs.columns
-    assert Counter(r["doc_id"] for r in kept.collect()) == Counter(r[0] for r in ROWS if not _contaminated(r[1])[4])
+
+
+@pytest.mark.parametrize("window", [1, 2, 5, 13])
+def test_blocks_find_every_window(window):
+    """Few different words, so that windows overlap, repeat and share blocks."""
+    r = random.Random(window)
+    for _ in range(300):
+        words_ = [b"a", b"b", b"c"][: r.randint(1, 3)]
+        items = [(str(i), b" ".join(r.choices(words_, k=r.randrange(0, 30)))) for i in range(r.randrange(1, 6))]
+        doc = r.choices([*words_, b"x"], [9] * len(words_) + [1], k=r.randrange(0, 60))
+        if r.random() < 0.5:
+            doc += r.choice(items)[1].split() + doc[:3]
+        ranges, names = decontamination.WindowIndex(items, window).scan(doc)
+        hit, told = set(), set()
+        for name, text in items:
+            w = text.split()
+            for i in range(max(1, len(w) - window + 1) if w else 0):
+                part = w[i : i + window]
+                for j in range(len(doc) - len(part) + 1):
+                    if doc[j : j + len(part)] == part:
+                        hit |= set(range(j, j + len(part)))
+                        told.add(name)
+        merged = decontamination.merged(ranges)
+        assert {j for a, b in merged for j in range(a, b + 1)} == hit and names == told
+        assert all(b + 1 < c for (_, b), (c, _) in zip(merged, merged[1:]))
 
 
 def test_word_spans():
