@@ -35,8 +35,8 @@ from plumbline.llm.runtime import materialise
 _ASSIGN = r"(?i:(password|passwd|secret|token|api_?key))[\"']?\x20*[:=]\x20*[\"']?([A-Za-z0-9+/_.=-]+)"
 #: kind: pattern, the group whose length counts, least length
 BASE = {"assign": (_ASSIGN, 2, 6), "access": (r"AKIA[A-Z0-9]+", 0, 20), "hex": (r"[0-9a-f]{24,}", 0, 24)}
-#: A run the model looks at. Neighbours are excluded so that it is a whole run.
-CANDIDATE = r"[A-Za-z0-9+/_=-]{16,}"
+#: A run the model looks at. In fewer characters a random string and a rare word are not told apart (README).
+CANDIDATE = r"[A-Za-z0-9+/_=-]{12,}"
 ALPHABET = "abcdefghijklmnopqrstuvwxyzABCDEFGHIJKLMNOPQRSTUVWXYZ0123456789+/_=-"
 RANDOM_SAMPLES = 2_000
 WEIGHT = 10

@@ -489,6 +489,38 @@ def _base_spans(t):
     return sorted(out)
 
 
+def _model_score(ratios, run):
+    """The mean log-likelihood ratio of a run, character by character."""
+    if not re.search("[A-Za-z0-9]", run):
+        return float("-inf")
+    if not re.search("[0-9]", run) and secrets.WORD * len(re.findall("[a-z][A-Z]", run)) <= len(run):
+        run = re.sub("[^A-Za-z]", "", run).lower()
+    at, total = 0, 0.0
+    for c in run:
+        b = secrets.ALPHABET.index(c) + 1
+        total, at = total + ratios[at * (len(secrets.ALPHABET) + 1) + b], b
+    return total / len(run)
+
+
+def test_secrets_held_out(spark):
+    """Trained on half the documents, judged on runs of the other half and on strings of generators that were not trained on."""
+    docs = spark.read.parquet("/root/testdata/sf0.01/documents.parquet")
+    texts = [x["text"] or "" for x in docs.where("doc_id % 2 = 0").select("text").collect()]
+    plain = set()
+    for t in texts:
+        t = re.sub("[0-9a-f]{24,}", " ", re.sub("AKIA[A-Z0-9]+", " ", _ASSIGN.sub(" ", t)))
+        plain.update(m for m in re.findall("[A-Za-z0-9+/_=-]{12,}", t) if re.search("[A-Za-z0-9]", m))
+    r = random.Random(12)
+    letters, digits = "abcdefghijklmnopqrstuvwxyz", "0123456789"
+    alphabets = [letters + letters.upper() + digits + "+/", letters + letters.upper(), letters + digits, digits + "ABCDEF", digits + "abcdef"]
+    runs = [(x, False) for x in sorted(plain)] + [("".join(r.choices(a, k=n)), True) for a in alphabets for n in (12, 16, 20, 23) for _ in range(50)]
+    held = spark.createDataFrame([(i, f"see {x} there") for i, (x, _) in enumerate(runs)], "doc_id long, text string")
+    spans = {x["doc_id"]: x["spans"] for x in secrets.scan_secrets(held, secrets.train(docs.where("doc_id % 2 = 1"))).collect()}
+    found = [spans[i] == f"model:4:{4 + len(x)}" for i, (x, _) in enumerate(runs)]
+    right = sum(f for f, (_, secret) in zip(found, runs) if secret)
+    assert len(plain) > 1_000 and right >= 0.95 * sum(secret for _, secret in runs) and right >= 0.99 * sum(found), (right, sum(found), len(runs))
+
+
 def test_secrets(docs, none):
     # held out: in a handful of texts the unmarked secret itself would be an ordinary run
     ratios = secrets.train(docs.where("doc_id is null or doc_id not in (7, 8)"))
@@ -498,6 +530,8 @@ def test_secrets(docs, none):
         listed = ",".join(f"{kind}:{a}:{b}" for a, _, kind, b in base)
         assert found[k][1:5] == (*(sum(x[2] == kind for x in base) for kind in ("assign", "access", "hex")), hashlib.sha256(listed.encode()).hexdigest())
         assert ",".join(s for s in found[k][5].split(",") if not s.startswith("model")) == listed
+        told = [f"model:{m.start()}:{m.end()}" for m in re.finditer(r"[A-Za-z0-9+/_=-]{12,}", t or "") if _model_score(ratios, m[0]) >= secrets.THRESHOLD]
+        assert [s for s in found[k][5].split(",") if s.startswith("model")] == told
     names = {TEXT[7][int(a) : int(b)] for kind, a, b in (s.split(":") for s in found[7][5].split(",")) if kind == "model"}
     assert "x9Kf3LmQ0ZpT7vRb" in names and "some_identifier_2024" not in names
     assert secrets.scan_secrets(none).count() == 0
