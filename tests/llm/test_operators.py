@@ -579,27 +579,63 @@ def test_licenses(docs, none):
         labels, score = {label for _, label in places}, 0.0
         paragraphs = re.split(r"\n[\t\x0b-\r ]*(?:\n[\t\x0b-\r ]*)+", t or "")
         for block in (t or "").split("\n") + (paragraphs if "\n" in (t or "") else []):
-            own = set(_plain(block))
-            for label, text in licenses.TEMPLATES:
-                words_ = set(_plain(text))
-                if len(words_ & own) >= ceil(0.8 * len(words_) - 1e-9):
-                    labels.add(label)
-                    score = max(score, len(words_ & own) / len(words_))
+            for template in licenses.TEMPLATES:
+                held = _held(_plain(block), template, 0.8)
+                if held:
+                    labels.add(template.label)
+                    score = max(score, held)
         starts = [i for i, _ in places]
         told = (k, len(w), len(places), min(starts, default=None), max(starts, default=None), ",".join(sorted({x for _, x in places})), ",".join(sorted(labels)), score)
         assert found[k] == told
     assert licenses.scan_licenses(none).count() == 0
 
 
+def _held(block, template, threshold):
+    """The greatest containment of a template in a window of the block that has what it requires, or 0."""
+    own = _plain(template.text)
+    words_, width, best = set(own), licenses.SPAN * len(own), 0
+    for i in range(max(1, len(block) - width + 1)):
+        window = set(block[i : i + width])
+        if set(_plain(template.required)) <= window and not window & set(_plain(template.excluded)) and len(words_ & window) >= max(1, ceil(threshold * len(words_) - 1e-9)):
+            best = max(best, len(words_ & window))
+    return best / len(words_) if words_ else 0
+
+
 def test_license_filters_lose_nothing():
     r = random.Random(5)
-    vocabulary = [f"v{i}".encode() for i in range(14)]
-    templates = [(f"t{i}", " ".join(r.sample([v.decode() for v in vocabulary], r.randint(1, 9)))) for i in range(12)]
-    index = licenses.TemplateIndex(templates, {v: r.randrange(5) for v in vocabulary}, 0.7)
+    vocabulary = [f"v{i}" for i in range(14)]
+    pick = lambda n: " ".join(r.sample(vocabulary, r.randint(0, n)))
+    templates = [licenses.Template(f"t{i}", " ".join(r.sample(vocabulary, r.randint(1, 9))), pick(2), pick(1)) for i in range(12)]
+    index = licenses.TemplateIndex(templates, {v.encode(): r.randrange(5) for v in vocabulary}, 0.7)
     for _ in range(500):
-        block = set(r.sample(vocabulary, r.randint(0, 14)))
-        told = sorted((label, len(s & block) / len(s)) for label, t in templates if len((s := set(t.encode().split())) & block) >= ceil(0.7 * len(s) - 1e-9))
-        assert sorted(index.matches(block)) == told
+        block = r.choices(vocabulary + ["x", "y"], k=r.randint(0, 40))
+        told = sorted((t.label, h) for t in templates if (h := _held(block, t, 0.7)))
+        assert sorted(index.matches([w.encode() for w in block])) == told
+
+
+def test_license_labels(spark):
+    """Sentences whose license is plain, and sentences that only sound like one."""
+    far = " ".join(f"w{i} released w{i} under w{i} the w{i} mit w{i} license" for i in range(40))
+    cases = [
+        ("Licensed under CC BY 4.0.", "cc-by"),
+        ("Licensed under CC BY-NC 4.0.", "cc-by-nc"),
+        ("This work is licensed under a Creative Commons Attribution-NonCommercial 4.0 International License.", "cc-by-nc"),
+        ("This work is licensed under a Creative Commons Attribution 4.0 International License.", "cc-by"),
+        ("Released under the BSD License.", "bsd"),
+        ("The film was released last year under the studio's license.", ""),
+        ("Released under the MIT License.", "mit"),
+        ("This work is licensed under the GNU General Public License, version 3.", "gpl"),
+        ("Licensed under the Apache License, Version 2.0.", "apache-2.0"),
+        ("The word license, and much later, the students of MIT", ""),
+        (" ".join("released under the".split() + ["x"] * 40 + ["mit", "license"]), ""),
+        (far.replace("mit", "big"), ""),
+        ("x " * 5_000 + "released under the MIT license" + " y" * 5_000, "mit"),
+    ]
+    docs = spark.createDataFrame([(i, t) for i, (t, _) in enumerate(cases)], "doc_id long, text string")
+    found = {r["doc_id"]: set(filter(None, r["labels"].split(","))) for r in licenses.scan_licenses(docs).collect()}
+    for i, (t, label) in enumerate(cases):
+        base = {"gpl"} if "General Public" in t else {"cc-by"} if "CC BY" in t else set()
+        assert found[i] == base | set(filter(None, [label])), (t[:80], found[i])
 
 
 # 10 --------------------------------------------------------------------------
