@@ -371,6 +371,56 @@ def test_quality_model(spark, docs, none):
     assert quality_model.judge_by_model(docs, labels.where("false")).where("kept").count() == sum(bool(r[1]) for r in ROWS)
 
 
+def _kneser_ney(texts, order, size):
+    """Interpolated modified Kneser-Ney by its definition, over lists of numbers: a function of (history, number)."""
+    tables = [Counter() for _ in range(order + 1)]
+    for t in texts:
+        padded = [0] * (order - 1) + t
+        tables[order].update(tuple(padded[i : i + order]) for i in range(len(t)))
+    for n in range(order - 1, 0, -1):
+        tables[n] = Counter(g[1:] for g in tables[n + 1])
+
+    def discount(n):
+        k = [sum(c == i for c in tables[n].values()) for i in range(1, 5)]
+        y = k[0] / (k[0] + 2 * k[1]) if k[0] else 0.5
+        plain = [i - (i + 1) * y * k[i] / k[i - 1] if k[i - 1] else i / 2 for i in (1, 2, 3)]
+        return [0.0] + [min(max(d, 0.05), i - 0.05) for i, d in enumerate(plain, 1)]
+
+    discounts = [None] + [discount(n) for n in range(1, order + 1)]
+
+    def p(history, c, n=order):
+        if not n:
+            return 1 / size
+        history = tuple(history[len(history) - n + 1 :])
+        follow = [x for g, x in tables[n].items() if g[:-1] == history]
+        if not follow:
+            return p(history[1:], c, n - 1)
+        d, own = discounts[n], tables[n][history + (c,)]
+        left = sum(d[min(x, 3)] for x in follow)
+        return (own - d[min(own, 3)] + left * p(history[1:], c, n - 1)) / sum(follow)
+
+    return p
+
+
+def test_quality_model_is_kneser_ney(spark):
+    """Every step of some texts, seen and unseen, has the probability of the definition."""
+    import numpy as np
+
+    r = random.Random(13)
+    texts = ["".join(r.choices("aab cd,1", k=r.randrange(1, 60))) for _ in range(30)]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    labels = spark.createDataFrame([(i, 1, 0) for i in range(30)], "doc_id long, quality int, toxic int")
+    learned = {x[0] for x in quality_model._learned(labels).collect()}
+    assert 0 < len(learned) < 30
+    model = quality_model.train(docs, labels)
+    classes = lambda t: [int(g) % quality_model.SIZE for g in quality_model.grams(t)]
+    p = _kneser_ney([classes(t) for i, t in enumerate(texts) if i in learned], quality_model.ORDER, quality_model.SIZE)
+    for t in texts[:6] + ["dddd", "zq a", ",,1a"]:
+        padded = [0] * (quality_model.ORDER - 1) + classes(t)
+        told = [np.log(p(padded[i : i + 3], padded[i + 3])) for i in range(len(t))]
+        assert model[quality_model.grams(t)] == pytest.approx(told, abs=1e-4)
+
+
 def test_quality_model_separates_held_out_text(spark):
     r = random.Random(4)
     clean = [" ".join(r.choice("the of and house tree river stone window garden under over".split()) for _ in range(60)) for _ in range(120)]
