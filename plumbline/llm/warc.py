@@ -1,15 +1,17 @@
 """WARC archives and the chunked record table.
 
-Writing: each task writes its records, one gzip member for each, into archive
-files of at most about ``FILE_BYTES`` in the shared folder, through whatever
-file system the folder's address names. A file gets its final name when it is
-complete, and the table of files, which tasks return, lists only those of
-attempts that Spark has committed; what a lost attempt leaves is never read.
+Writing: each task writes its records, one gzip member for each, compressed step
+by step from the batch that Spark hands over (no copy of a payload is made, the
+digest is a column), into archive files of at most about ``FILE_BYTES`` in the
+shared folder, through whatever file system the folder's address names. A file
+gets its final name when it is complete, and the table of files, which tasks
+return, lists only those of attempts that Spark has committed; what a lost
+attempt leaves is never read.
 
 Reading: archives are dealt out file by file. A file is inflated as a stream; a
 payload comes as rows (record, chunk number, bytes) of at most ``CHUNK_BYTES``,
 each with the running length and the SHA-1 of all up to it, so the last chunk's
-is the record's, and no record is ever held whole. Revisit records have no
+is the record's, and a reader never holds a record whole. Revisit records have no
 payload; what they refer to is in their header.
 
 Equal payloads: the narrow (page_id, SHA-1) pairs are grouped, and only digests
@@ -50,9 +52,9 @@ def _header(fields: list[tuple[str, object]]) -> bytes:
     return b"WARC/1.0\r\n" + b"".join(f"{k}: {v}\r\n".encode() for k, v in fields if v is not None) + b"\r\n"
 
 
-def record_parts(page_id, url: str | None, payload: bytes, refers_to, revisit: bool) -> Iterator[bytes]:
-    """A record's bytes: header, payload in steps, end."""
-    digest = base32_sha1(hashlib.sha1(payload).digest())
+def record_parts(page_id, url: str | None, payload, digest: str, refers_to, revisit: bool) -> Iterator[bytes | memoryview]:
+    """A record's bytes: header, payload (any buffer, of which no copy is made) in steps, end."""
+    payload = memoryview(payload)
     name = lambda i: f"<urn:page:{i}>"
     fields = [
         ("WARC-Type", "revisit" if revisit else "response"),
@@ -101,7 +103,7 @@ def write_archives(pages: DataFrame, *, least_bytes: int = 0, file_bytes: int =
         older = narrow.join(repeated, "digest").where(~F.col("page_id").eqNullSafe(F.col("newest"))).distinct()
         older = older.select(F.col("page_id").alias("p"), F.col("digest").alias("d"), "newest")
         rows = rows.join(older, F.col("page_id").eqNullSafe(F.col("p")) & (F.col("digest") == F.col("d")), "left")
-    rows = rows.select("page_id", "url", "payload", "newest")
+    rows = rows.select("page_id", "url", "payload", "newest", "digest")
 
     def write(batches):
         system, root = _open(folder)
@@ -117,13 +119,14 @@ def write_archives(pages: DataFrame, *, least_bytes: int = 0, file_bytes: int =
             out = None
 
         for batch in batches:
-            for page_id, url, payload, newest in zip(*(c.to_pylist() for c in batch.columns)):
+            payloads = (value.as_buffer() for value in batch.column(2))
+            for page_id, url, payload, newest, digest in zip(*(batch.column(k).to_pylist() for k in (0, 1)), payloads, *(batch.column(k).to_pylist() for k in (3, 4))):
                 if out is None:
                     path = f"{root}/{uuid.uuid4().hex}.warc.gz.part"
                     out = [system.open_output_stream(path, compression=None), path, 0, 0]
                 squeeze = zlib.compressobj(3, zlib.DEFLATED, 31)
                 revisit = newest is not None and newest != page_id
-                for part in record_parts(page_id, url, payload, newest, revisit):
+                for part in record_parts(page_id, url, payload, base32_sha1(bytes.fromhex(digest)), newest, revisit):
                     if piece := squeeze.compress(part):
                         out[0].write(piece)
                         out[3] += len(piece)
@@ -212,8 +215,9 @@ def read_chunks(stream, chunk_bytes: int = CHUNK_BYTES) -> Iterator[tuple[dict[s
                 break
 
 
-def chunk_table(files: DataFrame, *, chunk_bytes: int = CHUNK_BYTES) -> DataFrame:
-    """The chunked record table of the archives that ``files`` lists."""
+def chunk_table(files: DataFrame, *, chunk_bytes: int = CHUNK_BYTES, data: bool = True) -> DataFrame:
+    """The chunked record table of the archives that ``files`` lists; without ``data`` the bytes stay where they are read."""
+    keep_data = data
     spark = files.sparkSession
     types = [("record_id", pa.string()), ("record_type", pa.string()), ("refers_to", pa.string()), ("declared_digest", pa.string()), ("declared_bytes", pa.int64()), ("chunk", pa.int64()), ("data", pa.binary()), ("bytes_so_far", pa.int64()), ("sha1_so_far", pa.string()), ("last", pa.bool_())]
 
@@ -224,8 +228,8 @@ def chunk_table(files: DataFrame, *, chunk_bytes: int = CHUNK_BYTES) -> DataFram
                 rows, size = [], 0
                 with system.open_input_stream(name, compression=None) as stream:
                     for h, number, data, so_far, sha, last in read_chunks(stream, chunk_bytes):
-                        rows.append((h["WARC-Record-ID"], h["WARC-Type"], h.get("WARC-Refers-To"), h["WARC-Payload-Digest"].removeprefix("sha1:"), int(h["X-Payload-Length"]), number, data, so_far, sha, last))
-                        size += len(data) + 200
+                        rows.append((h["WARC-Record-ID"], h["WARC-Type"], h.get("WARC-Refers-To"), h["WARC-Payload-Digest"].removeprefix("sha1:"), int(h["X-Payload-Length"]), number, data if keep_data else None, so_far, sha, last))
+                        size += len(data) * keep_data + 200
                         if size > 4 * CHUNK_BYTES:
                             yield _batch(rows, types)
                             rows, size = [], 0
@@ -251,7 +255,7 @@ def archive_round_trip(pages: DataFrame) -> DataFrame:
     A response's length and digest are those of the bytes read, as its last
     chunk carries them; a revisit's are those that its header declares.
     """
-    last = chunk_table(write_archives(pages)).where("last")
+    last = chunk_table(write_archives(pages), data=False).where("last")
     response = F.col("record_type") == "response"
     return last.select(
         _page("record_id").alias("page_id"),
