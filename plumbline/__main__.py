@@ -1,37 +1,84 @@
-"""python -m plumbline list | run --items FILE --method NAME... [--spec FILE] [--out FOLDER] | report FOLDER [--check FILE]"""
+"""Command line: ``python -m plumbline list | run | report``.
+
+list [--era ERA] [--markdown]
+run --items FILE [FILE ...] (--method NAME ... | --era ERA | --all) [--protocol roles|holdout|cv] [--fold K]
+    [--label COLUMN] [--spec FILE] [--seed N] [--skip-slow] [--keep-going] [--out FOLDER]
+report FOLDER [--brief] [--check FILE | --update FILE]
+"""
 
 from __future__ import annotations
 
 import argparse
+import dataclasses
 import json
 import sys
-from pathlib import Path
 
+#: What a file holds that ``report --update`` keeps up to date.
+MARKS = ("<!-- plumbline report -->", "<!-- end of plumbline report -->")
 
-def main(args: list[str] | None = None) -> int:
+
+def _arguments() -> argparse.ArgumentParser:
     parser = argparse.ArgumentParser(prog="plumbline", description="Evaluate predictors of rated items.")
     commands = parser.add_subparsers(dest="command", required=True)
-    commands.add_parser("list")
+    listing = commands.add_parser("list")
+    listing.add_argument("--era")
+    listing.add_argument("--markdown", action="store_true")
     run = commands.add_parser("run")
-    run.add_argument("--items", required=True)
-    run.add_argument("--method", nargs="+", required=True)
+    run.add_argument("--items", required=True, nargs="+", help="Parquet tables; several are splits of one set")
+    which = run.add_mutually_exclusive_group(required=True)
+    which.add_argument("--method", nargs="+")
+    which.add_argument("--era")
+    which.add_argument("--all", action="store_true")
+    run.add_argument("--protocol", choices=("roles", "holdout", "cv"), default="roles", help="a column role, a column split, or folds")
+    run.add_argument("--fold", type=int)
+    run.add_argument("--label")
     run.add_argument("--spec")
-    run.add_argument("--out")
+    run.add_argument("--seed", type=int, default=0)
+    run.add_argument("--skip-slow", action="store_true", help="leave out methods that train a network")
     run.add_argument("--keep-going", action="store_true")
+    run.add_argument("--out")
     report = commands.add_parser("report")
     report.add_argument("folder")
-    report.add_argument("--check")
-    given = parser.parse_args(args)
+    report.add_argument("--brief", action="store_true")
+    act = report.add_mutually_exclusive_group()
+    act.add_argument("--check")
+    act.add_argument("--update")
+    return parser
+
+
+def _roles(spark, given, spec):
+    """The items of a protocol with their roles, from tables that may be splits."""
+    from pyspark.sql import functions as F
+
+    from plumbline.operators import protocol as R
+
+    table = R.union_splits([spark.read.parquet(p) for p in given.items])
+    if given.protocol == "roles":
+        return table if spec.label == "label" else table.withColumn("label", F.col(spec.label).cast("double"))
+    extra = ("split",) if given.protocol == "holdout" else (spec.fold,)
+    kept = [c for c in (*extra, "features") if c in table.columns and c not in spec.metadata]
+    items = R.build_items(table, dataclasses.replace(spec, metadata=(*spec.metadata, *kept)))
+    if given.protocol == "holdout":
+        return R.holdout_roles(items, "split", spec.splits)
+    n = R.fold_count(items, spec.fold)
+    if given.fold is None or not 0 <= given.fold < n:
+        raise ValueError(f"--fold must be in 0..{n - 1}, got {given.fold}")
+    return R.cv_roles(items, n, spec.fold).where(F.col("k") == given.fold).drop("k")
+
+
+def main(args: list[str] | None = None) -> int:
+    given = _arguments().parse_args(args)
 
     from plumbline.operators import methods
+    from plumbline.operators import report as T
 
     if given.command == "list":
-        print("\n".join(f"{e.era:10} {e.name:16} {', '.join(e.requires)}" for e in methods.entries()))
+        known = methods.entries(given.era)
+        print(T.methods_text(known) if given.markdown else "\n".join(f"{e.era:10} {e.name:16} {', '.join(e.requires)}" for e in known))
         return 0
 
-    from pyspark.sql import SparkSession, functions as F
+    from pyspark.sql import SparkSession
 
-    from plumbline.operators import report as T
     from plumbline.plans.catalogue import era_order
     from plumbline.sources import results
     from plumbline.sources.spec import ItemSpec
@@ -39,19 +86,25 @@ def main(args: list[str] | None = None) -> int:
     spark = SparkSession.builder.getOrCreate()
     if given.command == "run":
         spec = ItemSpec.from_yaml(given.spec) if given.spec else ItemSpec()
-        done, failed = methods.sweep(given.method, spark.read.parquet(given.items), spec)
+        spec = dataclasses.replace(spec, label=given.label) if given.label else spec
+        names = given.method or [e.name for e in methods.entries(given.era) if not (given.skip_slow and e.trainable)]
+        done, failed = methods.sweep(names, _roles(spark, given, spec), spec)
+        facts = {"protocol": given.protocol, "fold": given.fold, "seed": given.seed, "label": spec.label, "score_range": list(spec.score_range), "dataset": ", ".join(given.items)}
         for r in done:
             print(json.dumps(r))
             if given.out:
-                Path(given.out).mkdir(parents=True, exist_ok=True)
-                Path(given.out, f"{r['method']}.json").write_text(json.dumps(r | {"environment": results.environment(spark)}, indent=1))
+                folder = f"{given.out}/cv/fold{given.fold}" if given.protocol == "cv" else given.out
+                results.save_run(r | facts | {"environment": results.environment(spark)}, folder)
         for name, why in failed.items():
             print(f"{name}: {why}", file=sys.stderr)
         return int(bool(failed) and not given.keep_going)
-    flat = results.read_runs(spark, given.folder).select("method", "era", *[F.col(f"metrics.{m}").alias(m) for m in T.POINT])
-    text = T.leaderboard_text(flat, era_order(spark))
+    text = T.report_text(results.read_runs(spark, given.folder), results.read_folds(spark, f"{given.folder}/cv"), era_order(spark), brief=given.brief)
     if given.check:
-        return int(T.is_stale(Path(given.check).read_text(encoding="utf-8"), text))
+        with open(given.check, encoding="utf-8") as f:
+            return int(T.is_stale(f.read(), text))
+    if given.update:
+        T.update_file(given.update, *MARKS, text)
+        return 0
     print(text)
     return 0
 

@@ -50,46 +50,46 @@ def range_part(df: DataFrame, column: str, parts: int = 32) -> Column:
     return F.size(F.filter(F.array(*[F.lit(b) for b in bounds]), lambda b: b < F.col(column))) if bounds else F.lit(0)
 
 
-def row_index(df: DataFrame, part: Column, order: list[Column | str], out: str) -> DataFrame:
-    """Add the 0-based place of each row in the order.
+def _offsets(sums: DataFrame, by: tuple[str, ...]) -> DataFrame:
+    """What comes before each range part, of its group: a few rows for each group."""
+    earlier = Window.partitionBy(*by).orderBy("__part").rowsBetween(Window.unboundedPreceding, -1)
+    return sums.select(*by, "__part", F.coalesce(F.sum("__s").over(earlier), F.lit(0)).alias("__o"))
+
+
+def row_index(df: DataFrame, part: Column, order: list[Column | str], out: str, by: tuple[str, ...] = ()) -> DataFrame:
+    """Add the 0-based place of each row in the order, within its group if there is one.
 
     ``part`` rises with the order; each part is numbered by itself and moved by
-    the counts of the parts before it, so no task sorts the whole table.
+    the counts of the parts before it, so no task sorts a whole table or group.
     """
     df = df.withColumn("__part", part)
-    sums = df.groupBy("__part").agg(F.count("*").alias("__s"))
-    earlier = Window.orderBy("__part").rowsBetween(Window.unboundedPreceding, -1)  # one row for each part
-    offsets = sums.select("__part", F.coalesce(F.sum("__s").over(earlier), F.lit(0)).alias("__o"))
-    within = F.row_number().over(Window.partitionBy("__part").orderBy(*order))
-    return df.join(F.broadcast(offsets), "__part").withColumn(out, F.col("__o") + within - 1).drop("__part", "__o")
+    sums = df.groupBy(*by, "__part").agg(F.count("*").alias("__s"))
+    within = F.row_number().over(Window.partitionBy(*by, "__part").orderBy(*order))
+    return df.join(_offsets(sums, by), [*by, "__part"]).withColumn(out, F.col("__o") + within - 1).drop("__part", "__o")
 
 
 def average_rank(df: DataFrame, value: str, out: str, by: tuple[str, ...] = ()) -> DataFrame:
-    """Add the 0-based rank of ``value``; equal values share the mean of their ranks.
+    """Add the 0-based rank of ``value``, within its group if there is one; equal values share the mean of their ranks.
 
-    Counts of distinct values are ranked, not rows. Without ``by`` the values are
-    first dealt out to ranges with known bounds, so no window spans the table.
+    Counts of distinct values are ranked, not rows, and the values are first dealt
+    out to ranges with known bounds, so no window spans a table or a group.
     """
-    counts = df.groupBy(*by, value).agg(F.count("*").alias("__n"))
-    if by:
-        keys = list(by)
-    else:
-        counts, keys = counts.withColumn("__part", range_part(df, value)), ["__part"]
-    before = Window.partitionBy(*keys).orderBy(value).rowsBetween(Window.unboundedPreceding, -1)
+    counts = df.groupBy(*by, value).agg(F.count("*").alias("__n")).withColumn("__part", range_part(df, value))
+    before = Window.partitionBy(*by, "__part").orderBy(value).rowsBetween(Window.unboundedPreceding, -1)
     ranked = counts.withColumn("__before", F.coalesce(F.sum("__n").over(before), F.lit(0)))
-    if not by:
-        sums = counts.groupBy("__part").agg(F.sum("__n").alias("__s"))
-        earlier = Window.orderBy("__part").rowsBetween(Window.unboundedPreceding, -1)  # 32 rows at most
-        offsets = sums.select("__part", F.coalesce(F.sum("__s").over(earlier), F.lit(0)).alias("__o"))
-        ranked = ranked.join(F.broadcast(offsets), "__part").withColumn("__before", F.col("__before") + F.col("__o"))
+    sums = counts.groupBy(*by, "__part").agg(F.sum("__n").alias("__s"))
+    ranked = ranked.join(_offsets(sums, by), [*by, "__part"]).withColumn("__before", F.col("__before") + F.col("__o"))
     ranked = ranked.select(*by, value, (F.col("__before") + (F.col("__n") - 1) / 2).alias(out))
     return df.join(ranked, [*by, value])
 
 
-def normalised(counts: Column | str) -> Column:
-    """Shares of an array of counts; an empty histogram is uniform."""
+def normalised(counts: Column | str, *, strict: bool = False) -> Column:
+    """Shares of an array of counts; an empty histogram is uniform, or an error if ``strict``, as what measures compare must be."""
     c = _c(counts)
     total = F.aggregate(c, F.lit(0.0), lambda a, x: a + x)
+    if strict:
+        total = F.when(total > 0, total).otherwise(F.raise_error(F.lit("a distribution has no positive total")).cast("double"))
+        return F.transform(c, lambda x: x / total)
     return F.transform(c, lambda x: F.when(total > 0, x / F.nullif(total, F.lit(0.0))).otherwise(F.lit(1.0) / F.size(c)))
 
 
@@ -124,6 +124,19 @@ def softmax(x: Column | str) -> Column:
     return F.transform(x, lambda v: F.exp(v - top) / total)
 
 
+def log_softmax(x: Column | str) -> Column:
+    x = _c(x)
+    top = F.array_max(x)
+    total = F.log(_sum(F.transform(x, lambda v: F.exp(v - top))))
+    return F.transform(x, lambda v: v - top - total)
+
+
+def counts_of(shares: Column | str, n: Column | str) -> Column:
+    """Counts again, from shares and the number of ratings; without a number the shares stay as they are."""
+    n = _c(n)
+    return F.transform(_c(shares), lambda x: x * F.coalesce(n.cast("double"), F.lit(1.0)))
+
+
 def smooth_l1(p: Column | str, y: Column | str) -> Column:
     d = F.abs(_c(p) - _c(y))
     return F.when(d < 1, 0.5 * d * d).otherwise(d - 0.5)

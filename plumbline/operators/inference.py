@@ -1,16 +1,26 @@
 """Bootstrap intervals, paired differences, subgroups.
 
 A draw is a hash of (seed, resample, position), so resamples are the same in any
-order, on any cluster and in SQL. Draws are counted by (resample, item) before
-they meet the items: what joins is a multiplicity, not a row for each draw, and
-moments are weighted sums.
+order, on any cluster and in SQL. While the items fit into a broadcast of checked
+size, each resample is one row that a task turns into sums: nothing is shuffled.
+Beyond that draws are counted by (resample, item) before they meet the items:
+what joins is a multiplicity, not a row for each draw, and moments are weighted
+sums.
 """
 
 from __future__ import annotations
 
+from hashlib import md5
+
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
-from plumbline.functions.stats import mae, pearson, rmse
+from plumbline.functions.stats import mae, pearson, range_part, rmse, row_index
+
+#: Items up to which they are broadcast to the draws, some 20 bytes a column each.
+AT_HAND = 500_000
+_KEPT = ("w", "sp", "sy", "spp", "syy", "spy", "MAE", "RMSE", "p_varies", "y_varies")
 
 
 def draws(spark, n: int, resamples: int, seed: str) -> DataFrame:
@@ -36,15 +46,67 @@ def moment_pearson(m: str = "") -> Column:
     return F.when(flat, F.lit(0.0)).otherwise((c("spy") - c("sp") * c("sy") / c("w")) / F.nullif(scale, F.lit(0.0)))
 
 
+def _moments_at_hand(numbered: DataFrame, tasks: DataFrame, columns: list[str], text) -> DataFrame:
+    """A row of sums for each row of ``tasks`` (key, resample): its draws meet the items, a broadcast of checked size, in numpy."""
+    held = {}
+    for part in numbered.select("group", "at", "y", *columns).toLocalIterator():
+        held.setdefault(part["group"], []).append(tuple(part)[1:])
+    tables = {}
+    for group, rows in held.items():
+        rows = np.array(sorted(rows), float)
+        tables[group] = rows[:, 1:].T.copy()
+    shipped = numbered.sparkSession.sparkContext.broadcast(tables)
+
+    def run(batches):
+        for batch in batches:
+            out = []
+            for group, b in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
+                table = shipped.value[group]
+                n = table.shape[1]
+                start = md5(text(group, b).encode())
+
+                def one(k, start=start):
+                    h = start.copy()
+                    h.update(b"%d" % k)
+                    return int.from_bytes(h.digest()[:6], "big")
+
+                at = np.fromiter(map(one, range(n)), np.int64, n) % n
+                y = table[0][at]
+                row = [group, b]
+                for x in (table[i][at] for i in range(1, len(table))):
+                    e = x - y
+                    row += [float(n), x.sum(), y.sum(), x @ x, y @ y, x @ y, np.abs(e).mean(), float(np.sqrt(e @ e / n)), bool(x.max() > x.min()), bool(y.max() > y.min())]
+                out.append(row)
+            fields = list(zip(*out)) if out else [[] for _ in range(2 + 10 * len(columns))]
+            types = [pa.string(), pa.int64()] + ([pa.float64()] * 8 + [pa.bool_()] * 2) * len(columns)
+            yield pa.RecordBatch.from_arrays([pa.array(list(f), t) for f, t in zip(fields, types)], names=[f"c{i}" for i in range(len(types))])
+
+    names = ["group", "b"] + [f"{c}_{k}" for c in columns for k in _KEPT]
+    kinds = ["string", "long"] + (["double"] * 8 + ["boolean"] * 2) * len(columns)
+    return tasks.mapInArrow(run, ", ".join(f"c{i} {t}" for i, t in enumerate(kinds))).toDF(*names)
+
+
 def resampled(numbered: DataFrame, predictions: list[str], *, n: int, resamples: int, seed: str) -> DataFrame:
-    """b and the correlation of each prediction with ``y`` in each resample, all from the same draws."""
-    d = draws(numbered.sparkSession, n, resamples, seed)
-    joined = d.join(numbered.select("at", "y", *predictions), "at")
+    """b and the correlation of each prediction with ``y`` in each resample, all from the same draws.
+
+    Up to ``AT_HAND`` items travel to the draws; beyond, the draws are counted
+    and joined to the items.
+    """
+    spark = numbered.sparkSession
+    if n <= AT_HAND:
+        tasks = spark.range(resamples).select(F.lit("").alias("group"), F.col("id").alias("b")).repartition(_tasks(spark))
+        by_b = _moments_at_hand(numbered.withColumn("group", F.lit("")), tasks, predictions, lambda _, b: f"{seed}|{b}|")
+        return by_b.select("b", *[moment_pearson(f"{p}_").alias(p) for p in predictions])
+    joined = draws(spark, n, resamples, seed).join(numbered.select("at", "y", *predictions), "at")
     sums = [v.alias(f"{p}_{k}") for p in predictions for k, v in weighted_moments(p, "y").items()]
     by_b = joined.groupBy("b").agg(*sums)
     return by_b.select("b", *[moment_pearson(f"{p}_").alias(p) for p in predictions])
 
 
+def _tasks(spark) -> int:
+    return max(spark.sparkContext.defaultParallelism, int(spark.conf.get("spark.sql.shuffle.partitions")))
+
+
 def interval(column: str, level: float = 0.95) -> tuple[Column, Column]:
     """Linear-interpolated percentiles; exact, as resamples are few."""
     tail = (1 - level) / 2
@@ -77,6 +139,12 @@ def group_draws(numbered: DataFrame, sizes: DataFrame, *, resamples: int, seed:
 def group_resamples(numbered: DataFrame, *, resamples: int, seed: str) -> DataFrame:
     """group, b, PC, MAE, RMSE and both sides' variance of every resample of every group."""
     sizes = numbered.groupBy("group").agg(F.count("*").alias("n"))
+    out = ["group", "b", moment_pearson().alias("PC"), "MAE", "RMSE", "p_varies", "y_varies"]
+    if (sizes.agg(F.sum("n")).first()[0] or 0) <= AT_HAND:
+        spark = numbered.sparkSession
+        tasks = sizes.select("group", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(resamples - 1).cast("long"))).alias("b")).repartition(4 * _tasks(spark))
+        found = _moments_at_hand(numbered, tasks, ["p"], lambda group, b: f"{seed}|{group}|{b}|")
+        return found.toDF("group", "b", *_KEPT).select(*out)
     joined = group_draws(numbered, sizes, resamples=resamples, seed=seed).join(numbered, ["group", "at"])
     e = F.col("p") - F.col("y")
     sums = joined.groupBy("group", "b").agg(
@@ -86,7 +154,7 @@ def group_resamples(numbered: DataFrame, *, resamples: int, seed: str) -> DataFr
         (F.max("p") > F.min("p")).alias("p_varies"),
         (F.max("y") > F.min("y")).alias("y_varies"),
     )
-    return sums.select("group", "b", moment_pearson().alias("PC"), "MAE", "RMSE", "p_varies", "y_varies")
+    return sums.select(*out)
 
 
 def subgroup_intervals(resamples: DataFrame) -> DataFrame:
@@ -131,6 +199,21 @@ def dimensions(scored: DataFrame, columns: list[str]) -> DataFrame:
     return scored.select("*", pairs).select("*", "d.dimension", "d.value").drop("d")
 
 
+def subgroup_table(scored: DataFrame, dimension: str, *, resamples: int, seed: str, least: int = 1) -> DataFrame:
+    """Each group's size, metrics and intervals, largest PC first by ``place``, and a last row ``all`` for everything.
+
+    ``scored`` has item, p, y and the grouping column.
+    """
+    both = F.explode(F.array(F.struct(F.lit(False).alias("total"), F.col(dimension).alias("name")), F.struct(F.lit(True).alias("total"), F.lit("all").alias("name")))).alias("g")
+    long = scored.select("item", "p", "y", both).select("item", "p", "y", F.col("g.total").alias("total"), F.when(F.col("g.total"), "all").otherwise(F.concat(F.lit("="), "g.name")).alias("group"))
+    metrics = long.groupBy("total", "group").agg(F.count("*").alias("n"), pearson("p", "y").alias("PC"), mae("p", "y").alias("MAE"), rmse("p", "y").alias("RMSE")).where(F.col("total") | (F.col("n") >= least))
+    numbered = row_index(long.join(metrics.select("group"), "group", "left_semi"), range_part(long, "item"), ["item"], "at", ("group",))
+    intervals = subgroup_intervals(group_resamples(numbered.select("group", "at", "p", "y"), resamples=resamples, seed=seed))
+    joined = metrics.join(intervals, "group", "left").withColumn("group", F.when(F.col("total"), F.col("group")).otherwise(F.substring("group", 2, 1 << 20)))
+    # one row for each group
+    return joined.withColumn("place", F.row_number().over(Window.orderBy("total", F.desc("PC"), F.desc("group")))).drop("total")
+
+
 def leak_check(predict, test: DataFrame, shuffled: DataFrame) -> bool:
     """Whether predictions stay the same when the test labels are dealt anew."""
     a = predict(test).select("item", F.col("score").alias("a"))
@@ -153,7 +236,3 @@ def running_best(log: DataFrame, *, min_delta: float = 1e-4, patience: int = 5)
         return F.when(over, s).when(better, new).otherwise(worse)
 
     return logs.select("run", F.aggregate("l", start, step).alias("r")).select("run", "r.best_epoch", "r.best", F.col("r.stop").alias("stopped_at"))
-
-
-def rank_in(df: DataFrame, by: str, order: list[Column], out: str = "rank") -> DataFrame:
-    return df.withColumn(out, F.row_number().over(Window.partitionBy(by).orderBy(*order)))

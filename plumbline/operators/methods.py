@@ -10,12 +10,13 @@ import time
 from collections.abc import Callable
 from dataclasses import dataclass
 
+import numpy as np
 from pyspark.sql import DataFrame, functions as F
 
 from plumbline.functions.stats import average_rank, clip, distribution_measures, mae, pearson, rmse
 from plumbline.operators import predictors as P
 from plumbline.operators.inference import leak_check
-from plumbline.operators.protocol import check_capabilities
+from plumbline.operators.protocol import check_capabilities, permuted_labels, split_sizes
 from plumbline.plans.catalogue import ERAS
 from plumbline.sources.spec import ItemSpec
 
@@ -26,25 +27,35 @@ class Entry:
     era: str
     requires: tuple[str, ...]
     factory: Callable
+    reference: str = ""
+    paper: str = ""
+    trainable: bool = False
+    notes: str = ""
 
 
 _entries: dict[str, Entry] = {}
 
 
-def register(name: str, era: str, requires: tuple[str, ...] = ()):
+def register(name: str, era: str, requires: tuple[str, ...] = (), **facts):
     def add(factory):
         if name in _entries:
             raise ValueError(f"{name!r} is registered already")
         if era not in ERAS:
             raise ValueError(f"unknown era {era!r}; known: {', '.join(ERAS)}")
-        _entries[name] = Entry(name, era, requires, factory)
+        _entries[name] = Entry(name, era, requires, factory, **facts)
         return factory
 
     return add
 
 
-def entries() -> list[Entry]:
-    return sorted(_entries.values(), key=lambda e: (ERAS.index(e.era), e.name))
+def entries(era: str | None = None) -> list[Entry]:
+    """All methods, or those of an era, in the eras' order."""
+    return sorted((e for e in _entries.values() if era in (None, e.era)), key=lambda e: (ERAS.index(e.era), e.name))
+
+
+def create(name: str, **options):
+    """A new method of that name."""
+    return get(name).factory(**options)
 
 
 def get(name: str) -> Entry:
@@ -85,44 +96,112 @@ class _Features(Method):
         return self._predict(rows.select("item", "features")).select("item", clip("score", *self.ends).alias("score"))
 
 
-@register("eisenthal2006", "classical", ("landmarks",))
-class NeighboursAndRidge(_Features):
-    """Mean of 15 nearest neighbours, weighted by 1/distance, and of ridge with penalty 10."""
+#: Key points of a face of 68, its mirrored pairs, its midline and its eyes.
+KEY_POINTS = [0, 4, 8, 12, 16, 19, 24, 27, 30, 33, 36, 39, 42, 45, 48, 51, 54, 57, 62]
+MIRRORED = [(0, 16), (4, 12), (19, 24), (36, 45), (39, 42), (48, 54), (31, 35)]
+MIDLINE, LEFT_EYE, RIGHT_EYE = [27, 28, 29, 30], list(range(36, 42)), list(range(42, 48))
+POINTS, REFERENCES = 68, 12
+
+
+class _Geometric(Method):
+    """Shallow models on the geometry of landmarks: features, standardised, the best by correlation, a model.
+
+    ``landmarks`` is an array of 136 numbers, or of 68 arrays or structs of x and
+    y. Where rows bring an array ``features`` it stands in for the geometry. A row
+    without landmarks has zeros, whatever the others have.
+    """
+
+    best = 0
+
+    def _geometry(self, points: str):
+        raise NotImplementedError
+
+    def _rows(self, rows: DataFrame, *more: str) -> DataFrame:
+        if "features" not in rows.columns:
+            kind = dict(rows.dtypes)[self.column]
+            flat = F.col(self.column)
+            if kind.startswith("array<array"):
+                flat = F.flatten(flat)
+            elif kind.startswith("array<struct"):
+                flat = F.flatten(F.transform(flat, lambda p: F.array(p["x"], p["y"])))
+            given = F.when(F.size(flat) == 2 * POINTS, P.points(flat, POINTS))
+            rows = rows.withColumn("points", given).withColumn("face", P.normalised_points("points", LEFT_EYE, RIGHT_EYE))
+            rows = self._geometry(rows.withColumn("distances", P.pair_distances("face", KEY_POINTS)))
+            rows = rows.withColumn("features", F.when(F.col("points").isNotNull(), F.col("features")))
+        values = F.transform("features", lambda x: x.cast("double"))
+        if self.width:
+            values = F.coalesce(values, F.array_repeat(F.lit(0.0), self.width))
+        return rows.select("item", values.alias("features"), *more)
+
+    def fit(self, train, val, spec):
+        self.ends, self.column, self.width = spec.score_range, spec.landmarks, 0
+        self.width = self._rows(train).agg(F.max(F.size("features"))).first()[0] or 0
+        if self.width <= 0:
+            raise ValueError("no training row has landmarks")
+        rows = self._rows(train, "label")
+        self.mean, self.sd, r = P.column_stats(rows, "features", "label")
+        self.keep = np.argsort(-np.round(np.abs(r), 9), kind="stable")[: self.best].tolist()
+        self._fit(self._chosen(rows))
+
+    def _chosen(self, rows: DataFrame) -> DataFrame:
+        """Only the features kept, standardised by the training rows."""
+        kept = F.array(*[(F.get("features", F.lit(i)) - float(self.mean[i])) / float(self.sd[i]) for i in self.keep])
+        return rows.withColumn("features", kept)
+
+    def predict(self, rows):
+        return self._predict(self._chosen(self._rows(rows))).select("item", clip("score", *self.ends).alias("score"))
+
+
+@register("eisenthal2006", "classical", ("landmarks",), paper="https://doi.org/10.1162/089976606774841602", reference="Eisenthal, Dror and Ruppin 2006, Neural Computation 18(1)")
+class NeighboursAndRidge(_Geometric):
+    """Distances and symmetry; the mean of 15 nearest neighbours, weighted by 1/distance, and of ridge with penalty 10."""
+
+    best = 60
+
+    def _geometry(self, rows):
+        return rows.withColumn("features", F.concat("distances", P.symmetry("face", MIRRORED, MIDLINE)))
 
     def _fit(self, train):
-        self.train, self.model = train, P.ridge_fit(train, "features", "label", self.width, 10.0)
+        self.train, self.model = train, P.ridge_fit(train, "features", "label", len(self.keep), 10.0)
 
     def _predict(self, rows):
         near = P.knn_regression(self.train, rows, 15)
         return rows.join(near, "item").select("item", ((F.col("p") + P.linear("features", *self.model)) / 2).alias("score"))
 
 
-@register("kagian2008", "classical", ("landmarks",))
-class KernelRidge(_Features):
+@register("kagian2008", "classical", ("landmarks",), paper="https://www.sciencedirect.com/science/article/pii/S0042698907005032", reference="Kagian et al. 2008, Vision Research 48(2)", notes="kernel ridge stands in for support-vector regression")
+class KernelRidge(_Geometric):
+    """Distances; a kernel of the width that the number of features gives."""
+
+    best = 100
+
+    def _geometry(self, rows):
+        return rows.withColumn("features", F.col("distances"))
+
     def _fit(self, train):
-        self.model = P.kernel_ridge(train, gamma=1 / self.width, alpha=0.1)
+        self.model = P.kernel_ridge(train, gamma=1 / len(self.keep), alpha=0.1)
 
     def _predict(self, rows):
         return rows.select("item", self.model("features").alias("score"))
 
 
-@register("fan2012", "classical", ("landmarks",))
-class PolynomialRidge(_Features):
-    """Ridge with penalty 100 on the features and their products, of the first 20 at most."""
+@register("fan2012", "classical", ("landmarks",), paper="https://doi.org/10.1016/j.patcog.2011.11.024", reference="Fan et al. 2012, Pattern Recognition 45(6)")
+class PolynomialRidge(_Geometric):
+    """Proportions; ridge with penalty 100 on those kept and the products of two."""
 
-    def _fit(self, train):
-        self.used = min(self.width, 20)
-        n = self.used + self.used * (self.used + 1) // 2
-        self.model = P.ridge_fit(self._wide(train), "wide", "label", n, 100.0)
+    best = 80
 
-    def _wide(self, rows):
-        return rows.withColumn("cut", F.slice("features", 1, self.used)).withColumn("wide", P.polynomial("cut", self.used))
+    def _geometry(self, rows):
+        return rows.withColumn("features", P.proportions("distances", REFERENCES))
+
+    def _fit(self, train):
+        self.model = P.ridge_fit(train, "features", "label", len(self.keep), 100.0, P.products)
 
     def _predict(self, rows):
-        return self._wide(rows).select("item", P.linear("wide", *self.model).alias("score"))
+        return rows.select("item", P.predictor(self.model, P.products)("features").alias("score"))
 
 
-@register("transfbp", "deep", ())
+@register("transfbp", "deep", (), notes="on features that some frozen network has made")
 class BayesianRidge(_Features):
     """On features that some frozen network has made."""
 
@@ -155,13 +234,21 @@ def run(name: str, roles: DataFrame, spec: ItemSpec) -> dict:
     method, began = entry.factory(), time.time()
     method.fit(part["train"], part["val"], spec)
     found = method.predict(part["test"].drop("label")).persist()
-    found.count()
+    predicted = found.count()
     seconds = time.time() - began
-    shuffled = part["test"].withColumn("label", F.lit(0.0))
+    dealt = permuted_labels(part["test"].select("item", "label"), name).select("item", F.col("shuffled").alias("label"))
+    shuffled = part["test"].drop("label").join(dealt, "item")
     if not leak_check(lambda rows: method.predict(rows), part["test"], shuffled):
         raise ValueError(f"{name} reads the test labels")
     scored = part["test"].select("item", F.col("label").alias("y")).join(found.select("item", F.col("score").alias("p")), "item")
-    return {"method": name, "era": entry.era, "metrics": evaluate(scored), "seconds": round(seconds, 1)}
+    sizes = {r["role"]: r["n"] for r in split_sizes(roles).collect()}
+    try:
+        metrics = evaluate(scored)
+        if not predicted == metrics["n"] == sizes.get("test"):
+            raise ValueError(f"{name} gives {predicted} predictions for {sizes.get('test')} items")
+    finally:
+        found.unpersist()
+    return {"method": name, "era": entry.era, "metrics": metrics, "seconds": round(seconds, 1), "sizes": sizes}
 
 
 def sweep(names: list[str], roles: DataFrame, spec: ItemSpec) -> tuple[list[dict], dict[str, str]]:

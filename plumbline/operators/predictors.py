@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from plumbline.functions.stats import clip, range_part, row_index
@@ -125,7 +126,7 @@ def scales(train: DataFrame) -> DataFrame:
 
 
 def standardised(long: DataFrame, scale: DataFrame) -> DataFrame:
-    return long.join(F.broadcast(scale), "feature").select("item", "feature", ((F.col("value") - F.col("mean")) / F.col("sd")).alias("z"))
+    return long.join(scale, "feature").select("item", "feature", ((F.col("value") - F.col("mean")) / F.col("sd")).alias("z"))
 
 
 def select_features(long: DataFrame, labels: DataFrame, top: int) -> DataFrame:
@@ -134,53 +135,139 @@ def select_features(long: DataFrame, labels: DataFrame, top: int) -> DataFrame:
     return r.orderBy(F.abs("r").desc(), "feature").limit(top).withColumn("rank", F.row_number().over(Window.orderBy(F.abs("r").desc(), "feature")))
 
 
-def knn_regression(train: DataFrame, test: DataFrame, k: int, *, broadcast_rows: int = 100_000) -> DataFrame:
+def _matrix(column: pa.Array) -> np.ndarray:
+    """Rows of an array column as a matrix of doubles."""
+    flat = column.flatten().to_numpy(zero_copy_only=False).astype(float)
+    return flat.reshape(len(column), -1)
+
+
+def _side_blocks(train: DataFrame, rows: int):
+    """The training side in blocks of so many rows: items, labels and features as arrays."""
+    block: list = []
+    for r in train.select(F.col("item").cast("long"), F.col("label").cast("double"), F.col("features").cast("array<double>")).toLocalIterator():
+        block.append(r)
+        if len(block) == rows:
+            yield np.array([r[0] for r in block]), np.array([r[1] for r in block]), np.array([r[2] for r in block], float)
+            block = []
+    if block:
+        yield np.array([r[0] for r in block]), np.array([r[1] for r in block]), np.array([r[2] for r in block], float)
+
+
+def knn_regression(train: DataFrame, test: DataFrame, k: int, *, block_rows: int = 100_000) -> DataFrame:
     """item, p: the 1/distance-weighted mean label of the k nearest; exact matches alone count if any.
 
-    The training side is the model; the queries meet it in one pass and keep k
-    neighbours each (a bounded heap by ``min_by`` would need k fixed: the window
-    ranks candidates after a map-side limit by rank).
+    The training side is the model. It travels in blocks of ``block_rows``; a task
+    compares its rows with a block and keeps the k nearest of each, ties by item.
+    What several blocks leave, k rows each, meets by item. No pair is ever a row.
     """
-    side = train.select(F.col("item").alias("t"), F.col("features").alias("g"), "label")
-    if train.limit(broadcast_rows + 1).count() <= broadcast_rows:
-        side = F.broadcast(side)
-    d2 = F.aggregate(F.zip_with("features", "g", lambda a, b: (a.cast("double") - b) * (a.cast("double") - b)), F.lit(0.0), lambda s, x: s + x)
-    near = test.select("item", "features").join(side).select("item", "t", "label", F.round(F.sqrt(d2), 9).alias("d"))
+    spark, queries, near = train.sparkSession, test.select(F.col("item").cast("long").alias("item"), "features"), None
+    for block in _side_blocks(train, block_rows):
+        shipped = spark.sparkContext.broadcast(block)
+
+        def closest(batches, shipped=shipped):
+            names, labels, side = shipped.value
+            for batch in batches:
+                found = []
+                for item, q in zip(batch.column(0).to_pylist(), _matrix(batch.column(1)) if batch.num_rows else ()):
+                    d = np.round(np.sqrt(((side - q) ** 2).sum(1)), 9)
+                    at = np.flatnonzero(d <= np.partition(d, k - 1)[k - 1]) if len(d) > k else np.arange(len(d))
+                    at = at[np.lexsort((names[at], d[at]))[:k]]
+                    found += [(item, int(names[i]), float(labels[i]), float(d[i])) for i in at]
+                columns = list(zip(*found)) or [()] * 4
+                yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, (pa.int64(), pa.int64(), pa.float64(), pa.float64()))], names=["item", "t", "label", "d"])
+
+        part = queries.mapInArrow(closest, "item long, t long, label double, d double")
+        near = part if near is None else near.unionByName(part)
+    if near is None:
+        raise ValueError("no training rows")
     near = near.withColumn("r", F.row_number().over(Window.partitionBy("item").orderBy("d", "t"))).where(F.col("r") <= k)
     exact = F.max(F.when(F.col("d") == 0, 1).otherwise(0))
     inverse = 1.0 / F.nullif(F.col("d"), F.lit(0.0))
     return near.groupBy("item").agg(F.when(exact == 1, F.avg(F.when(F.col("d") == 0, F.col("label")))).otherwise(F.sum(F.col("label") * inverse) / F.sum(inverse)).alias("p"))
 
 
-def gram(df: DataFrame, features: str, label: str, width: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, float, int]:
-    """X'X, X'y, column sums, label sum and rows: width^2 numbers, added up map-side."""
-    x = [F.get(F.col(features), F.lit(i)).cast("double") for i in range(width)]
-    y = F.col(label)
-    cells = [F.sum(x[i] * x[j]) for i in range(width) for j in range(i, width)]
-    row = df.agg(F.array(*cells), F.array(*[F.sum(v * y) for v in x]), F.array(*[F.sum(v) for v in x]), F.sum(y), F.count("*")).first()
-    xx = np.zeros((width, width))
-    xx[np.triu_indices(width)] = row[0]
-    xx = xx + np.triu(xx, 1).T
-    return xx, np.array(row[1]), np.array(row[2]), float(row[3]), int(row[4])
+_CELLS = 1 << 17
+
 
+def array_sums(df: DataFrame, columns: list[str], block) -> np.ndarray | None:
+    """``block`` of every batch (matrices of array columns, vectors of others), added up; None without rows.
 
-def ridge_fit(df: DataFrame, features: str, label: str, width: int, alpha: float) -> tuple[np.ndarray, float]:
+    A task adds up its batches and returns its sum in pieces of ``_CELLS`` numbers;
+    the pieces of all tasks meet by their place and are added where they meet.
+    """
+    arrays = [t.startswith("array") for _, t in df.select(*columns).dtypes]
+
+    def sums(batches):
+        total = None
+        for batch in batches:
+            if batch.num_rows:
+                got = block(*[_matrix(c) if is_array else c.to_numpy(zero_copy_only=False).astype(float) for c, is_array in zip(batch.columns, arrays)])
+                total = got if total is None else total + got
+        pieces = [] if total is None else [total.ravel()[i : i + _CELLS].tobytes() for i in range(0, total.size, _CELLS)]
+        for i, piece in enumerate(pieces):
+            yield pa.RecordBatch.from_arrays([pa.array([i], pa.int32()), pa.array([piece], pa.binary())], names=["place", "v"])
+
+    def add(batches):
+        total: dict[int, np.ndarray] = {}
+        for batch in batches:
+            for place, v in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
+                x = np.frombuffer(v)
+                total[place] = x if place not in total else total[place] + x
+        yield pa.RecordBatch.from_arrays([pa.array(list(total), pa.int32()), pa.array([v.tobytes() for v in total.values()], pa.binary())], names=["place", "v"])
+
+    schema = "place int, v binary"
+    rows = df.select(*columns).mapInArrow(sums, schema).repartition("place").mapInArrow(add, schema).collect()  # as many numbers as the sum has
+    return np.concatenate([np.frombuffer(r["v"]) for r in sorted(rows)]) if rows else None
+
+
+def gram(df: DataFrame, features: str, label: str, width: int, expand=None) -> tuple[np.ndarray, np.ndarray, np.ndarray, float, int]:
+    """Centred X'X and X'y, means of both, and the number of rows, in two passes: the second subtracts the first's means, so nothing cancels."""
+    expand = expand or (lambda x: x)
+    first = array_sums(df, [features, label], lambda x, y: np.concatenate([expand(x).sum(0), [y.sum(), len(y)]]))
+    if first is None:
+        raise ValueError("no training rows")
+    n = int(first[-1])
+    mean, centre = first[:-2] / n, first[-2] / n
+
+    def products(x, y):
+        x = expand(x) - mean
+        return np.concatenate([x.T @ x, (x.T @ (y - centre))[:, None]], 1)
+
+    both = array_sums(df, [features, label], products).reshape(len(mean), -1)
+    return both[:, :-1], both[:, -1], mean, float(centre), n
+
+
+def column_stats(df: DataFrame, features: str, label: str) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Mean, population deviation (below 1e-8 it counts as 1) and correlation with the label of every feature."""
+    first = array_sums(df, [features, label], lambda x, y: np.concatenate([x.sum(0), [y.sum(), len(y)]]))
+    if first is None:
+        raise ValueError("no training rows")
+    mean, centre, n = first[:-2] / first[-1], first[-2] / first[-1], first[-1]
+
+    def spread(x, y):
+        x, y = x - mean, y - centre
+        return np.concatenate([(x * x).sum(0), x.T @ y, [y @ y]])
+
+    got = array_sums(df, [features, label], spread)
+    w = len(mean)
+    sd = np.sqrt(got[:w] / n)
+    sd[sd < 1e-8] = 1.0
+    return mean, sd, got[w : 2 * w] / (np.sqrt(got[:w] * got[-1]) + 1e-12)
+
+
+def ridge_fit(df: DataFrame, features: str, label: str, width: int, alpha: float, expand=None) -> tuple[np.ndarray, float]:
     """Coefficients and intercept on standardised features; the intercept is not penalised."""
-    xx, xy, sx, sy, n = gram(df, features, label, width)
-    mean = sx / n
-    sd = np.sqrt(np.maximum(np.diag(xx) / n - mean**2, 0))
+    xx, xy, mean, centre, n = gram(df, features, label, width, expand)
+    sd = np.sqrt(np.diag(xx) / n)
     sd[sd < 1e-8] = 1
-    c = (xx - n * np.outer(mean, mean)) / np.outer(sd, sd)
-    b = np.linalg.solve(c + alpha * np.eye(width), (xy - mean * sy) / sd)
-    return b / sd, sy / n - float((b / sd) @ mean)
+    b = np.linalg.solve(xx / np.outer(sd, sd) + alpha * np.eye(len(sd)), xy / sd)
+    return b / sd, centre - float((b / sd) @ mean)
 
 
 def bayesian_ridge_fit(df: DataFrame, features: str, label: str, width: int, rounds: int = 300) -> tuple[np.ndarray, float]:
     """Ridge whose penalty follows from the evidence; iterates on the Gram matrix only."""
-    xx, xy, sx, sy, n = gram(df, features, label, width)
-    yy = float(df.agg(F.sum(F.col(label) * F.col(label))).first()[0])
-    mean = sx / n
-    c, v, s = xx - n * np.outer(mean, mean), xy - mean * sy, yy - sy * sy / n
+    c, v, mean, centre, n = gram(df, features, label, width)
+    s = float(df.agg(F.sum((F.col(label) - centre) * (F.col(label) - centre))).first()[0])
     values, vectors = np.linalg.eigh(c)
     values, turned = np.maximum(values, 0), vectors.T @ v
     noise, prior = n / max(s, 1e-12), 1.0
@@ -194,7 +281,7 @@ def bayesian_ridge_fit(df: DataFrame, features: str, label: str, width: int, rou
         if done:
             break
     b = vectors @ (turned / (values + prior / noise))
-    return b, sy / n - float(b @ mean)
+    return b, centre - float(b @ mean)
 
 
 def linear(features: str, coefficients: np.ndarray, intercept: float) -> Column:
@@ -202,10 +289,24 @@ def linear(features: str, coefficients: np.ndarray, intercept: float) -> Column:
     return F.aggregate(F.zip_with(features, w, lambda x, c: x.cast("double") * c), F.lit(float(intercept)), lambda s, x: s + x)
 
 
-def polynomial(features: str, width: int) -> Column:
+def products(x: np.ndarray) -> np.ndarray:
     """The features, and the products of two, without a constant."""
-    c = F.col(features)
-    return F.concat(F.transform(c, lambda x: x.cast("double")), F.array(*[(c[i] * c[j]).cast("double") for i in range(width) for j in range(i, width)]))
+    i, j = np.triu_indices(x.shape[1])
+    return np.concatenate([x, x[:, i] * x[:, j]], 1)
+
+
+def predictor(model: tuple[np.ndarray, float], expand=None):
+    """A linear model of many numbers as a vectorised function of the feature column."""
+    b, c = model
+
+    @F.pandas_udf("double")
+    def predict(features):
+        import pandas as pd
+
+        x = np.array(features.tolist(), float).reshape(len(features), -1)
+        return pd.Series((expand(x) if expand else x) @ b + c)
+
+    return predict
 
 
 def _rbf(q: np.ndarray, x: np.ndarray, gamma: float) -> np.ndarray:
@@ -226,8 +327,6 @@ def _nystroem(train: DataFrame, gamma: float, alpha: float, basis: int):
                 continue
             k = _rbf(q, x, gamma)
             total += k.T @ np.column_stack([k, np.array(b.column(1).to_pylist(), float) - mean])
-        import pyarrow as pa
-
         yield pa.RecordBatch.from_arrays([pa.array(np.arange(total.size)), pa.array(total.ravel())], names=["cell", "v"])
 
     cells = train.select("features", "label").mapInArrow(sums, "cell long, v double").groupBy("cell").agg(F.sum("v").alias("v")).toPandas()
@@ -273,7 +372,8 @@ def ensemble_ranks(predictions: DataFrame, members: list[str], train_labels: Dat
     have = {r[0] for r in predictions.select("member").distinct().collect()}
     if missing := sorted(set(members) - have):
         raise ValueError(f"missing members: {', '.join(missing)}")
-    ranked = predictions.where(F.col("member").isin(members)).withColumn("r", F.row_number().over(Window.partitionBy("member").orderBy("score", "item")) - 1)
+    own = predictions.where(F.col("member").isin(members))
+    ranked = row_index(own, range_part(own, "score"), ["score", "item"], "r", ("member",))
     mean = ranked.groupBy("item").agg(F.avg("r").alias("mean_rank"))
     placed = row_index(mean, range_part(mean, "mean_rank"), ["mean_rank", "item"], "at")
     labels = row_index(train_labels.select("label"), range_part(train_labels, "label"), ["label"], "i")

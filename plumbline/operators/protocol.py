@@ -58,18 +58,45 @@ def check_capabilities(items: DataFrame, required: tuple[str, ...], spec: ItemSp
             raise ValueError(f"needs {need}: column {' or '.join(map(str, columns))} is missing")
 
 
-def cv_roles(items: DataFrame, n: int, fold: str = "fold") -> DataFrame:
+def union_splits(splits: list[DataFrame]) -> DataFrame:
+    """The rows of several splits as one table, before folds are dealt; columns go by name, a missing one is null."""
+    out = splits[0]
+    for s in splits[1:]:
+        out = out.unionByName(s, allowMissingColumns=True)
+    return out
+
+
+def fold_count(items: DataFrame, fold: str = "fold") -> int:
+    """How many folds there are, the greatest number and one; a number that is null or below 0 is an error."""
+    n, low, missing = items.agg(F.max(fold) + 1, F.min(fold), F.sum(F.col(fold).isNull().cast("int"))).first()
+    if n is None or missing or low < 0:
+        raise ValueError(f"{fold!r} must hold a number from 0 for every item")
+    return int(n)
+
+
+def cv_roles(items: DataFrame, n: int | None = None, fold: str = "fold") -> DataFrame:
     """Every item once for each k: fold k is test, k + 1 (mod n) validation, the rest training.
 
-    A generator, not a join: n copies of the narrow row, where the row is.
+    A generator, not a join: n copies of the narrow row, where the row is. Without
+    ``n`` the folds are counted; with it, a fold outside of 0 to n - 1 is an error
+    where its row is read.
     """
+    n = fold_count(items, fold) if n is None else n
     if n < 3:
         raise ValueError("cross-validation needs three folds at least")
+    at = F.col(fold)
+    at = F.when((at >= 0) & (at < n), at).otherwise(F.raise_error(F.concat(F.lit(f"fold must be in 0..{n - 1}, got "), F.coalesce(at.cast("string"), F.lit("null")))).cast("int"))
     k = F.explode(F.array(*[F.lit(i) for i in range(n)])).alias("k")
-    role = F.when(F.col(fold) == F.col("k"), "test").when(F.col(fold) == (F.col("k") + 1) % n, "val").otherwise("train")
+    role = F.when(at == F.col("k"), "test").when(F.col(fold) == (F.col("k") + 1) % n, "val").otherwise("train")
     return items.select("*", k).withColumn("role", role)
 
 
+def with_landmarks(items: DataFrame, landmarks: DataFrame, column: str = "landmarks") -> DataFrame:
+    """Items with their landmarks, pooled from wherever there are any; null for items that have none."""
+    one = landmarks.where(F.col(column).isNotNull()).groupBy("item").agg(F.max(F.struct(column))[column].alias(column))
+    return items.drop(column).join(one, "item", "left")
+
+
 def holdout_roles(items: DataFrame, split: str, names: tuple[str, str, str]) -> DataFrame:
     role = F.lit(None).cast("string")
     for name, value in zip(("train", "val", "test"), names):
@@ -86,11 +113,6 @@ def broken_groups(roles: DataFrame, group: str) -> DataFrame:
     return roles.groupBy(group).agg(F.countDistinct("role").alias("n_roles")).where("n_roles > 1")
 
 
-def latest(df: DataFrame, key: str, order: Column) -> DataFrame:
-    """One row for each key: the one that comes last."""
-    return df.withColumn("__r", F.row_number().over(Window.partitionBy(key).orderBy(order.desc()))).where("__r = 1").drop("__r")
-
-
 def permuted_labels(items: DataFrame, seed: str) -> DataFrame:
     """item, label, shuffled: labels dealt to other items by the order of a seeded hash."""
     h = F.md5(F.concat(F.lit(seed + "|"), F.col("item").cast("string")))
@@ -102,9 +124,16 @@ def permuted_labels(items: DataFrame, seed: str) -> DataFrame:
 def attribute_codes(items: DataFrame, columns: list[str], cap: int) -> DataFrame:
     """key, code: by first appearance among the training items, later than ``cap`` or unseen is 0.
 
-    The lookup is made from training rows only.
+    The lookup is made from training rows only. Only the first ``cap`` keys have
+    a number, so only they are put in order.
     """
     key = F.concat_ws("/", *columns).alias("key")
     seen = items.select(key, "item").groupBy("key").agg(F.min("item").alias("first"))
-    code = F.row_number().over(Window.orderBy("first")) - 1
-    return seen.withColumn("code", code).withColumn("code", F.when(F.col("code") < cap, F.col("code")).otherwise(0)).select("key", "code")
+    numbered = seen.orderBy("first").limit(cap).withColumn("code", F.row_number().over(Window.orderBy("first")) - 1)
+    return seen.select("key").join(F.broadcast(numbered.select("key", "code")), "key", "left").withColumn("code", F.coalesce("code", F.lit(0)))
+
+
+def encoded(items: DataFrame, codes: DataFrame, columns: list[str], out: str = "code") -> DataFrame:
+    """Items with the code of their attributes; what the training items did not show is 0."""
+    df = items.withColumn("key", F.concat_ws("/", *columns))
+    return df.join(codes.withColumnRenamed("code", out), "key", "left").withColumn(out, F.coalesce(out, F.lit(0))).drop("key")

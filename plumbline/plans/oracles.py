@@ -72,12 +72,30 @@ def drawn(seed: int, resamples: int) -> str:
 
 
 def group_drawn(seed: int) -> str:
-    return f"""z as (select lang, gn, unnest(range(50)) as b from (select distinct lang, gn from docs)),
+    return f"""z as (select lang, gn, unnest(range(10000)) as b from (select distinct lang, gn from docs)),
 zz as (select lang, gn, b, unnest(range(gn)) as k from z),
 dr as (select lang, b, ('0x' || substr(md5('{seed}|' || lang || '|' || b || '|' || k), 1, 12))::bigint % gn as gat from zz),
 g as (select lang as "group", b, {pc('a', 'y')} as "PC", avg(abs(a - y)) as "MAE", sqrt(avg((a - y) * (a - y))) as "RMSE", max(a) > min(a) as pv, max(y) > min(y) as yv from dr join docs using (lang, gat) group by lang, b)"""
 
 
+TABLE = f"""t as (select '=' || lang as grp, a, y, gat, gn from docs union all select 'all', a, y, pos, n from docs),
+z as (select grp, gn, unnest(range(10000)) as b from (select distinct grp, gn from t)),
+zz as (select grp, gn, b, unnest(range(gn)) as k from z),
+dr as (select grp, b, ('0x' || substr(md5('23|' || grp || '|' || b || '|' || k), 1, 12))::bigint % gn as gat from zz),
+g as (select grp, b, {pc('a', 'y')} as "PC", avg(abs(a - y)) as "MAE", sqrt(avg((a - y) * (a - y))) as "RMSE", max(a) > min(a) as pv, max(y) > min(y) as yv from dr join t using (grp, gat) group by grp, b),
+m as (select grp, count(*) as n, {pc('a', 'y')} as "PC", avg(abs(a - y)) as "MAE", sqrt(avg((a - y) * (a - y))) as "RMSE" from t group by grp)"""
+# ridge by elimination: the matrix is positive definite, so no pivoting
+RIDGE = """
+z as (select item, train, feature, (value - mean) / sd as zv, label from l join sc using (feature)),
+mid as (select avg(label) as centre from (select distinct item, label from z where train)),
+g as (select a.feature as i, b.feature as j, sum(a.zv * b.zv) + any_value(case when a.feature = b.feature then 10.0 else 0.0 end) as v from z a join z b using (item) where a.train and b.train group by a.feature, b.feature),
+rhs as (select feature as i, sum(zv * (label - centre)) as v from z, mid where train group by feature),
+mat as (select list(r || [v] order by i) as m from (select i, list(v order by j) as r from g group by i) join rhs using (i)),
+steps as (select 1 as k, m from mat union all
+  select k + 1, list_transform(list_zip(m, range(1, 65)), lambda ri: list_transform(list_zip(ri[1], m[k]), lambda xp: case when ri[2] = k then xp[1] / m[k][k] else xp[1] - ri[1][k] * xp[2] / m[k][k] end)) from steps where k <= 64),
+b as (select unnest(range(64)) as feature, unnest(list_transform(m, lambda r: r[65])) as coefficient from steps where k = 65)"""
+
+
 def q(x: str, at: float) -> str:
     return f"quantile_cont({x}, {at})"
 
@@ -98,7 +116,7 @@ rates as (select method, epoch, lr * case
   when schedule = 'warmup_cosine' then 0.5 * (1 + cos(pi() * least(1, (epoch - greatest(1, floor(epochs / 10))) / greatest(1, epochs - greatest(1, floor(epochs / 10))))))
   else greatest(0, (epochs - epoch) / greatest(1, epochs - greatest(1, floor(epochs / 10)))) end as lr
   from (select *, unnest(range(epochs)) as epoch from {values_sql()} where schedule is not null))"""
-KEYS = [0, 4, 8, 12, 16, 20, 24, 28]
+KEYS = list(range(19))
 
 
 def faces(n: int) -> str:
@@ -162,8 +180,8 @@ ORACLES = {
     + f"select dimension, value, count(*) as n, {r6(pc('p', 'y'), 'PC')}, {r6('avg(abs(p - y))', 'MAE')} from (select p, y, 'type' as dimension, type as value from s union all select p, y, 'brand', brand from s) group by all",
     "subgroup_extremes": _with(BASE)
     + f", g as (select type as g, {GROUPS} from s group by type), l as (select g, unnest(['PC', 'MAE', 'RMSE']) as metric, unnest([-\"PC\", \"MAE\", \"RMSE\"]) as v from g) select metric, arg_min(g, row(v, g)) as best, arg_max(g, row(v, g)) as worst from l group by metric",
-    "bootstrap_ci": _with(DOCS, drawn(11, 200)) + f", c as (select b, {pc('a', 'y')} as p from dr join docs using (pos) group by b) select {r6(q('p', 0.025), 'lo')}, {r6(q('p', 0.975), 'hi')} from c",
-    "paired_bootstrap": _with(DOCS, drawn(13, 200))
+    "bootstrap_ci": _with(DOCS, drawn(11, 2000)) + f", c as (select b, {pc('a', 'y')} as p from dr join docs using (pos) group by b) select {r6(q('p', 0.025), 'lo')}, {r6(q('p', 0.975), 'hi')} from c",
+    "paired_bootstrap": _with(DOCS, drawn(13, 2000))
     + f", c as (select b, {pc('a', 'y')} - {pc('b2', 'y')} as d from dr join docs using (pos) group by b), o as (select {pc('a', 'y')} - {pc('b2', 'y')} as x from docs) select {r6('(select x from o)', 'difference')}, {r6(q('d', 0.025), 'lo')}, {r6(q('d', 0.975), 'hi')}, "
     + r6("least(1.0, 2 * least(avg(case when d <= 0 then 1.0 else 0.0 end), avg(case when d >= 0 then 1.0 else 0.0 end)))", "p")
     + " from c",
@@ -173,6 +191,21 @@ ORACLES = {
     + ' from g where pv and yv group by "group"',
     "subgroup_gap": _with(DOCS, group_drawn(19))
     + f", d as (select x.\"PC\" - y.\"PC\" as d from g x join g y using (b) where x.\"group\" = 'en' and y.\"group\" = 'de' and x.yv and y.yv) select {r6(q('d', 0.025), 'lo')}, {r6(q('d', 0.975), 'hi')}, {q('d', 0.025)} > 0 or {q('d', 0.975)} < 0 as excludes_zero from d",
+    "subgroup_table": _with(DOCS, TABLE)
+    + ", iv as (select grp, "
+    + ", ".join(f'{q(chr(34) + m + chr(34), at)} as {m}_{e}' for m in ("PC", "MAE", "RMSE") for e, at in (("lo", 0.025), ("hi", 0.975)))
+    + " from g where pv and yv group by grp) select case when grp = 'all' then grp else substr(grp, 2) end as \"group\", n, "
+    + ", ".join(r6(f'"{m}{e}"', f'"{m}{e}"') for m in ("PC", "MAE", "RMSE") for e in ("", "_lo", "_hi"))
+    + ", (row_number() over (order by grp = 'all', \"PC\" desc, grp desc))::int as place from m left join iv using (grp)",
+    "counts_from_shares": _with(BASE, DIST) + f"select item, (bin - 1)::int as bin, {r6('a * n', 'count')} from a join ls using (item)",
+    "log_softmax_embeddings": "with l as (select vec_id, unnest(embedding)::double as v from embeddings), e as (select *, v - max(v) over (partition by vec_id) as d from l), "
+    f"s as (select vec_id, d - ln(sum(exp(d)) over (partition by vec_id)) as s from e) select vec_id, {r6('max(s)', 'top')}, {r6('min(s)', 'least')} from s group by vec_id",
+    "union_of_splits": _with(BASE) + "select k::int as k, role, count(*) as n from ro group by k, role",
+    "attributes_of_test_items": _with(BASE)
+    + ", c as (select key, row_number() over (order by first) - 1 as c from (select concat_ws('/', type, brand) as key, min(item) as first from ro where k = 0 and role = 'train' group by 1)) "
+    "select item, coalesce(case when c < 32 then c else 0 end, 0)::int as code from ro left join c on key = concat_ws('/', type, brand) where k = 0 and role = 'test'",
+    "fold_count": "select 5::bigint as folds",
+    "ridge_prediction": _with(LONG, RIDGE).replace("with ", "with recursive ", 1) + f"select item, {r6('any_value(centre) + sum(zv * coefficient)', 'p')} from z join b using (feature), mid where not train group by item",
     "fold_summary": _with(BASE, RAW) + f"select method, count(*) as folds, {SUMMARY} from runs group by method",
     "leaderboard_ranked": _with(BASE, RUNS)
     + f"select method, era, \"PC\", \"SROCC\", \"MAE\", \"RMSE\", (list_position({list(ERAS)!r}, era) - 1)::int as era_order, (row_number() over (partition by era order by \"PC\" desc nulls last, method))::int as rank from runs where k = 0",
@@ -192,11 +225,11 @@ ORACLES = {
  lb as (select label, row_number() over (order by label) - 1 as j from i)
  select item, {r6('mean_rank', 'mean_rank')}, {r6('x.label + (pos - floor(pos)) * (z.label - x.label)', 'p')} from n join lb x on x.j = floor(pos) join lb z on z.j = least(floor(pos) + 1, (select count(*) from i) - 1)""",
     "test_time_mean": _with(BASE) + f"select item, {r6('avg(p)', 'score')} from (select item, p from s union all select item, p from st) group by item",
-    "pairwise_distances": _with(faces(8)) + f"select vec_id, pair::int as pair, {r6('distance', 'distance')} from pd",
-    "symmetry_features": _with(faces(8))
-    + f", mid as (select vec_id, avg(x) as m from np where i in (27, 28, 29, 30) group by vec_id), pr as (select unnest([0, 4, 19]) as i, unnest([16, 12, 24]) as j, unnest([0, 1, 2]) as pair) select a.vec_id, pair::int as pair, {r6('abs(abs(a.x - m) - abs(b.x - m))', 'asymmetry')} from pr join np a on a.i = pr.i join np b on b.i = pr.j and a.vec_id = b.vec_id join mid on mid.vec_id = a.vec_id",
-    "proportion_features": _with(faces(4))
-    + f"select a.vec_id, (a.pair * 6 + b.pair)::int as ratio, {r6('ln(a.distance / (b.distance + 1e-8) + 1e-8)', 'log_value')} from pd a join pd b using (vec_id)",
+    "pairwise_distances": _with(faces(19)) + f"select vec_id, pair::int as pair, {r6('distance', 'distance')} from pd",
+    "symmetry_features": _with(faces(19))
+    + f", mid as (select vec_id, avg(x) as m from np where i in (27, 28, 29, 30) group by vec_id), pr as (select unnest([0, 4, 19, 1, 2, 3, 31]) as i, unnest([16, 12, 24, 15, 14, 13, 25]) as j, unnest(range(7)) as pair) select a.vec_id, pair::int as pair, {r6('abs(abs(a.x - m) - abs(b.x - m))', 'asymmetry')} from pr join np a on a.i = pr.i join np b on b.i = pr.j and a.vec_id = b.vec_id join mid on mid.vec_id = a.vec_id",
+    "proportion_features": _with(faces(19))
+    + f"select a.vec_id, (a.pair * 12 + b.pair // 14)::int as ratio, {r6('ln(a.distance / (b.distance + 1e-8) + 1e-8)', 'log_value')} from pd a join pd b using (vec_id) where b.pair % 14 = 0 and b.pair // 14 < 12",
     "standardised_features": _with(LONG) + f"select item, feature::int as feature, {r6('(value - mean) / sd', 'z')} from l join sc using (feature) where not train",
     "univariate_selection": _with(LONG)
     + f", c as (select feature, round({pc('value', 'label')}, 9) as r from l where train group by feature) select feature::int as feature, {r6('r', 'r')}, (row_number() over (order by abs(r) desc, feature))::int as rank from c order by rank limit 20",

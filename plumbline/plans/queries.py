@@ -20,9 +20,11 @@ from plumbline.sources.spec import ItemSpec
 
 SPEC = ItemSpec(metadata=("brand", "type", "fold"))
 FOLDS = 5
-#: Resamples in the registered queries; the operators take any number.
-RESAMPLES = 200
-KEY_POINTS = [0, 4, 8, 12, 16, 20, 24, 28]
+#: Resamples of all rows, and of groups.
+RESAMPLES, GROUP_RESAMPLES = 2_000, 10_000
+#: Nineteen of the 32 points that a vector of 64 numbers makes, and seven pairs of them that stand for mirrored ones.
+KEY_POINTS = list(range(19))
+MIRRORED = [(0, 16), (4, 12), (19, 24), (1, 15), (2, 14), (3, 13), (31, 25)]
 WIDTH = 64
 
 
@@ -47,7 +49,7 @@ def scored(spark, sf, group: str = "brand") -> DataFrame:
     """Test rows of all folds with the training mean of their group: k, item, y, p and the groups."""
     r = roles(spark, sf)
     test = r.where("role = 'test'").select("k", "item", F.round("label", 9).alias("y"), "brand", "type")
-    return test.join(F.broadcast(P.group_mean(r, group)), ["k", group]).withColumn("p", F.round("p", 9))
+    return test.join(P.group_mean(r, group), ["k", group]).withColumn("p", F.round("p", 9))
 
 
 def _six(df: DataFrame, *keep: str) -> DataFrame:
@@ -137,8 +139,8 @@ def clipped_scores(spark, sf):
 def _distributions(spark, sf) -> DataFrame:
     h = R.histogram(ratings(spark, sf), SPEC).join(items(spark, sf).select("item", "brand", "type"), "item")
     pooled = h.groupBy("brand").agg(F.array(*[F.sum(F.col("counts")[i]) for i in range(SPEC.n_bins)]).alias("all"))
-    both = h.join(F.broadcast(pooled), "brand")
-    return both.select("item", "type", "counts", S.normalised("counts").alias("a"), S.normalised("all").alias("p"))
+    both = h.join(pooled, "brand")
+    return both.select("item", "type", "counts", S.normalised("counts", strict=True).alias("a"), S.normalised("all", strict=True).alias("p"))
 
 
 def distribution_metrics(spark, sf):
@@ -156,6 +158,33 @@ def expected_scores(spark, sf):
     return _six(d.select("item", S.expectation("p").alias("expected"), S.multinomial_nll("counts", "p").alias("nll")))
 
 
+def counts_from_shares(spark, sf):
+    d = R.histogram(ratings(spark, sf), SPEC).join(items(spark, sf).select("item", "n"), "item").withColumn("share", S.normalised("counts"))
+    return _six(d.select("item", F.posexplode(S.counts_of("share", "n")).alias("bin", "count")))
+
+
+def log_softmax_embeddings(spark, sf):
+    e = _read(spark, sf, "embeddings").select("vec_id", S.log_softmax(F.transform("embedding", lambda x: x.cast("double"))).alias("s"))
+    return _six(e.select("vec_id", F.array_max("s").alias("top"), F.array_min("s").alias("least")))
+
+
+def union_of_splits(spark, sf):
+    i = items(spark, sf).select("item", "label", "fold")
+    parts = [i.where("item % 3 = 0"), i.where("item % 3 = 1"), i.where("item % 3 = 2").select("fold", "item", "label")]
+    return R.split_sizes(R.cv_roles(R.union_splits(parts)), "k")
+
+
+def attributes_of_test_items(spark, sf):
+    r = roles(spark, sf).where("k = 0")
+    codes = R.attribute_codes(r.where("role = 'train'"), ["type", "brand"], 32)
+    return R.encoded(r.where("role = 'test'").select("item", "type", "brand"), codes, ["type", "brand"]).select("item", "code")
+
+
+def fold_count(spark, sf):
+    summary = T.fold_summary(_runs(spark, sf))
+    return summary.agg(F.max("folds").alias("folds"))
+
+
 def softmax_embeddings(spark, sf):
     e = _read(spark, sf, "embeddings").select("vec_id", S.softmax(F.transform("embedding", lambda x: x.cast("double"))).alias("s"))
     return _six(e.select("vec_id", F.array_max("s").alias("top"), S.expectation("s").alias("expected")))
@@ -227,27 +256,31 @@ def _documents(spark, sf) -> DataFrame:
 
 
 def bootstrap_ci(spark, sf):
-    d = _documents(spark, sf).select("at", "y", F.col("a").alias("p")).persist()
+    d = _documents(spark, sf).select("at", "y", F.col("a").alias("p"))
     return _six(I.bootstrap_ci(d, n=d.count(), resamples=RESAMPLES, seed="11"))
 
 
 def paired_bootstrap(spark, sf):
-    d = _documents(spark, sf).persist()
+    d = _documents(spark, sf)
     return _six(I.paired_bootstrap(d, n=d.count(), resamples=RESAMPLES, seed="13"))
 
 
 def _grouped(spark, sf) -> DataFrame:
     d = _documents(spark, sf).select(F.col("lang").alias("group"), "doc_id", "y", F.col("a").alias("p"))
-    at = F.row_number().over(I.Window.partitionBy("group").orderBy("doc_id")) - 1
-    return d.withColumn("at", at.cast("long"))
+    return S.row_index(d, S.range_part(d, "doc_id"), ["doc_id"], "at", ("group",))
 
 
 def subgroup_bootstrap(spark, sf):
-    return _six(I.subgroup_intervals(I.group_resamples(_grouped(spark, sf), resamples=50, seed="17")))
+    return _six(I.subgroup_intervals(I.group_resamples(_grouped(spark, sf), resamples=GROUP_RESAMPLES, seed="17")))
 
 
 def subgroup_gap(spark, sf):
-    return _six(I.subgroup_gap(I.group_resamples(_grouped(spark, sf), resamples=50, seed="19"), "en", "de"))
+    return _six(I.subgroup_gap(I.group_resamples(_grouped(spark, sf), resamples=GROUP_RESAMPLES, seed="19"), "en", "de"))
+
+
+def subgroup_table(spark, sf):
+    d = _documents(spark, sf).select(F.col("doc_id").alias("item"), "lang", "y", F.col("a").alias("p"))
+    return _six(I.subgroup_table(d, "lang", resamples=GROUP_RESAMPLES, seed="23"))
 
 
 def _runs(spark, sf) -> DataFrame:
@@ -321,11 +354,11 @@ def pairwise_distances(spark, sf):
 
 
 def symmetry_features(spark, sf):
-    return _six(_faces(spark, sf).select("vec_id", F.posexplode(P.symmetry("pts", [(0, 16), (4, 12), (19, 24)], [27, 28, 29, 30])).alias("pair", "asymmetry")))
+    return _six(_faces(spark, sf).select("vec_id", F.posexplode(P.symmetry("pts", MIRRORED, [27, 28, 29, 30])).alias("pair", "asymmetry")))
 
 
 def proportion_features(spark, sf):
-    d = _faces(spark, sf).select("vec_id", P.pair_distances("pts", KEY_POINTS[:4]).alias("d"))
+    d = _faces(spark, sf).select("vec_id", P.pair_distances("pts", KEY_POINTS).alias("d"))
     # ratios of near-zero distances have no six places, so they are compared on a log scale
     return _six(d.select("vec_id", F.posexplode(F.transform(P.proportions("d", 12), lambda x: F.log(x + 1e-8))).alias("ratio", "log_value")))
 
@@ -363,9 +396,9 @@ def bayesian_ridge_prediction(spark, sf):
 
 
 def polynomial_ridge_prediction(spark, sf):
-    e = _embedded(spark, sf).withColumn("features", F.slice("features", 1, 8)).withColumn("poly", P.polynomial("features", 8))
-    b, c = P.ridge_fit(e.where("train"), "poly", "label", 44, 100.0)
-    return _six(e.where("not train").select("item", P.linear("poly", b, c).alias("p")))
+    e = _embedded(spark, sf)
+    model = P.ridge_fit(e.where("train"), "features", "label", WIDTH, 100.0, P.products)
+    return _six(e.where("not train").select("item", P.predictor(model, P.products)("features").alias("p")))
 
 
 def kernel_ridge_prediction(spark, sf):
@@ -382,6 +415,6 @@ NAMES = [
     "bootstrap_ci", "paired_bootstrap", "subgroup_bootstrap", "subgroup_gap", "fold_summary", "leaderboard_ranked", "chart_data", "equal_width_histogram", "value_counts",
     "method_catalogue", "setup_table", "lr_schedules", "early_stopping", "ensemble_rank_average", "test_time_mean", "pairwise_distances", "symmetry_features",
     "proportion_features", "standardised_features", "univariate_selection", "knn_regression", "ridge_prediction", "bayesian_ridge_prediction", "polynomial_ridge_prediction",
-    "kernel_ridge_prediction",
+    "kernel_ridge_prediction", "subgroup_table", "counts_from_shares", "log_softmax_embeddings", "union_of_splits", "attributes_of_test_items", "fold_count",
 ]
 QUERIES = {n: globals()[n] for n in NAMES}

@@ -2,10 +2,12 @@
 
 from __future__ import annotations
 
+import json
 import os
 import platform
 import subprocess
 from datetime import UTC, datetime
+from importlib import metadata
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
@@ -40,8 +42,13 @@ def read_folds(spark: SparkSession, folder: str) -> DataFrame:
     return runs.where("metrics is not null and method is not null")
 
 
-def write_runs(runs: DataFrame, folder: str) -> None:
-    runs.write.mode("overwrite").json(folder)
+def save_run(result: dict, folder: str) -> str:
+    """One run as a JSON file named after its method; its path."""
+    os.makedirs(folder, exist_ok=True)
+    path = os.path.join(folder, f"{result['method']}.json")
+    with open(path, "w", encoding="utf-8") as f:
+        json.dump(result, f, indent=1)
+    return path
 
 
 def write_predictions(predictions: DataFrame, path: str) -> None:
@@ -52,13 +59,24 @@ def write_predictions(predictions: DataFrame, path: str) -> None:
 
 
 def read_predictions(spark: SparkSession, path: str, items: DataFrame) -> DataFrame:
-    """Predictions joined to their items by key; stale files, which lack an item, are an error."""
+    """Predictions joined to their items by key; files that lack an item, have another or repeat one are stale, which is an error."""
     found = spark.read.parquet(path)
+    if repeated := found.groupBy("item").count().where("count > 1").count():
+        raise ValueError(f"{repeated} items have several predictions in {path}: it is stale")
+    if surplus := found.join(items, "item", "left_anti").count():
+        raise ValueError(f"{surplus} predictions in {path} are of other items: it is stale")
     if missing := items.join(found, "item", "left_anti").count():
         raise ValueError(f"{missing} items have no prediction in {path}: it is stale")
     return items.join(found, "item")
 
 
+def _version(name: str) -> str | None:
+    try:
+        return metadata.version(name)
+    except metadata.PackageNotFoundError:
+        return None
+
+
 def environment(spark: SparkSession, folder: str = ".") -> dict[str, object]:
     def git(*args: str) -> str | None:
         try:
@@ -75,6 +93,7 @@ def environment(spark: SparkSession, folder: str = ".") -> dict[str, object]:
         "python": platform.python_version(),
         "platform": platform.platform(),
         "spark": spark.version,
+        "packages": {name: _version(name) for name in ("pyspark", "pyarrow", "numpy", "pandas")},
         "cpus": os.cpu_count(),
         "shuffle_partitions": spark.conf.get("spark.sql.shuffle.partitions"),
     }

@@ -60,6 +60,55 @@ def test_command_line(spark, roles, tmp_path, capsys):
     assert main(["report", str(tmp_path / "runs"), "--check", str(tmp_path / "doc.md")]) == 0
     (tmp_path / "doc.md").write_text("stale")
     assert main(["report", str(tmp_path / "runs"), "--check", str(tmp_path / "doc.md")]) == 1
+    from plumbline.__main__ import MARKS
+
+    (tmp_path / "doc.md").write_text("\n".join(["before", *MARKS, "after"]))
+    assert main(["report", str(tmp_path / "runs"), "--update", str(tmp_path / "doc.md")]) == 0
+    assert main(["report", str(tmp_path / "runs"), "--check", str(tmp_path / "doc.md")]) == 0
+    assert (tmp_path / "doc.md").read_text().startswith("before") and (tmp_path / "doc.md").read_text().endswith("after")
+
+
+def test_command_line_protocols(spark, roles, tmp_path, capsys):
+    """Raw items: splits of one set, a label of another name, holdout or a fold; a fold that does not exist is refused."""
+    raw = roles.drop("role").withColumnRenamed("label", "beauty").selectExpr("*", "item % 4 as fold", "case when item % 3 = 0 then 'test' when item % 3 = 1 then 'val' else 'train' end as split")
+    for k in range(2):
+        raw.where(f"item % 2 = {k}").write.parquet(str(tmp_path / f"part{k}"))
+    files = [str(tmp_path / "part0"), str(tmp_path / "part1")]
+    common = ["run", "--items", *files, "--method", "mean-baseline", "--label", "beauty", "--out", str(tmp_path / "runs")]
+    assert main([*common, "--protocol", "holdout"]) == 0
+    assert '"n": 30' in capsys.readouterr().out
+    for k in range(4):
+        assert main([*common, "--protocol", "cv", "--fold", str(k)]) == 0
+    with pytest.raises(ValueError, match="0..3, got 4"):
+        main([*common, "--protocol", "cv", "--fold", "4"])
+    capsys.readouterr()
+    assert main(["report", str(tmp_path / "runs")]) == 0
+    text = capsys.readouterr().out
+    assert "## Cross-validation, 4 folds" in text and "label beauty, holdout" in text
+    assert main(["run", "--items", *files, "--era", "classical", "--skip-slow", "--label", "beauty", "--protocol", "cv", "--fold", "0", "--keep-going"]) == 0
+    assert capsys.readouterr().out.count('"method"') == 3
+    assert main(["list", "--markdown", "--era", "classical"]) == 0 and "kagian2008" in capsys.readouterr().out
+
+
+def test_methods_on_landmarks(spark):
+    """Faces of 68 points, whose label is a distance; a face without landmarks gets a score too, and test labels stay out."""
+    rng = np.random.default_rng(4)
+    base = rng.normal(size=(68, 2)) * 3
+    faces = base + rng.normal(size=(120, 68, 2)) * 0.05
+    wide = rng.normal(size=120)
+    faces[:, 48, 0] -= wide * 0.4
+    label = np.clip(5 + wide, 1, 10)
+    rows = [(i, [[float(a) for a in p] for p in faces[i]] if i != 3 else None, float(label[i]), "test" if i % 3 == 0 else "train") for i in range(120)]
+    items = spark.createDataFrame(rows, "item int, landmarks array<array<double>>, label double, role string").persist()
+    done, failed = methods.sweep(["eisenthal2006", "kagian2008", "fan2012"], items, ItemSpec())
+    assert not failed and [r["metrics"]["n"] for r in done] == [40] * 3
+    assert all(r["metrics"]["PC"] > 0.7 for r in done), done
+    flat = items.selectExpr("item", "flatten(landmarks) as landmarks", "label", "role")
+    again = methods.run("kagian2008", flat, ItemSpec())["metrics"]
+    assert again["PC"] == pytest.approx(done[1]["metrics"]["PC"], abs=1e-6)
+    with pytest.raises(ValueError, match="no training row"):
+        methods.run("fan2012", items.withColumn("landmarks", items.landmarks.cast("string")).selectExpr("item", "cast(null as array<double>) as landmarks", "label", "role"), ItemSpec())
+    assert type(methods.create("fan2012")).__name__ == "PolynomialRidge"
 
 
 def test_kernel_ridge_takes_any_number_of_rows(spark):

@@ -1,6 +1,7 @@
 import math
 
 import pytest
+from pyspark.sql import functions as F
 
 from plumbline.operators import inference as I
 from plumbline.operators import predictors as P
@@ -128,3 +129,38 @@ def test_self_difference_is_nothing(spark):
     df = spark.createDataFrame(rows, "at long, y double, a double")
     r = I.paired_bootstrap(df.withColumn("b2", df["a"]), n=60, resamples=50, seed="1").first()
     assert (r["difference"], r["lo"], r["hi"], r["p"]) == (0, 0, 0, 1)
+
+
+def test_folds_must_be_in_range(spark):
+    items = spark.createDataFrame([(i, i % 4) for i in range(8)], "item int, fold int")
+    assert R.fold_count(items) == 4 and R.cv_roles(items).count() == 32
+    with pytest.raises(Exception, match="0..2, got 3"):
+        R.cv_roles(items, 3).collect()
+    for bad in ("-1", "cast(null as int)"):
+        with pytest.raises(ValueError, match="number from 0"):
+            R.fold_count(items.selectExpr("item", f"case when item = 0 then {bad} else fold end as fold"))
+
+
+def test_landmarks_are_pooled(spark):
+    items = spark.createDataFrame([(1,), (2,), (3,)], "item int")
+    pooled = spark.createDataFrame([(1, [1.0]), (1, [1.0]), (2, None), (9, [2.0])], "item int, landmarks array<double>")
+    assert sorted((r["item"], r["landmarks"]) for r in R.with_landmarks(items, pooled).collect()) == [(1, [1.0]), (2, None), (3, None)]
+
+
+def test_measured_distributions_need_a_total(spark):
+    from plumbline.functions import stats
+
+    df = spark.createDataFrame([([0.0, 0.0],)], "c array<double>")
+    assert df.select(stats.normalised("c")).first()[0] == [0.5, 0.5]
+    with pytest.raises(Exception, match="no positive total"):
+        df.select(stats.normalised("c", strict=True)).collect()
+
+
+def test_ranks_and_places_within_groups(spark):
+    from plumbline.functions import stats
+
+    df = spark.createDataFrame([(g, float(v)) for g, vs in (("a", [3, 1, 1, 2]), ("b", [5] * 3), ("c", list(range(50)))) for v in vs], "g string, v double")
+    ranks = stats.average_rank(df, "v", "r", ("g",)).groupBy("g").agg(F.sort_array(F.collect_list("r")).alias("r"))
+    assert {r["g"]: r["r"] for r in ranks.collect()} == {"a": [0.5, 0.5, 2.0, 3.0], "b": [1.0] * 3, "c": [float(i) for i in range(50)]}
+    placed = stats.row_index(df, stats.range_part(df, "v"), ["v"], "at", ("g",)).where("g = 'c'").orderBy("at").collect()
+    assert [r["v"] for r in placed] == [float(i) for i in range(50)] and [r["at"] for r in placed] == list(range(50))
