@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
 EPS = 1e-12
@@ -47,7 +49,7 @@ def r6(x: Column) -> Column:
 def range_part(df: DataFrame, column: str, parts: int = 32) -> Column:
     """The number of a value's range, with bounds at approximate quantiles of the column."""
     bounds = sorted(set(df.approxQuantile(column, [i / parts for i in range(1, parts)], 0.01)))
-    return F.size(F.filter(F.array(*[F.lit(b) for b in bounds]), lambda b: b < F.col(column))) if bounds else F.lit(0)
+    return reduce(lambda x, b: x + F.when(F.col(column) > b, 1).otherwise(0), bounds, F.lit(0))
 
 
 def _offsets(sums: DataFrame, by: tuple[str, ...]) -> DataFrame:

@@ -96,8 +96,10 @@ def normalised_points(p: str, left: list[int], right: list[int]) -> Column:
 
 
 def pair_distances(p: str, keys: list[int]) -> Column:
+    """The distance of every two of the key points; the pairs are a literal, so the plan is the same for any number."""
     c = F.col(p)
-    return F.array(*[_d(c[i], c[j]) for a, i in enumerate(keys) for j in keys[a + 1 :]])
+    pairs = F.array(*[F.struct(F.lit(i).alias("i"), F.lit(j).alias("j")) for a, i in enumerate(keys) for j in keys[a + 1 :]])
+    return F.transform(pairs, lambda q: _d(F.get(c, q["i"]), F.get(c, q["j"])))
 
 
 def symmetry(p: str, mirrored: list[tuple[int, int]], midline: list[int]) -> Column:
