@@ -191,7 +191,7 @@ class Encoder:
     def ids_many(self, texts: list[str]) -> Iterator[bytes]:
         """The ids of each text as little-endian unsigned 32-bit integers.
 
-        The texts go through in slices of about a million characters, so that
+        The texts go through in slices of about two million characters, so that
         what is held besides the cache has a bound.
         """
         for part in slices(texts):
@@ -206,7 +206,7 @@ class Encoder:
             self.kept.age()
 
 
-def slices(texts: list[str], characters: int = 1_000_000) -> Iterator[list[str]]:
+def slices(texts: list[str], characters: int = 2_000_000) -> Iterator[list[str]]:
     part: list[str] = []
     size = 0
     for t in texts:
@@ -241,7 +241,9 @@ class Kept:
 
     def age(self) -> None:
         if len(self.young) >= self.entries:
-            self.old, self.young = {k: v for k, v in self.young.items() if len(k) <= LONG}, {}
+            for k in [k for k in self.young if len(k) > LONG]:
+                del self.young[k]
+            self.old, self.young = self.young, {}
 
 
 def plain_text(text: str) -> str | None:
