@@ -36,7 +36,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window, functions as F
 
 from plumbline.llm.runtime import materialise
-from plumbline.llm.subword import Encoder
+from plumbline.llm.subword import Encoder, uncollected
 
 CAPACITY = 2048
 END_ID = 0
@@ -60,13 +60,14 @@ def cut_documents(docs: DataFrame, tokenizer_path: str, *, capacity: int = CAPAC
         encoder, end = _built[tokenizer_path], END_ID.to_bytes(4, "little")
         for batch in batches:
             rows = []
-            for doc_id, ids in zip(batch.column(0).to_pylist(), encoder.ids_many([t or "" for t in batch.column(1).to_pylist()])):
-                ids = memoryview(ids + end)
-                total = len(ids) // 4
-                for piece, start in enumerate(range(0, total, capacity)):
-                    length = min(capacity, total - start)
-                    rows.append((doc_id, piece, start, length, zlib.crc32(ids[4 * start : 4 * (start + length)]), task, seen[length]))
-                    seen[length] += 1
+            with uncollected():
+                for doc_id, ids in zip(batch.column(0).to_pylist(), encoder.ids_many([t or "" for t in batch.column(1).to_pylist()])):
+                    ids = memoryview(ids + end)
+                    total = len(ids) // 4
+                    for piece, start in enumerate(range(0, total, capacity)):
+                        length = min(capacity, total - start)
+                        rows.append((doc_id, piece, start, length, zlib.crc32(ids[4 * start : 4 * (start + length)]), task, seen[length]))
+                        seen[length] += 1
             types = [pa.int64(), pa.int32()] + [pa.int64()] * 5
             columns = list(zip(*rows)) or [()] * 7
             yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, types)], names=["doc_id", "piece", "start", "length", "ids_crc32", "task", "nth"])

@@ -12,10 +12,12 @@ that are written out here.
 
 from __future__ import annotations
 
+import gc
 import json
 import re
 import unicodedata
 from collections.abc import Iterator
+from contextlib import contextmanager
 
 import numpy as np
 
@@ -196,16 +198,44 @@ class Encoder:
         """
         for part in slices(texts):
             split = [None if (plain := self.plain(t)) is None else plain.split() for t in part]
-            self.learn(set().union(*[chunks for chunks in split if chunks]))
-            get = self.kept.young.__getitem__
-            for text, chunks in zip(part, split):
+            get = self.kept.young.get
+            found = [None if chunks is None else list(map(get, chunks)) for chunks in split]
+            lacking = [None if parts is None else _holes(parts) for parts in found]
+            self.learn({chunks[i] for chunks, holes in zip(split, lacking) if holes for i in holes})
+            own = self.kept.young
+            for text, chunks, parts, holes in zip(part, split, found, lacking):
                 if chunks is None:
                     yield np.array(self.whole.encode(text, add_special_tokens=False).ids, "<u4").tobytes()
                 else:
-                    yield b"".join(map(get, chunks))
+                    for i in holes:
+                        parts[i] = own[chunks[i]]
+                    yield b"".join(parts)
             self.kept.age()
 
 
+def _holes(parts: list) -> list[int]:
+    """Where a list has None."""
+    out, i = [], -1
+    try:
+        while True:
+            i = parts.index(None, i + 1)
+            out.append(i)
+    except ValueError:
+        return out
+
+
+@contextmanager
+def uncollected():
+    """Without the search for reference cycles, of which encoding makes none and which would walk the caches again and again."""
+    was = gc.isenabled()
+    gc.disable()
+    try:
+        yield
+    finally:
+        if was:
+            gc.enable()
+
+
 def slices(texts: list[str], characters: int = 2_000_000) -> Iterator[list[str]]:
     part: list[str] = []
     size = 0
@@ -246,8 +276,18 @@ class Kept:
             self.old, self.young = self.young, {}
 
 
+def _latin(text: str) -> bool:
+    try:
+        return text.isascii() or bool(text.encode("latin-1"))
+    except UnicodeEncodeError:
+        return False
+
+
 def plain_text(text: str) -> str | None:
     """The text as the file normalises it, or None if it has to go to the library as a whole."""
+    if _latin(text):  # code points below U+0100 stand composed, and so do they in lower case
+        odd = "<|" in text or "\x1c" in text or "\x1d" in text or "\x1e" in text or "\x1f" in text
+        return None if odd else text.lower()
     if _ODD.search(text):
         return None
-    return text.lower() if text.isascii() else unicodedata.normalize("NFC", text).lower()
+    return unicodedata.normalize("NFC", text).lower()

@@ -23,7 +23,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
-from plumbline.llm.subword import Encoder, Kept, pre_tokens, slices
+from plumbline.llm.subword import Encoder, Kept, pre_tokens, slices, uncollected
 
 LIMIT = 2048
 #: Entries of the table, those that a task returns, and different chunks that it counts at once.
@@ -112,7 +112,8 @@ def count_tokens(docs: DataFrame, tokenizer_path: str, *, limit: int = LIMIT) ->
             _built[token] = _Counter(tokenizer_path, shipped.value)
         counter = _built[token]
         for batch in batches:
-            n = pa.array(counter.count_many(batch.column(2).to_pylist()), pa.int64())
+            with uncollected():
+                n = pa.array(counter.count_many(batch.column(2).to_pylist()), pa.int64())
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), n], names=["doc_id", "n_bytes", "n_tokens"])
 
     return (
