@@ -3,6 +3,11 @@
 Each stage is ``(spark, docs, sf_dir) -> DataFrame``; what it returns is written as
 Parquet and read again as the next one's ``docs``. All but the last return the
 columns of ``documents``.
+
+Defined cases, in every stage: rows are judged as they stand, so a null id or an
+id that repeats costs no other row its place; extra columns pass through, whatever
+their names; an empty table gives an empty one. What becomes of a null text or of
+rows that are all alike is said by each stage.
 """
 
 from __future__ import annotations
@@ -19,27 +24,30 @@ from plumbline.llm.secrets import redact_secrets
 
 
 def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that fail the quality rules go."""
+    """Documents that fail the quality rules go: null and empty texts with them, copies alike."""
     return drop_low_quality(docs)
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of each group of near-duplicates (five words, similarity 0.8) the smallest id stays."""
+    """Of each group of near-duplicates (five words, similarity 0.8) the smallest id stays.
+
+    Of rows with the same id and text one stays; texts without words are no one's duplicate.
+    """
     return drop_near_duplicates(docs)
 
 
 def decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that hold benchmark passages go."""
+    """Documents that hold benchmark passages go; a null text holds none."""
     return drop_contaminated(docs, table(spark, sf_dir, "benchmark"))
 
 
 def secret_scan(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents stay; their secrets are replaced by a mark."""
+    """Documents stay; their secrets are replaced by a mark, and ``n_chars`` follows. A null text stays null."""
     return redact_secrets(docs)
 
 
 def packing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Every piece of every document, and its place in a training sequence."""
+    """Every piece of every row, copies too, and its place in a training sequence; a null text is one piece, the end token."""
     return pack_documents(docs, tokenizer_path())
 
 
