@@ -21,6 +21,8 @@ from contextlib import contextmanager
 
 import numpy as np
 
+from plumbline.llm.chunk_table import BLOCK, ChunkTable, Collision, Places
+
 #: Entries in each of the two generations of a worker's cache, about 170 bytes each; longer keys than LONG characters are not kept.
 CACHE_ENTRIES, LONG = 300_000, 64
 
@@ -35,7 +37,15 @@ _L, _N = _class("L"), _class("N")
 _PRE = re.compile(f"'s|'t|'re|'ve|'m|'ll|'d|[{_L}]+|[{_N}]|[^{_SPACE}{_L}{_N}]+")
 _FAR = "".join(chr(c) for c in range(0x300) if max(chr(c).lower()) >= "\u0300")
 _ODD = re.compile(f"[\\x1c-\\x1f{_FAR}\\u0300-\\U0010ffff]|<\\|")
-_NONE = 1 << 60
+#: No rank, and no id.
+_NONE, _NOTHING = (1 << 31) - 1, (1 << 31) - 1
+#: Bytes of the pre-tokens that are encoded together; longer ones go through the library.
+WIDTHS = (4, 8, 12, 16, 24, 40, 64)
+
+
+def _pair(left: np.ndarray, right: np.ndarray) -> np.ndarray:
+    """A number for each pair of ids, another one for every pair."""
+    return ((left << 32 | right) + 1).astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15)
 
 
 #: How a byte-level file writes bytes: the printable ones as they are, the others from U+0100 on.
@@ -75,153 +85,115 @@ class Encoder:
         self.whole.no_padding()
         with open(path, encoding="utf-8") as f:
             file = json.load(f)
-        self.kept: Kept = Kept()
         self.splits = _as_written_here(file)
         if not self.splits:
             return
         model = file["model"]
         self.vocabulary = ids = model["vocab"]
         self.end = model["end_of_word_suffix"]
-        self.symbols = {chr(c): ids[chr(c)] for c in _LETTER.values()}
-        self.last = {chr(c): ids[chr(c) + self.end] for c in _LETTER.values()}
-        #: a pair of ids -> its rank and the id that replaces it, in one number
-        self.merges = {}
-        for rank, pair in enumerate(model["merges"]):
-            x, y = pair.split(" ") if isinstance(pair, str) else pair
-            self.merges[ids[x] << 20 | ids[y]] = rank << 20 | ids[x + y]
-        self._keys = np.array(sorted(self.merges), np.int64)
-        self._values = np.array([self.merges[k] for k in self._keys.tolist()], np.int64)
-        self._inner, self._outer = (np.array([ids_of.get(chr(c), -1) for c in range(512)], np.int64) for ids_of in (self.symbols, self.last))
+        #: pairs of ids -> their rank, and the id that replaces each pair
+        self.pairs = Places(1 << (4 * len(model["merges"])).bit_length())
+        pairs = [pair.split(" ") if isinstance(pair, str) else pair for pair in model["merges"]]
+        left, right = (np.array([ids[p[k]] for p in pairs], np.int64) for k in (0, 1))
+        # a pair that stands twice has its later rank, as in a table that is written in order
+        _, last = np.unique((left << 32 | right)[::-1], return_index=True)
+        ranks = np.sort(len(pairs) - 1 - last)
+        self.pairs.enter(_pair(left[ranks], right[ranks]), ranks)
+        self.merged = np.array([ids[x + y] for x, y in pairs], np.int64)
+        self.table = ChunkTable(pre_tokens, self.pre_token_ids)
+        self._inner, self._last = (np.array([ids[chr(_LETTER[b]) + end] for b in range(256)], np.int64) for end in ("", self.end))
 
     def plain(self, text: str) -> str | None:
         return plain_text(text) if self.splits else None
 
-    def _mapped(self, word: str) -> str:
-        if word.isascii() and word.isprintable():
-            return word
-        return word.encode("utf-8").decode("latin-1").translate(_LETTER)
-
-    def pre_token(self, word: str) -> list[int]:
-        """Merge the pair of lowest rank, the first of them, until none is left."""
-        word = self._mapped(word)
-        ids = list(map(self.symbols.__getitem__, word[:-1]))
-        ids.append(self.last[word[-1]])
-        get = self.merges.get
-        ranks = [get(x << 20 | y, _NONE) for x, y in zip(ids, ids[1:])]
-        while ranks:
-            best = min(ranks)
-            if best == _NONE:
-                break
-            i = ranks.index(best)
-            ids[i : i + 2] = [new] = [best & 0xFFFFF]
-            del ranks[i]
-            if i:
-                ranks[i - 1] = get(ids[i - 1] << 20 | new, _NONE)
-            if i < len(ranks):
-                ranks[i] = get(new << 20 | ids[i + 1], _NONE)
-        return ids
+    def pre_token_ids(self, raw: np.ndarray, begin: np.ndarray, lengths: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """How many ids each of the pre-tokens has that stand at these places among the bytes, and all their ids."""
+        counts, made = np.zeros(len(begin), np.int64), []
+        least = 0
+        for width in WIDTHS:
+            rows = np.flatnonzero((lengths > least) & (lengths <= width))
+            least = width
+            if len(rows):
+                counts[rows], ids = self._merge_rows(raw, begin[rows], lengths[rows], width)
+                made.append((rows, ids))
+        rows = np.flatnonzero(lengths > least)
+        if len(rows):
+            each = [self.whole.encode(raw[a : a + n].tobytes().decode(), add_special_tokens=False).ids for a, n in zip(begin[rows].tolist(), lengths[rows].tolist())]
+            counts[rows] = [len(x) for x in each]
+            made.append((rows, np.array([i for x in each for i in x], "<u4")))
+        out = np.empty(counts.sum(), "<u4")
+        starts = np.cumsum(counts) - counts
+        for rows, ids in made:
+            n = counts[rows]
+            out[np.repeat(starts[rows] - np.cumsum(n) + n, n) + np.arange(len(ids))] = ids
+        return counts, out
 
     def pre_token_many(self, words: list[str]) -> list[bytes]:
-        """:meth:`pre_token` of many words at once, as little-endian unsigned 32-bit integers."""
-        out: list[bytes] = [b""] * len(words)
-        by_width: dict[int, list[int]] = {}
-        mapped = [self._mapped(w) for w in words]
-        widths = [4 << ((len(w) - 1) // 4).bit_length() for w in mapped]
-        for k, width in enumerate(widths):
-            by_width.setdefault(width, []).append(k)
-        for width, ks in by_width.items():
-            if width > 64 or len(ks) < 8:
-                for k in ks:
-                    out[k] = np.array(self.pre_token(words[k]), "<u4").tobytes()
-                continue
-            codes = np.array([mapped[k] for k in ks], f"<U{width}").view(np.uint32).reshape(len(ks), width)
-            ids, lengths = self._inner[codes], (codes > 0).sum(1)
-            rows = np.arange(len(ks))
-            ids[rows, lengths - 1] = self._outer[codes[rows, lengths - 1]]
-            sizes = self._merge_rows(ids)
-            flat = ids[np.arange(width) < sizes[:, None]].astype("<u4").tobytes()
-            ends = (np.cumsum(sizes) * 4).tolist()
-            for k, a, b in zip(ks, [0, *ends], ends):
-                out[k] = flat[a:b]
-        return out
+        """The ids of many pre-tokens at once, as little-endian unsigned 32-bit integers."""
+        if not words:
+            return []
+        data = [w.encode() for w in words]
+        lengths = np.array([len(w) for w in data])
+        counts, ids = self.pre_token_ids(np.frombuffer(b"".join(data), np.uint8), np.cumsum(lengths) - lengths, lengths)
+        ends, flat = (4 * np.cumsum(counts)).tolist(), ids.tobytes()
+        return [flat[a:b] for a, b in zip([0, *ends], ends)]
 
     def _rank(self, left: np.ndarray, right: np.ndarray) -> np.ndarray:
-        key = left << 20 | right
-        at = np.minimum(np.searchsorted(self._keys, key), len(self._keys) - 1)
-        return np.where((self._keys[at] == key) & (right >= 0) & (left >= 0), self._values[at], _NONE)
-
-    def _merge_rows(self, ids: np.ndarray) -> np.ndarray:
-        """Merge every row of padded ids in place; how many are left of each."""
-        n, width = ids.shape
-        sizes, cols = (ids >= 0).sum(1), np.arange(width)
-        ranks = np.full((n, width), _NONE, np.int64)
-        ranks[:, :-1] = self._rank(ids[:, :-1], ids[:, 1:])
+        return self.pairs.find(_pair(left, right), _NONE)
+
+    def _merge_rows(self, raw: np.ndarray, begin: np.ndarray, lengths: np.ndarray, width: int) -> tuple[np.ndarray, np.ndarray]:
+        """Merge the pair of lowest rank, the first of them, until a row has none; all rows at once.
+
+        A row has a cell on either side of its word. A merge leaves its id in the
+        left cell and nothing in the right one; ``before`` and ``after`` lead from
+        a cell to its neighbours that still hold an id.
+        """
+        n, cells = len(begin), width + 2
+        cols = np.arange(width)
+        codes = raw[np.minimum(begin[:, None] + cols, len(raw) - 1)]
+        grid = np.full((n, cells), _NOTHING, np.int64)
+        grid[:, 1:-1] = np.where(cols < lengths[:, None], self._inner[codes], _NOTHING)
+        ids, ends = grid.reshape(-1), np.arange(n) * cells + lengths
+        ids[ends] = self._last[codes[np.arange(n), lengths - 1]]
+        ranks = np.full((n, cells), _NONE, np.int32)
+        inside = np.flatnonzero(ids[1:] != _NOTHING)  # the cell before one that holds an id
+        rank = ranks.reshape(-1)
+        rank[inside] = self._rank(ids[inside], ids[inside + 1])
+        after, before = np.arange(1, n * cells + 1), np.arange(-1, n * cells - 1)
         live = np.arange(n)
-        own = ids
-        while True:
-            at = ranks.argmin(1)
-            best = ranks[np.arange(len(live)), at]
+        while len(live):
+            at = live * cells + (ranks if len(live) == n else ranks[live]).argmin(1)
+            best = rank[at]
             going = best < _NONE
             if not going.all():
-                ids[live[~going]] = own[~going]
-                live, own, ranks, at, best = live[going], own[going], ranks[going], at[going], best[going]
-            if not len(live):
-                return sizes
-            rows, new = np.arange(len(live)), best & 0xFFFFF
-            own = np.concatenate([own, np.full((len(live), 1), -1)], 1)
-            own = np.take_along_axis(own, cols + (cols > at[:, None]), 1)
-            own[rows, at] = new
-            ranks = np.concatenate([ranks, np.full((len(live), 1), _NONE)], 1)
-            ranks = np.take_along_axis(ranks, cols + (cols >= at[:, None]), 1)
-            nxt = np.where(at + 1 < width, own[rows, np.minimum(at + 1, width - 1)], -1)
-            ranks[rows, at] = self._rank(new, nxt)
-            before = at > 0
-            r, i = rows[before], at[before]
-            ranks[r, i - 1] = self._rank(own[r, i - 1], new[before])
-            sizes[live] -= 1
-
-    def learn(self, chunks: set[str]) -> None:
-        """Have the ids of all these chunks in the cache; a chunk of one pre-token is kept once."""
-        fresh, own = self.kept.lacks(chunks), self.kept.young
-        split = {c: parts for c in fresh if not c.isalpha() and len(parts := _PRE.findall(c)) > 1}
-        words = fresh.difference(split)
-        words |= self.kept.lacks({w for parts in split.values() for w in parts})
-        many = list(words)
-        own.update(zip(many, self.pre_token_many(many)))
-        own.update((c, b"".join([own[w] for w in parts])) for c, parts in split.items())
+                live, at, best = live[going], at[going], best[going]
+            new, gone = self.merged[best], after[at]
+            right, left = after[gone], before[at]
+            ids[at], ids[gone], rank[gone] = new, _NOTHING, _NONE
+            after[at], before[right] = right, at
+            rank[at], rank[left] = self._rank(new, ids[right]), self._rank(ids[left], new)
+        held = grid != _NOTHING
+        return held.sum(1), ids[held.reshape(-1)].astype("<u4")
 
     def ids_many(self, texts: list[str]) -> Iterator[bytes]:
         """The ids of each text as little-endian unsigned 32-bit integers.
 
-        The texts go through in slices of about two million characters, so that
-        what is held besides the cache has a bound.
+        The texts go through in slices of about a million characters, so that
+        what is held besides the table has a bound.
         """
-        for part in slices(texts):
-            split = [None if (plain := self.plain(t)) is None else plain.split() for t in part]
-            get = self.kept.young.get
-            found = [None if chunks is None else list(map(get, chunks)) for chunks in split]
-            lacking = [None if parts is None else _holes(parts) for parts in found]
-            self.learn({chunks[i] for chunks, holes in zip(split, lacking) if holes for i in holes})
-            own = self.kept.young
-            for text, chunks, parts, holes in zip(part, split, found, lacking):
-                if chunks is None:
-                    yield np.array(self.whole.encode(text, add_special_tokens=False).ids, "<u4").tobytes()
-                else:
-                    for i in holes:
-                        parts[i] = own[chunks[i]]
-                    yield b"".join(parts)
-            self.kept.age()
-
-
-def _holes(parts: list) -> list[int]:
-    """Where a list has None."""
-    out, i = [], -1
-    try:
-        while True:
-            i = parts.index(None, i + 1)
-            out.append(i)
-    except ValueError:
-        return out
+        for part in slices(texts, BLOCK):
+            plain = [self.plain(t) for t in part]
+            data = [(p if p.isascii() else p.replace("\x85", " ").replace("\xa0", " ")).encode() for p in plain if p is not None]
+            try:
+                found = list(self.table.ids_of(data)) if data else []
+            except Collision:
+                plain, found = [None] * len(part), []
+            each = iter(found)
+            for text, p in zip(part, plain):
+                yield self._library(text) if p is None else next(each)
+
+    def _library(self, text: str) -> bytes:
+        return np.array(self.whole.encode(text, add_special_tokens=False).ids, "<u4").tobytes()
 
 
 @contextmanager

@@ -8,10 +8,11 @@ import zlib
 from collections import Counter, defaultdict
 from math import ceil
 
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from plumbline.llm import decontamination, licenses, near_duplicates, packing, quality_model, quality_rules, secrets, subword, token_counts, url_rules, warc, words
+from plumbline.llm import chunk_table, decontamination, licenses, near_duplicates, packing, quality_model, quality_rules, secrets, subword, token_counts, url_rules, warc, words
 from plumbline.llm.queries import RULES, tokenizer_path
 
 rnd = random.Random(3)
@@ -276,17 +277,51 @@ def test_token_counts(docs, none, library):
     assert token_counts.count_tokens(none, tokenizer_path()).count() == 0
 
 
-def test_ids_are_the_librarys(library):
+def test_ids_are_the_librarys(library, monkeypatch):
     r = random.Random(2)
     alphabet = [chr(c) for c in range(0x300)] + list("  '''stremd09\n") * 12 + ["\u0301", "\u2003", "Σ", "<|endoftext|>", "漢"]
     texts = ["".join(r.choice(alphabet) for _ in range(r.randrange(40))) for _ in range(3_000)] + [LONG]
     e = subword.Encoder(tokenizer_path())
-    e.kept.entries = 500
-    for t, ids in zip(texts, e.ids_many(texts), strict=True):
-        told = library.encode(t, add_special_tokens=False).ids
-        assert ids == struct.pack(f"<{len(told)}I", *told), t
-    for w in ("international", "é", "!!!", "x"):
-        assert e.pre_token(w) == library.encode(w, add_special_tokens=False).ids
+    texts += ["a" * n for n in (*range(1, 70), 50_000)] + ["word, " * 3_000 + "\x85y\xa0z" + "x" * 30 + ", " + "nul\0 nul"] + texts[:400]
+    told = [struct.pack(f"<{len(ids)}I", *ids) for ids in (library.encode(t, add_special_tokens=False).ids for t in texts)]
+
+    e = subword.Encoder(tokenizer_path())
+    e.table.entries = 500
+    for step in (300, len(texts)):
+        for at in range(0, len(texts), step):
+            assert list(e.ids_many(texts[at : at + step])) == told[at : at + step]
+    assert e.table.n < len(texts) * 40
+
+    # blocks of a text, and chunks that share a number
+    monkeypatch.setattr(chunk_table, "BLOCK", 50)
+    e = subword.Encoder(tokenizer_path())
+    assert [ids for t in texts for ids in e.ids_many([t])] == told
+    monkeypatch.setattr(chunk_table, "mixed", lambda keys, sizes: np.maximum(keys[0] & np.uint64(0xFFFFF), np.uint64(1)) << np.uint64(44))
+    assert list(subword.Encoder(tokenizer_path()).ids_many(texts)) == told
+    assert list(subword.Encoder(tokenizer_path()).ids_many(["", " ", "\n"])) == [b"", b"", b""]
+
+    words = ["international", "é", "!!!", "x", "q" * 900]
+    assert e.pre_token_many(words) == [struct.pack(f"<{len(ids)}I", *ids) for ids in (library.encode(w, add_special_tokens=False).ids for w in words)]
+
+
+def test_table_keeps_what_occurs_often():
+    """A table past its bound forgets, and what it forgot is encoded again."""
+    asked = []
+
+    def encode(raw, begin, lengths):
+        words = [raw[a : a + n].tobytes() for a, n in zip(begin, lengths)]
+        asked.extend(words)
+        return lengths.astype(np.int64), np.frombuffer(b"".join(words), np.uint8).astype("<u4")
+
+    table = chunk_table.ChunkTable(lambda c: [c], encode, entries=50)
+    r = random.Random(4)
+    names = ["".join(r.choice("abcdef") for _ in range(8)) for _ in range(4_000)]
+    for at in range(0, 4_000, 40):
+        text = " ".join(["often"] * 9 + names[at : at + 40])
+        (got,) = table.ids_of([text.encode()])
+        assert got == np.frombuffer(text.replace(" ", "").encode(), np.uint8).astype("<u4").tobytes()
+        assert table.n <= 50 + 41
+    assert asked.count(b"often") == 1 and list(table.ids_of([names[0].encode()])) and asked.count(names[0].encode()) == 2
 
 
 def test_frequent_table(spark, library):
