@@ -16,7 +16,7 @@ from pyspark.sql import DataFrame, functions as F
 from plumbline.functions.stats import average_rank, clip, distribution_measures, mae, pearson, rmse
 from plumbline.operators import predictors as P
 from plumbline.operators.inference import leak_check
-from plumbline.operators.protocol import check_capabilities, permuted_labels, split_sizes
+from plumbline.operators.protocol import check_capabilities, explode_ratings, permuted_labels, split_sizes
 from plumbline.plans.catalogue import ERAS
 from plumbline.sources.spec import ItemSpec
 
@@ -212,6 +212,22 @@ class BayesianRidge(_Features):
         return rows.select("item", P.linear("features", *self.model).alias("score"))
 
 
+@register("rater-dinov2", "foundation", ("ratings",), notes="rater effects and ridge on features that some frozen network has made")
+class RaterRidge(_Features):
+    """Ridge with penalty 1 on the quality that the training items have once their raters' offsets are taken off."""
+
+    def fit(self, train, val, spec):
+        quality = P.rater_effects(explode_ratings(train, "item", spec.ratings))[1]
+        known = train.drop("label").join(quality.select("item", F.col("quality").alias("label")), "item")
+        super().fit(known, val, spec)
+
+    def _fit(self, train):
+        self.model = P.ridge_fit(train, "features", "label", self.width, 1.0)
+
+    def _predict(self, rows):
+        return rows.select("item", P.linear("features", *self.model).alias("score"))
+
+
 def evaluate(scored: DataFrame) -> dict[str, float | int]:
     """Point metrics of y and p; distribution measures too where there are both ``actual`` and ``predicted``."""
     count, bad = scored.agg(F.count("*"), F.sum(F.when(F.col("p").isNull() | F.isnan("p") | (F.abs("p") == float("inf")), 1).otherwise(0))).first()

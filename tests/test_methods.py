@@ -11,8 +11,8 @@ def roles(spark):
     rng = np.random.default_rng(0)
     x = rng.normal(size=(90, 4))
     y = np.clip(5 + x @ [1.0, -0.5, 0.2, 0.0] + rng.normal(size=90) * 0.2, 1, 10)
-    rows = [(i, x[i].tolist(), float(y[i]), "test" if i % 3 == 0 else "val" if i % 3 == 1 and i < 30 else "train", [0.0]) for i in range(90)]
-    return spark.createDataFrame(rows, "item int, features array<double>, label double, role string, landmarks array<double>").persist()
+    rows = [(i, x[i].tolist(), float(y[i]), "test" if i % 3 == 0 else "val" if i % 3 == 1 and i < 30 else "train", [0.0], [(j, float(y[i]) + j - 1) for j in range(3) if (i + j) % 4]) for i in range(90)]
+    return spark.createDataFrame(rows, "item int, features array<double>, label double, role string, landmarks array<double>, ratings array<struct<rater_id: int, score: double>>").persist()
 
 
 def test_every_method_runs_and_learns(roles):
@@ -23,6 +23,13 @@ def test_every_method_runs_and_learns(roles):
     assert all(m["PC"] > 0.7 for name, m in by.items() if name != "mean-baseline")
 
 
+def test_rater_offsets_are_taken_off(roles):
+    """Raters are a point apart and each item lacks another one of them: the fit is nearer to the labels than the items' means allow."""
+    (found,), failed = methods.sweep(["rater-dinov2"], roles, ItemSpec())
+    assert not failed and found["metrics"]["MAE"] < 0.3
+    assert "ratings" in methods.sweep(["rater-dinov2"], roles.drop("ratings"), ItemSpec())[1]["rater-dinov2"]
+
+
 def test_refusals(roles):
     done, failed = methods.sweep(["fan2012", "mean-baseline"], roles.drop("landmarks"), ItemSpec())
     assert [r["method"] for r in done] == ["mean-baseline"] and "landmarks" in failed["fan2012"]
