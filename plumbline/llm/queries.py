@@ -7,6 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from plumbline.llm.decontamination import find_contamination
+from plumbline.llm.hard_negatives import mine
 from plumbline.llm.licenses import scan_licenses
 from plumbline.llm.near_duplicates import find_near_duplicates
 from plumbline.llm.packing import pack_documents
@@ -14,9 +15,11 @@ from plumbline.llm.quality_model import judge_by_model
 from plumbline.llm.quality_rules import judge_quality
 from plumbline.llm.runtime import table
 from plumbline.llm.secrets import scan_secrets
+from plumbline.llm.simhash import find_similar
 from plumbline.llm.token_counts import count_tokens
 from plumbline.llm.url_rules import Rule, judge_urls
 from plumbline.llm.warc import archive_round_trip
+from plumbline.llm.whitening import whiten
 
 
 def tokenizer_path() -> str:
@@ -78,6 +81,25 @@ def op10_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return judge_quality(table(spark, sf_dir, "documents"))
 
 
+def op11_hard_negatives(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = table(spark, sf_dir, "embeddings")
+    moved = F.when(F.col("vec_id") % 7 == 0, (F.col("label") + 1) % 10).otherwise(F.col("label"))
+    return mine(rows.withColumn("label", moved), F.col("vec_id") % 50 == 0)
+
+
+def op12_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return find_similar(table(spark, sf_dir, "documents"))
+
+
+def op13_whitening(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = whiten(table(spark, sf_dir, "embeddings").select("vec_id", "embedding"), "embedding", scale=64, shift=1_000_000)
+    each = rows.select("*", F.posexplode("whitened").alias("at", "value"))
+    return each.select(
+        "vec_id", (F.col("at") + 1).alias("component"), "n", F.col("deviation").try_cast("long").alias("deviation"),
+        F.col("value").alias("whitened"), F.get("explained", F.col("at")).alias("explained"), "identity_error",
+    )
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_decontaminate": op1_decontaminate,
     "op2_warc_round_trip": op2_warc_round_trip,
@@ -89,6 +111,9 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_secret_scan": op8_secret_scan,
     "op9_license_scan": op9_license_scan,
     "op10_quality_rules": op10_quality_rules,
+    "op11_hard_negatives": op11_hard_negatives,
+    "op12_simhash": op12_simhash,
+    "op13_whitening": op13_whitening,
 }
 
 _WORDS = r"regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+')"
@@ -147,5 +172,15 @@ select page_id, payload_bytes,
   case when newest = page_id then 'response' else 'revisit' end as record_type,
   case when newest <> page_id then newest end as refers_to
 from d
+""",
+    "op11_hard_negatives": """
+with v as (select vec_id, case when vec_id % 7 = 0 then (label + 1) % 10 else label end as label, list_transform(embedding, lambda c: floor(256 * cast(c as double))) as x
+  from embeddings where label is not null and embedding is not null and len(list_filter(embedding, lambda c: c is null or not isfinite(c))) = 0),
+s as (select a.vec_id as anchor_id, a.label = b.label as same, b.vec_id as other, list_dot_product(a.x, b.x)::bigint as score
+  from v a join v b on a.vec_id % 50 = 0 and a.vec_id <> b.vec_id),
+p as (select anchor_id, other as positive_id, score as positive_score from s where same qualify row_number() over (partition by anchor_id order by score desc, other) <= 5),
+n as (select p.*, other as negative_id, score as negative_score, row_number() over (partition by p.anchor_id, positive_id order by score desc, other) as rank
+  from p join s on s.anchor_id = p.anchor_id and not same and 50 * positive_score <= 100 * score and 100 * score <= 95 * positive_score)
+select anchor_id, positive_id, rank::int as rank, negative_id, positive_score, negative_score from n where rank <= 3
 """,
 }
