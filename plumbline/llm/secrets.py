@@ -190,6 +190,43 @@ def scan_secrets(docs: DataFrame, ratios: list[float] | None = None) -> DataFram
     )
 
 
+#: Characters of a piece of a text at least, and pieces of a text at most.
+PIECE, PIECES = 4_096, 128
+
+
+def _redacted(mark: str) -> Column:
+    """``__text`` with its ``found`` spans replaced.
+
+    The text is cut into pieces once, and a piece is put together from the spans that
+    start in it: no span's place is counted from the start of a long text, and no
+    list of parts grows with the text's number of spans. What several steps use is a
+    field of an array's element, so that it is evaluated once.
+    """
+    size = F.greatest(F.lit(PIECE), F.ceil(F.length("__text") / PIECES).cast("int"))
+
+    def whole(w: Column) -> Column:
+        each = F.sequence(F.lit(0), F.length(w["text"]) - 1, w["size"])
+        spans_of = lambda at: F.filter(w["found"], lambda x: (x["start"] >= at) & (x["start"] < at + w["size"]))
+        # how far the spans reach that start before the piece; what they cover of it is gone
+        before = lambda at: F.coalesce(F.array_max(F.transform(F.filter(w["found"], lambda x: x["start"] < at), lambda x: x["end"])), F.lit(-1).cast("long"))
+        pieces = F.transform(each, lambda at: F.struct(at.cast("long").alias("at"), F.substring(w["text"], at + 1, w["size"]).alias("chunk"), spans_of(at).alias("spans"), before(at).alias("reach")))
+        return F.array_join(F.transform(pieces, piece), "")
+
+    def piece(p: Column) -> Column:
+        shown = lambda reach: F.greatest(reach, p["at"])
+
+        def step(s: Column, x: Column) -> Column:
+            gap = F.substring(p["chunk"], (shown(s["reach"]) - p["at"] + 1).cast("int"), F.greatest(x["start"] - shown(s["reach"]), F.lit(0)).cast("int"))
+            parts = F.when(x["start"] > s["reach"], F.concat(s["parts"], F.array(gap, F.lit(mark)))).otherwise(s["parts"])
+            return F.struct(F.greatest(s["reach"], x["end"]).alias("reach"), parts.alias("parts"))
+
+        rest = lambda s: F.concat(F.array_join(s["parts"], ""), F.substring(p["chunk"], (shown(s["reach"]) - p["at"] + 1).cast("int"), F.length(p["chunk"])))
+        return F.aggregate(p["spans"], F.struct(p["reach"].alias("reach"), F.array().cast("array<string>").alias("parts")), step, rest)
+
+    bound = F.array(F.struct(F.col("__text").alias("text"), F.col("found").alias("found"), size.alias("size")))
+    return F.get(F.transform(bound, whole), F.lit(0))
+
+
 def redact_secrets(docs: DataFrame, ratios: list[float] | None = None, mark: str = "[SECRET]") -> DataFrame:
     """The rows with every span of their text replaced by ``mark``; n_chars follows the text.
 
@@ -197,16 +234,7 @@ def redact_secrets(docs: DataFrame, ratios: list[float] | None = None, mark: str
     """
     whole = [F.struct(*[docs[c] for c in docs.columns]).alias("__row")]
     df = _scan(docs, whole, train(docs) if ratios is None else ratios)
-    start = F.struct(F.lit(0).cast("long").alias("end"), F.array().cast("array<string>").alias("parts"))
-
-    def step(s: Column, x: Column) -> Column:
-        gap = F.substring(F.col("__text"), (s["end"] + 1).cast("int"), (x["start"] - s["end"]).cast("int"))
-        apart = (x["start"] > s["end"]) | (F.size(s["parts"]) == 0)
-        return F.struct(F.greatest(s["end"], x["end"]).alias("end"), F.when(apart, F.concat(s["parts"], F.array(gap, F.lit(mark)))).otherwise(s["parts"]).alias("parts"))
-
-    done = F.aggregate("found", start, step)
-    rest = F.substring(F.col("__text"), (done["end"] + 1).cast("int"), F.length("__text"))
-    df = df.select("__row", F.when(F.size("found") > 0, F.concat(F.array_join(done["parts"], ""), rest)).alias("__new"))
+    df = df.select("__row", F.when(F.size("found") > 0, _redacted(mark)).alias("__new"))
     row = F.col("__row")
     columns = {c: row[c] for c in docs.columns}
     columns["text"] = F.coalesce("__new", row["text"])

@@ -787,3 +787,21 @@ def test_quality_rules_reject_gibberish_and_other_languages(spark):
     assert sum(not kept[i] for i in range(at)) <= at // 50
     assert not any(kept[i] for i in range(at, at + len(odd)))
     assert all(kept[i] for i in range(at + len(odd), len(rows)))
+
+
+def test_redaction_of_long_texts(spark, monkeypatch):
+    """Pieces of a text, spans over their borders and spans that touch: as replacing the merged spans one after another."""
+    monkeypatch.setattr(secrets, "PIECE", 16)
+    rows = random.Random(5)
+    words = ["token: abcdefgh ", "é word ", "deadbeefdeadbeefdeadbeef00", " password=secret=abcdefgh ", "x" * 30 + " ", "漢字 "]
+    texts = ["".join(rows.choice(words) for _ in range(n)) for n in (1, 2, 5, 40, 300)] + ["a" * 12 + " password=abcdefgh tail", "password=abcdefgh"]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    ratios = [0.0] * (len(secrets.ALPHABET) + 1) ** 2
+    spans = {r["doc_id"]: r["spans"] for r in secrets.scan_secrets(docs, ratios).collect()}
+    for r in secrets.redact_secrets(docs, ratios).collect():
+        text, out, reach = texts[r["doc_id"]], [], -1
+        for start, end in sorted(tuple(map(int, s.split(":")[1:])) for s in spans[r["doc_id"]].split(",") if s):
+            if start > reach:
+                out += [text[max(reach, 0) : start], "[SECRET]"]
+            reach = max(reach, end)
+        assert r["text"] == "".join(out) + text[max(reach, 0) :]
