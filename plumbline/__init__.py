@@ -1 +1,3 @@
 """Evaluation analytics on PySpark."""
+
+__version__ = "0.3.0"

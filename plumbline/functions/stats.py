@@ -3,12 +3,17 @@
 from __future__ import annotations
 
 from functools import reduce
+from math import ceil, sqrt
 
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
 EPS = 1e-12
-#: Distribution measures for which less is better; for the others more is.
-LOWER_IS_BETTER = ("Chebyshev", "Clark", "Canberra", "KL")
+#: Measures for which less is better; for the others more is.
+LOWER_IS_BETTER = ("MAE", "RMSE", "Chebyshev", "Clark", "Canberra", "KL")
+
+
+def lower_is_better(metric: str) -> bool:
+    return metric in LOWER_IS_BETTER
 
 
 def _c(x: Column | str) -> Column:
@@ -46,10 +51,28 @@ def r6(x: Column) -> Column:
     return F.round(x, 6) + F.lit(0.0)
 
 
-def range_part(df: DataFrame, column: str, parts: int = 32) -> Column:
-    """The number of a value's range, with bounds at approximate quantiles of the column."""
-    bounds = sorted(set(df.approxQuantile(column, [i / parts for i in range(1, parts)], 0.01)))
-    return reduce(lambda x, b: x + F.when(F.col(column) > b, 1).otherwise(0), bounds, F.lit(0))
+def with_range_part(df: DataFrame, keys: list[str], out: str = "__part") -> DataFrame:
+    """Add the number of the range that a row's keys fall in; ranges follow the order of the keys, of any sortable types.
+
+    The bounds are keys of the table: the least by a hash among each of some buckets
+    of hashes, which is a sample that depends on nothing but the different keys there
+    are. They are an aggregate within the query, one broadcast row, so nothing runs
+    before the query does, and a lost task sees the same ranges again. A range is
+    found by two short scans, of the coarse bounds and of the fine ones between.
+    """
+    parts = min(4096, max(16, int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))))
+    side = ceil(sqrt(parts))
+    h = F.xxhash64(*keys)
+    least = df.groupBy(F.pmod(h, F.lit(16 * parts)).alias("__bucket")).agg(F.min(F.struct(h.alias("__h"), F.struct(*keys).alias("__key"))).alias("m"))
+    found = least.agg(F.sort_array(F.collect_list("m.__key")).alias("__all"))
+    at = lambda place: F.get("__all", F.floor(place * F.size("__all") / (side * side)).cast("int"))
+    steps = F.sequence(F.lit(1), F.lit(side - 1))
+    coarse = F.transform(steps, lambda i: at(i * side))
+    fine = F.transform(F.sequence(F.lit(0), F.lit(side - 1)), lambda j: F.transform(steps, lambda i: at(j * side + i)))
+    bounds = found.select(coarse.alias("__coarse"), fine.alias("__fine"))
+    below = lambda bounds: F.size(F.filter(bounds, lambda b: b < F.col("__key")))
+    placed = df.withColumn("__key", F.struct(*keys)).crossJoin(F.broadcast(bounds)).withColumn("__c", below(F.col("__coarse")))
+    return placed.withColumn(out, F.col("__c") * side + below(F.get("__fine", F.col("__c")))).drop("__key", "__coarse", "__fine", "__c")
 
 
 def _offsets(sums: DataFrame, by: tuple[str, ...]) -> DataFrame:
@@ -58,31 +81,46 @@ def _offsets(sums: DataFrame, by: tuple[str, ...]) -> DataFrame:
     return sums.select(*by, "__part", F.coalesce(F.sum("__s").over(earlier), F.lit(0)).alias("__o"))
 
 
-def row_index(df: DataFrame, part: Column, order: list[Column | str], out: str, by: tuple[str, ...] = ()) -> DataFrame:
-    """Add the 0-based place of each row in the order, within its group if there is one.
+def row_index(df: DataFrame, order: list[str], out: str, by: tuple[str, ...] = ()) -> DataFrame:
+    """Add the 0-based place of each row in the order of some columns, within its group if there is one.
 
-    ``part`` rises with the order; each part is numbered by itself and moved by
-    the counts of the parts before it, so no task sorts a whole table or group.
+    Rows are dealt to ranges of (group, order); each range is numbered by itself and
+    moved by the counts of the ranges before it, so no task sorts a whole table or group.
     """
-    df = df.withColumn("__part", part)
+    df = with_range_part(df, [*by, *order])
     sums = df.groupBy(*by, "__part").agg(F.count("*").alias("__s"))
     within = F.row_number().over(Window.partitionBy(*by, "__part").orderBy(*order))
-    return df.join(_offsets(sums, by), [*by, "__part"]).withColumn(out, F.col("__o") + within - 1).drop("__part", "__o")
+    placed = df.withColumn("__within", within)
+    same = reduce(lambda x, c: x & placed[c].eqNullSafe(F.col(f"__g_{c}")), by, placed["__part"] == F.col("__p"))
+    offsets = _offsets(sums, by).select(F.col("__part").alias("__p"), "__o", *[F.col(c).alias(f"__g_{c}") for c in by])
+    return placed.join(offsets, same).withColumn(out, F.col("__o") + F.col("__within") - 1).drop("__part", "__o", "__p", "__within", *[f"__g_{c}" for c in by])
 
 
-def average_rank(df: DataFrame, value: str, out: str, by: tuple[str, ...] = ()) -> DataFrame:
-    """Add the 0-based rank of ``value``, within its group if there is one; equal values share the mean of their ranks.
+def average_ranks(df: DataFrame, values: dict[str, str], by: tuple[str, ...] = ()) -> DataFrame:
+    """Add the 0-based rank of each value (column: new column), within its group if there is one; equal values share the mean of their ranks.
 
-    Counts of distinct values are ranked, not rows, and the values are first dealt
-    out to ranges with known bounds, so no window spans a table or a group.
+    All columns are ranked as one table of (group, column, value): counts of
+    different values are placed, not rows, and the values are first dealt to ranges
+    with known bounds, so no window spans a table or a group.
     """
-    counts = df.groupBy(*by, value).agg(F.count("*").alias("__n")).withColumn("__part", range_part(df, value))
-    before = Window.partitionBy(*by, "__part").orderBy(value).rowsBetween(Window.unboundedPreceding, -1)
+    names = list(values)
+    each = F.explode(F.array(*[F.struct(F.lit(i).alias("__col"), F.col(c).alias("__v")) for i, c in enumerate(names)])).alias("__x")
+    long = df.select(*by, each).select(*by, "__x.__col", "__x.__v")
+    group = (*by, "__col")
+    counts = with_range_part(long.groupBy(*group, "__v").agg(F.count("*").alias("__n")), [*group, "__v"])
+    before = Window.partitionBy(*group, "__part").orderBy("__v").rowsBetween(Window.unboundedPreceding, -1)
     ranked = counts.withColumn("__before", F.coalesce(F.sum("__n").over(before), F.lit(0)))
-    sums = counts.groupBy(*by, "__part").agg(F.sum("__n").alias("__s"))
-    ranked = ranked.join(_offsets(sums, by), [*by, "__part"]).withColumn("__before", F.col("__before") + F.col("__o"))
-    ranked = ranked.select(*by, value, (F.col("__before") + (F.col("__n") - 1) / 2).alias(out))
-    return df.join(ranked, [*by, value])
+    sums = counts.groupBy(*group, "__part").agg(F.sum("__n").alias("__s"))
+    ranked = ranked.join(_offsets(sums, group), [*group, "__part"])
+    ranked = ranked.select(*group, "__v", (F.col("__before") + F.col("__o") + (F.col("__n") - 1) / 2).alias("__r"))
+    for i, c in enumerate(names):
+        df = df.join(ranked.where(F.col("__col") == i).select(*by, F.col("__v").alias(c), F.col("__r").alias(values[c])), [*by, c])
+    return df
+
+
+def average_rank(df: DataFrame, value: str, out: str, by: tuple[str, ...] = ()) -> DataFrame:
+    """``average_ranks`` of one column."""
+    return average_ranks(df, {value: out}, by)
 
 
 def normalised(counts: Column | str, *, strict: bool = False) -> Column:
@@ -149,6 +187,7 @@ def heteroscedastic(e: Column | str, y: Column | str, log_variance: Column | str
     return F.exp(-v) * d * d + v
 
 
-def multinomial_nll(counts: Column | str, shares: Column | str) -> Column:
-    """-sum of count * ln(share)."""
-    return -_sum(F.zip_with(_c(counts), _c(shares), lambda c, s: c * F.log(s + EPS)))
+def multinomial_nll(counts: Column | str, shares: Column | str, mean_n: Column | None = None) -> Column:
+    """-sum of count * ln(share); over the mean number of ratings, if that is given, so that it does not grow with it."""
+    nll = -_sum(F.zip_with(_c(counts), _c(shares), lambda c, s: c * F.log(s + EPS)))
+    return nll if mean_n is None else nll / mean_n

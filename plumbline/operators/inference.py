@@ -16,7 +16,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
-from plumbline.functions.stats import mae, pearson, range_part, rmse, row_index
+from plumbline.functions.stats import mae, pearson, rmse, row_index
 
 #: Items up to which they are broadcast to the draws, some 20 bytes a column each.
 AT_HAND = 500_000
@@ -166,9 +166,9 @@ def subgroup_intervals(resamples: DataFrame) -> DataFrame:
     return resamples.where("p_varies and y_varies").groupBy("group").agg(*out)
 
 
-def subgroup_gap(resamples: DataFrame, first: str, second: str) -> DataFrame:
-    """Interval of PC(first) - PC(second), drawn independently; only constant labels are left out."""
-    of = lambda g, name: resamples.where((F.col("group") == g) & F.col("y_varies")).select("b", F.col("PC").alias(name))
+def subgroup_gap(resamples: DataFrame, first: str, second: str, metric: str = "PC") -> DataFrame:
+    """Interval of a metric of the first group less that of the second, drawn independently; only constant labels are left out."""
+    of = lambda g, name: resamples.where((F.col("group") == g) & F.col("y_varies")).select("b", F.col(metric).alias(name))
     lo, hi = interval("d")
     gap = of(first, "x").join(of(second, "z"), "b").select((F.col("x") - F.col("z")).alias("d")).agg(lo.alias("lo"), hi.alias("hi"))
     return gap.withColumn("excludes_zero", (F.col("lo") > 0) | (F.col("hi") < 0))
@@ -207,7 +207,7 @@ def subgroup_table(scored: DataFrame, dimension: str, *, resamples: int, seed: s
     both = F.explode(F.array(F.struct(F.lit(False).alias("total"), F.col(dimension).alias("name")), F.struct(F.lit(True).alias("total"), F.lit("all").alias("name")))).alias("g")
     long = scored.select("item", "p", "y", both).select("item", "p", "y", F.col("g.total").alias("total"), F.when(F.col("g.total"), "all").otherwise(F.concat(F.lit("="), "g.name")).alias("group"))
     metrics = long.groupBy("total", "group").agg(F.count("*").alias("n"), pearson("p", "y").alias("PC"), mae("p", "y").alias("MAE"), rmse("p", "y").alias("RMSE")).where(F.col("total") | (F.col("n") >= least))
-    numbered = row_index(long.join(metrics.select("group"), "group", "left_semi"), range_part(long, "item"), ["item"], "at", ("group",))
+    numbered = row_index(long.join(metrics.select("group"), "group", "left_semi"), ["item"], "at", ("group",))
     intervals = subgroup_intervals(group_resamples(numbered.select("group", "at", "p", "y"), resamples=resamples, seed=seed))
     joined = metrics.join(intervals, "group", "left").withColumn("group", F.when(F.col("total"), F.col("group")).otherwise(F.substring("group", 2, 1 << 20)))
     # one row for each group

@@ -9,15 +9,18 @@ from __future__ import annotations
 import time
 from collections.abc import Callable
 from dataclasses import dataclass
+from functools import partial
 
 import numpy as np
-from pyspark.sql import DataFrame, functions as F
+from pyspark.sql import Column, DataFrame, functions as F
 
-from plumbline.functions.stats import average_rank, clip, distribution_measures, mae, pearson, rmse
+from plumbline.functions.stats import average_ranks, clip, distribution_measures, expectation, mae, normalised, pearson, rmse, softmax
+from plumbline.operators import heads as H
+from plumbline.operators import kernels as K
 from plumbline.operators import predictors as P
 from plumbline.operators.inference import leak_check
 from plumbline.operators.protocol import check_capabilities, explode_ratings, permuted_labels, split_sizes
-from plumbline.plans.catalogue import ERAS
+from plumbline.plans.catalogue import ERAS, schedule
 from plumbline.sources.spec import ItemSpec
 
 
@@ -53,6 +56,11 @@ def entries(era: str | None = None) -> list[Entry]:
     return sorted((e for e in _entries.values() if era in (None, e.era)), key=lambda e: (ERAS.index(e.era), e.name))
 
 
+def schedule_names() -> set[str]:
+    """The methods that are fitted in epochs."""
+    return {e.name for e in _entries.values() if e.trainable}
+
+
 def create(name: str, **options):
     """A new method of that name."""
     return get(name).factory(**options)
@@ -66,7 +74,13 @@ def get(name: str) -> Entry:
 
 
 class Method:
-    """``fit(train, val, spec)``, then ``predict(rows)`` with item and score."""
+    """``fit(train, val, spec)``, then ``predict(rows)`` with item and score, and maybe a distribution.
+
+    What an object holds after ``fit`` is the model: numbers, strings, arrays, tuples
+    of them, the dataclasses of fitted parts, and tables. ``sources.models`` saves it.
+    """
+
+    seed = 0
 
     def fit(self, train: DataFrame, val: DataFrame, spec: ItemSpec) -> None:
         raise NotImplementedError
@@ -88,8 +102,12 @@ class _Features(Method):
     """Methods on an array column ``features``; scores are held to the scale."""
 
     def fit(self, train, val, spec):
+        if "features" not in train.columns:
+            raise ValueError("needs an array column features, which some network has made")
         self.ends = spec.score_range
-        self.width = int(train.agg(F.max(F.size("features"))).first()[0])
+        self.width = int(train.agg(F.max(F.size("features"))).first()[0] or 0)
+        if self.width <= 0:
+            raise ValueError("no training row has features")
         self._fit(train.select("item", "features", "label"))
 
     def predict(self, rows):
@@ -169,9 +187,9 @@ class NeighboursAndRidge(_Geometric):
         return rows.join(near, "item").select("item", ((F.col("p") + P.linear("features", *self.model)) / 2).alias("score"))
 
 
-@register("kagian2008", "classical", ("landmarks",), paper="https://www.sciencedirect.com/science/article/pii/S0042698907005032", reference="Kagian et al. 2008, Vision Research 48(2)", notes="kernel ridge stands in for support-vector regression")
-class KernelRidge(_Geometric):
-    """Distances; a kernel of the width that the number of features gives."""
+@register("kagian2008", "classical", ("landmarks",), paper="https://www.sciencedirect.com/science/article/pii/S0042698907005032", reference="Kagian et al. 2008, Vision Research 48(2)")
+class SupportVectors(_Geometric):
+    """Distances; support-vector regression, cost 10 and band 0.1, with a kernel of the width that the number of features gives."""
 
     best = 100
 
@@ -179,10 +197,10 @@ class KernelRidge(_Geometric):
         return rows.withColumn("features", F.col("distances"))
 
     def _fit(self, train):
-        self.model = P.kernel_ridge(train, gamma=1 / len(self.keep), alpha=0.1)
+        self.model = K.support_vector_regression(train, gamma=1 / len(self.keep), c=10.0, epsilon=0.1)
 
     def _predict(self, rows):
-        return rows.select("item", self.model("features").alias("score"))
+        return rows.select("item", self.model.column()("features").alias("score"))
 
 
 @register("fan2012", "classical", ("landmarks",), paper="https://doi.org/10.1016/j.patcog.2011.11.024", reference="Fan et al. 2012, Pattern Recognition 45(6)")
@@ -201,15 +219,138 @@ class PolynomialRidge(_Geometric):
         return rows.select("item", P.predictor(self.model, P.products)("features").alias("score"))
 
 
-@register("transfbp", "deep", (), notes="on features that some frozen network has made")
-class BayesianRidge(_Features):
-    """On features that some frozen network has made."""
+class _Standardised(_Features):
+    """Models on features that are standardised by the training rows."""
 
     def _fit(self, train):
+        self.mean, self.sd, _ = P.column_stats(train, "features", "label")
+        self._fit_scaled(self._scaled(train))
+
+    def _scaled(self, rows: DataFrame) -> DataFrame:
+        scale = F.arrays_zip(F.array(*[F.lit(float(m)) for m in self.mean]), F.array(*[F.lit(float(s)) for s in self.sd]))
+        return rows.withColumn("features", F.zip_with("features", scale, lambda x, s: (x.cast("double") - s["0"]) / s["1"]))
+
+
+@register("transfbp", "deep", (), notes="on features that some frozen network has made")
+class BayesianRidge(_Standardised):
+    """Ridge whose penalty follows from the evidence."""
+
+    def _fit_scaled(self, train):
         self.model = P.bayesian_ridge_fit(train, "features", "label", self.width)
 
     def _predict(self, rows):
-        return rows.select("item", P.linear("features", *self.model).alias("score"))
+        return self._scaled(rows).select("item", P.linear("features", *self.model).alias("score"))
+
+
+@register("gan2014", "deep", (), notes="support-vector regression on features that some frozen network has made")
+class DeepSupportVectors(_Standardised):
+    """Support-vector regression with cost 10 and band 0.1."""
+
+    def _fit_scaled(self, train):
+        self.model = K.support_vector_regression(train, gamma=1 / self.width, c=10.0, epsilon=0.1)
+
+    def _predict(self, rows):
+        return self._scaled(rows).select("item", self.model.column()("features").alias("score"))
+
+
+_LINEAR = "a linear head on features that some frozen network has made"
+
+
+class _Head(_Features):
+    """A linear head with its loss, as long and in such batches as the method's schedule says.
+
+    Where rows bring ``features_flipped``, a second view, the score is the mean of both.
+    """
+
+    name, loss, patience = "", H.Loss(), 5
+
+    def __init__(self, epochs: int | None = None):
+        self.epochs = epochs
+
+    def fit(self, train, val, spec):
+        self.bins = np.arange(spec.n_bins) + float(spec.score_range[0])
+        self.ends, setup = spec.score_range, schedule(self.name)
+        if "features" not in train.columns:
+            raise ValueError("needs an array column features, which some network has made")
+        rates = P.relative_rates(train.sparkSession, self.name)
+        self.head = H.fit_head(
+            train, val, self.loss, self.bins, histogram=spec.histogram, batch=setup["batch"], epochs=self.epochs or setup["epochs"],
+            patience=self.patience, decay=setup["decay"], rates=rates, seed=self.seed,
+        )
+
+    def _score(self, o: str) -> Column:
+        return expectation(self._shares(o), self.bins[0])
+
+    def _shares(self, o: str) -> Column | None:
+        at = range(self.head.weights.shape[1])[self.loss.distribution]
+        return softmax(F.slice(o, at.start + 1, len(at))) if len(at) else None
+
+    def predict(self, rows):
+        of = H.outputs(self.head)
+        views = [v for v in ("features", "features_flipped") if v in rows.columns]
+        found = rows.select("item", *[of(v).alias(f"o{i}") for i, v in enumerate(views)])
+        score = sum((self._score(f"o{i}") for i in range(1, len(views))), self._score("o0")) / len(views)
+        out = [F.col("item"), clip(score, *self.ends).alias("score")]
+        if self._shares("o0") is not None:
+            out.append(self._shares("o0").alias("distribution"))
+        return found.select(*out, *self._more())
+
+    def _more(self) -> list[Column]:
+        return []
+
+
+@register("ldl-ren2017", "deep", ("distributions",), paper="https://www.ijcai.org/proceedings/2017/369", reference="Ren and Geng 2017, IJCAI", trainable=True, notes=_LINEAR)
+class LabelDistribution(_Head):
+    name, loss = "ldl-ren2017", H.Distribution()
+
+
+@register("comboloss", "deep", (), paper="https://arxiv.org/abs/2010.10721", reference="Xu and Xiang 2020", trainable=True, notes=_LINEAR)
+class CombinedLoss(_Head):
+    name, loss = "comboloss", H.Combined()
+
+    def _score(self, o):
+        return F.get(o, F.lit(0))
+
+
+@register("r3cnn", "deep", (), paper="https://doi.org/10.1109/TAFFC.2019.2933523", reference="Lin, Liang and Jin 2019", trainable=True, notes=_LINEAR)
+class RankedRegression(_Head):
+    name, loss = "r3cnn", H.Absolute(ranked=0.5)
+
+    def _score(self, o):
+        return F.get(o, F.lit(0))
+
+
+@register("uol", "deep", (), paper="https://arxiv.org/abs/2409.00603", reference="Liang et al. 2024", trainable=True, notes=_LINEAR)
+class UncertainOrder(_Head):
+    """Its predictions also have ``uncertainty``, the standard deviation that it gives a score."""
+
+    name, loss = "uol", H.Uncertain()
+
+    def _more(self):
+        return [F.exp(F.element_at("o0", -1) / 2).alias("uncertainty")]
+
+
+@register("rw-ldl", "deep", ("distributions",), trainable=True, notes=_LINEAR)
+class ReliabilityWeighted(_Head):
+    name, loss = "rw-ldl", H.Reliable()
+
+
+@register("rw-ldl-noweight", "deep", ("distributions",), trainable=True, notes=_LINEAR + "; every item weighs the same")
+class ReliabilityUnweighted(_Head):
+    name, loss = "rw-ldl-noweight", H.Reliable(weighted=False)
+
+
+@register("rw-ldl-kl", "deep", ("distributions",), trainable=True, notes=_LINEAR + "; KL in place of the likelihood")
+class ReliabilityDivergence(_Head):
+    name, loss = "rw-ldl-kl", H.Reliable(likelihood=False)
+
+
+@register("dinov2-linear", "foundation", (), paper="https://arxiv.org/abs/2304.07193", reference="Oquab et al. 2024", trainable=True, notes=_LINEAR)
+class AbsoluteHead(_Head):
+    name, loss = "dinov2-linear", H.Absolute()
+
+    def _score(self, o):
+        return F.get(o, F.lit(0))
 
 
 @register("rater-dinov2", "foundation", ("ratings",), notes="rater effects and ridge on features that some frozen network has made")
@@ -235,44 +376,61 @@ def evaluate(scored: DataFrame) -> dict[str, float | int]:
         raise ValueError("nothing to score")
     if bad:
         raise ValueError(f"{bad} predictions are not finite")
-    ranked = average_rank(average_rank(scored, "p", "rp"), "y", "ry")
+    ranked = average_ranks(scored, {"p": "rp", "y": "ry"})
     out = [pearson("p", "y").alias("PC"), pearson("rp", "ry").alias("SROCC"), mae("p", "y").alias("MAE"), rmse("p", "y").alias("RMSE"), F.count("*").alias("n")]
     if {"actual", "predicted"} <= set(scored.columns):
         out += [F.avg(v).alias(k) for k, v in distribution_measures("predicted", "actual").items()]
     return ranked.agg(*out).first().asDict()
 
 
-def run(name: str, roles: DataFrame, spec: ItemSpec) -> dict:
-    """Fit and score one method on rows with a ``role``; the leak check stays outside the timed part."""
+def run(name: str, roles: DataFrame, spec: ItemSpec, *, seed: int = 0, options: dict | None = None, keep: Callable | None = None) -> dict:
+    """Fit and score one method on rows with a ``role``; the leak check stays outside the timed part.
+
+    ``seed`` decides what a method draws and how the check deals the labels anew;
+    ``keep(method, predictions)`` may store either before they are let go.
+    """
     entry = get(name)
     check_capabilities(roles, entry.requires, spec)
     part = {r: roles.where(F.col("role") == r).drop("role") for r in ("train", "val", "test")}
-    method, began = entry.factory(), time.time()
+    method, began = entry.factory(**(options or {})), time.time()
+    method.seed = seed
     method.fit(part["train"], part["val"], spec)
     found = method.predict(part["test"].drop("label")).persist()
     predicted = found.count()
     seconds = time.time() - began
-    dealt = permuted_labels(part["test"].select("item", "label"), name).select("item", F.col("shuffled").alias("label"))
+    dealt = permuted_labels(part["test"].select("item", "label"), f"{name}|{seed}").select("item", F.col("shuffled").alias("label"))
     shuffled = part["test"].drop("label").join(dealt, "item")
     if not leak_check(lambda rows: method.predict(rows), part["test"], shuffled):
         raise ValueError(f"{name} reads the test labels")
-    scored = part["test"].select("item", F.col("label").alias("y")).join(found.select("item", F.col("score").alias("p")), "item")
+    test, given = [F.col("item"), F.col("label").alias("y")], [F.col("item"), F.col("score").alias("p")]
+    if spec.histogram in part["test"].columns and "distribution" in found.columns:
+        # items without ratings have no distribution to be compared with
+        rated = F.exists(spec.histogram, lambda x: x > 0)
+        test.append(F.when(rated, normalised(F.transform(spec.histogram, lambda x: x.cast("double")))).alias("actual"))
+        given.append(F.col("distribution").alias("predicted"))
+    scored = part["test"].select(*test).join(found.select(*given), "item")
     sizes = {r["role"]: r["n"] for r in split_sizes(roles).collect()}
     try:
         metrics = evaluate(scored)
         if not predicted == metrics["n"] == sizes.get("test"):
             raise ValueError(f"{name} gives {predicted} predictions for {sizes.get('test')} items")
+        if keep:
+            keep(method, found)
     finally:
         found.unpersist()
     return {"method": name, "era": entry.era, "metrics": metrics, "seconds": round(seconds, 1), "sizes": sizes}
 
 
-def sweep(names: list[str], roles: DataFrame, spec: ItemSpec) -> tuple[list[dict], dict[str, str]]:
-    """Results, and what went wrong with the methods that failed; one failure does not stop the rest."""
+def sweep(names: list[str], roles: DataFrame, spec: ItemSpec, **more) -> tuple[list[dict], dict[str, str]]:
+    """Results, and what went wrong with the methods that failed; one failure does not stop the rest.
+
+    ``options`` has those of some methods by name; ``keep`` is called with the name first.
+    """
     done, failed = [], {}
     for name in names:
         try:
-            done.append(run(name, roles, spec))
+            own = {**more, "options": (more.get("options") or {}).get(name), "keep": partial(more["keep"], name) if more.get("keep") else None}
+            done.append(run(name, roles, spec, **own))
         except Exception as e:  # noqa: BLE001
             failed[name] = f"{type(e).__name__}: {e}"
     return done, failed

@@ -4,9 +4,10 @@ from __future__ import annotations
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
-from plumbline.functions.stats import clip, range_part, row_index
+from plumbline.functions.stats import clip, row_index
 
 
 def group_mean(roles: DataFrame, group: str) -> DataFrame:
@@ -143,46 +144,109 @@ def _matrix(column: pa.Array) -> np.ndarray:
     return flat.reshape(len(column), -1)
 
 
-def _side_blocks(train: DataFrame, rows: int):
-    """The training side in blocks of so many rows: items, labels and features as arrays."""
-    block: list = []
-    for r in train.select(F.col("item").cast("long"), F.col("label").cast("double"), F.col("features").cast("array<double>")).toLocalIterator():
-        block.append(r)
-        if len(block) == rows:
-            yield np.array([r[0] for r in block]), np.array([r[1] for r in block]), np.array([r[2] for r in block], float)
-            block = []
-    if block:
-        yield np.array([r[0] for r in block]), np.array([r[1] for r in block]), np.array([r[2] for r in block], float)
+#: Rows of a cell on average, and the most cells; rows of either side that meet in one task.
+CELL_ROWS, MOST_CELLS, BLOCK_ROWS = 500, 256, 8_192
 
 
-def knn_regression(train: DataFrame, test: DataFrame, k: int, *, block_rows: int = 100_000) -> DataFrame:
-    """item, p: the 1/distance-weighted mean label of the k nearest; exact matches alone count if any.
+def _nearest_cell(pivots: np.ndarray):
+    """The nearest pivot of a feature column's rows, and the distance."""
 
-    The training side is the model. It travels in blocks of ``block_rows``; a task
-    compares its rows with a block and keeps the k nearest of each, ties by item.
-    What several blocks leave, k rows each, meets by item. No pair is ever a row.
+    @F.pandas_udf("cell int, d double")
+    def assign(features):
+        import pandas as pd
+
+        x = np.array(features.tolist(), float).reshape(len(features), pivots.shape[1])
+        d = _distances(x, pivots)
+        cell = d.argmin(1) if len(x) else np.empty(0, int)
+        return pd.DataFrame({"cell": cell.astype("int32"), "d": d[np.arange(len(x)), cell]})
+
+    return assign
+
+
+def _distances(a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    """Of every row of a to every row of b, from differences: equal rows are at 0 exactly."""
+    out = np.empty((len(a), len(b)))
+    step = max(1, (1 << 22) // max(1, b.size))
+    for i in range(0, len(a), step):
+        d = a[i : i + step, None, :] - b[None]
+        out[i : i + step] = np.sqrt(np.einsum("ijk,ijk->ij", d, d))
+    return out
+
+
+def _open_cells(pivots: np.ndarray, sizes: np.ndarray, radii: np.ndarray, k: int):
+    """The cells that may hold one of the k nearest of a row: no other comes nearer than k rows surely do."""
+
+    @F.pandas_udf("array<int>")
+    def choose(features):
+        import pandas as pd
+
+        x = np.array(features.tolist(), float).reshape(len(features), pivots.shape[1])
+        d, found = _distances(x, pivots), []
+        for row in d:
+            far = row + radii
+            order = np.argsort(far)
+            enough = np.flatnonzero(np.cumsum(sizes[order]) >= k)
+            reach = far[order[enough[0]]] if len(enough) else np.inf
+            found.append(np.flatnonzero((sizes > 0) & (row - radii <= reach + 1e-6 * (1 + row.max()))).astype("int32"))
+        return pd.Series(found, dtype=object)
+
+    return choose
+
+
+def nearest(train: DataFrame, queries: DataFrame, k: int, *, cells: int | None = None, block_rows: int = BLOCK_ROWS) -> DataFrame:
+    """item, t, label, d, r: the k nearest training rows t of every query row, exactly, by distance (to 9 places), then by t.
+
+    Some training rows, by the order of a hash, are pivots; a training row belongs to
+    the cell of its nearest one. How far a cell's rows are from its pivot bounds the
+    distance of a query to any of them from both sides, so a query visits only cells
+    that may hold a neighbour. Cells and their visitors are dealt out in blocks of
+    about ``block_rows`` rows; both sides meet by key, and what reaches the driver are
+    the pivots, and a count and a radius of each. Each meeting leaves k rows of a query.
     """
-    spark, queries, near = train.sparkSession, test.select(F.col("item").cast("long").alias("item"), "features"), None
-    for block in _side_blocks(train, block_rows):
-        shipped = spark.sparkContext.broadcast(block)
-
-        def closest(batches, shipped=shipped):
-            names, labels, side = shipped.value
-            for batch in batches:
-                found = []
-                for item, q in zip(batch.column(0).to_pylist(), _matrix(batch.column(1)) if batch.num_rows else ()):
-                    d = np.round(np.sqrt(((side - q) ** 2).sum(1)), 9)
-                    at = np.flatnonzero(d <= np.partition(d, k - 1)[k - 1]) if len(d) > k else np.arange(len(d))
-                    at = at[np.lexsort((names[at], d[at]))[:k]]
-                    found += [(item, int(names[i]), float(labels[i]), float(d[i])) for i in at]
-                columns = list(zip(*found)) or [()] * 4
-                yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, (pa.int64(), pa.int64(), pa.float64(), pa.float64()))], names=["item", "t", "label", "d"])
-
-        part = queries.mapInArrow(closest, "item long, t long, label double, d double")
-        near = part if near is None else near.unionByName(part)
-    if near is None:
+    side = train.select(F.col("item").alias("t"), F.col("label").cast("double").alias("label"), F.transform("features", lambda v: v.cast("double")).alias("features"))
+    asked = queries.select("item", F.transform("features", lambda v: v.cast("double")).alias("features"))
+    n = side.count()
+    if not n:
         raise ValueError("no training rows")
-    near = near.withColumn("r", F.row_number().over(Window.partitionBy("item").orderBy("d", "t"))).where(F.col("r") <= k)
+    most = max(1, min(MOST_CELLS, n // CELL_ROWS)) if cells is None else cells
+    pivots = np.array([r[0] for r in side.select("features").distinct().orderBy(F.xxhash64("features"), "features").limit(most).collect()], float)
+    placed = side.withColumn("at", _nearest_cell(pivots)("features")).select("t", "label", "features", F.col("at.cell").alias("cell"), F.col("at.d").alias("d"))
+    stats = {r["cell"]: r for r in placed.groupBy("cell").agg(F.count("*").alias("n"), F.max("d").alias("radius")).collect()}
+    sizes = np.array([stats[c]["n"] if c in stats else 0 for c in range(len(pivots))])
+    radii = np.array([stats[c]["radius"] if c in stats else 0.0 for c in range(len(pivots))])
+    visits = asked.select("item", "features", F.explode(_open_cells(pivots, sizes, radii, k)("features")).alias("cell"))
+    visitors = {r["cell"]: r["count"] for r in visits.groupBy("cell").count().collect()}
+    blocks = lambda counts: F.array(*[F.lit(int(-(-counts.get(c, 0) // block_rows) or 1)) for c in range(len(pivots))])
+    own, theirs = F.get(blocks(dict(enumerate(sizes.tolist()))), F.col("cell")), F.get(blocks(visitors), F.col("cell"))
+    every = lambda count: F.explode(F.sequence(F.lit(0), count - 1))
+    left = visits.select("item", "features", "cell", F.pmod(F.xxhash64("item"), theirs).cast("int").alias("q")).select("*", every(own).alias("s"))
+    right = placed.select("t", "label", "features", "cell", F.pmod(F.xxhash64("t"), own).cast("int").alias("s")).select("*", every(theirs).alias("q"))
+    kinds = dict(asked.dtypes)["item"], dict(side.dtypes)["t"]
+
+    def meet(a: pa.Table, b: pa.Table) -> pa.Table:
+        queries, names, labels = a.column("item").combine_chunks(), b.column("t").combine_chunks(), b.column("label").to_numpy()
+        at, which, how_far = [], [], []
+        if len(queries) and len(names):
+            place = np.argsort(pc.sort_indices(names).to_numpy())  # the places of ids in their order, whatever their type
+            x, rows = (_matrix(t.column("features").combine_chunks()) for t in (a, b))
+            for first in range(0, len(x), 512):
+                for i, d in enumerate(np.round(_distances(x[first : first + 512], rows), 9), first):
+                    near = np.flatnonzero(d <= np.partition(d, k - 1)[k - 1]) if len(d) > k else np.arange(len(d))
+                    near = near[np.lexsort((place[near], d[near]))[:k]]
+                    at.append(np.full(len(near), i))
+                    which.append(near)
+                    how_far.append(d[near])
+        at, which, how_far = (np.concatenate(v) if v else np.empty(0, t) for v, t in ((at, int), (which, int), (how_far, float)))
+        return pa.table({"item": queries.take(pa.array(at)), "t": names.take(pa.array(which)), "label": pa.array(labels[which]), "d": pa.array(how_far)})
+
+    keys = ["cell", "q", "s"]
+    met = left.groupBy(*keys).cogroup(right.groupBy(*keys)).applyInArrow(meet, f"item {kinds[0]}, t {kinds[1]}, label double, d double")
+    return met.withColumn("r", F.row_number().over(Window.partitionBy("item").orderBy("d", "t"))).where(F.col("r") <= k)
+
+
+def knn_regression(train: DataFrame, test: DataFrame, k: int, **sizes) -> DataFrame:
+    """item, p: the 1/distance-weighted mean label of the k nearest; exact matches alone count if any."""
+    near = nearest(train, test, k, **sizes)
     exact = F.max(F.when(F.col("d") == 0, 1).otherwise(0))
     inverse = 1.0 / F.nullif(F.col("d"), F.lit(0.0))
     return near.groupBy("item").agg(F.when(exact == 1, F.avg(F.when(F.col("d") == 0, F.col("label")))).otherwise(F.sum(F.col("label") * inverse) / F.sum(inverse)).alias("p"))
@@ -191,8 +255,8 @@ def knn_regression(train: DataFrame, test: DataFrame, k: int, *, block_rows: int
 _CELLS = 1 << 17
 
 
-def array_sums(df: DataFrame, columns: list[str], block) -> np.ndarray | None:
-    """``block`` of every batch (matrices of array columns, vectors of others), added up; None without rows.
+def array_sums(df: DataFrame, columns: list[str], block, *, raw: bool = False) -> np.ndarray | None:
+    """``block`` of every batch (matrices of array columns, vectors of others; as they are if ``raw``), added up; None without rows.
 
     A task adds up its batches and returns its sum in pieces of ``_CELLS`` numbers;
     the pieces of all tasks meet by their place and are added where they meet.
@@ -203,7 +267,8 @@ def array_sums(df: DataFrame, columns: list[str], block) -> np.ndarray | None:
         total = None
         for batch in batches:
             if batch.num_rows:
-                got = block(*[_matrix(c) if is_array else c.to_numpy(zero_copy_only=False).astype(float) for c, is_array in zip(batch.columns, arrays)])
+                given = batch.columns if raw else [_matrix(c) if is_array else c.to_numpy(zero_copy_only=False).astype(float) for c, is_array in zip(batch.columns, arrays)]
+                got = block(*given)
                 total = got if total is None else total + got
         pieces = [] if total is None else [total.ravel()[i : i + _CELLS].tobytes() for i in range(0, total.size, _CELLS)]
         for i, piece in enumerate(pieces):
@@ -311,61 +376,6 @@ def predictor(model: tuple[np.ndarray, float], expand=None):
     return predict
 
 
-def _rbf(q: np.ndarray, x: np.ndarray, gamma: float) -> np.ndarray:
-    return np.exp(-gamma * ((q**2).sum(1)[:, None] + (x**2).sum(1)[None] - 2 * q @ x.T))
-
-
-def _nystroem(train: DataFrame, gamma: float, alpha: float, basis: int):
-    """Basis rows, weights and mean label: all rows fit a kernel that ``basis`` rows, by hash, span."""
-    chosen = train.orderBy(F.xxhash64("features", "label")).limit(basis).toPandas()
-    x = np.array(chosen["features"].tolist(), float)
-    mean = float(train.agg(F.avg("label")).first()[0])
-
-    def sums(batches):
-        total = np.zeros((len(x), len(x) + 1))
-        for b in batches:
-            q = np.array(b.column(0).to_pylist(), float).reshape(-1, x.shape[1])
-            if not len(q):
-                continue
-            k = _rbf(q, x, gamma)
-            total += k.T @ np.column_stack([k, np.array(b.column(1).to_pylist(), float) - mean])
-        yield pa.RecordBatch.from_arrays([pa.array(np.arange(total.size)), pa.array(total.ravel())], names=["cell", "v"])
-
-    cells = train.select("features", "label").mapInArrow(sums, "cell long, v double").groupBy("cell").agg(F.sum("v").alias("v")).toPandas()
-    total = np.zeros(len(x) * (len(x) + 1))
-    total[cells["cell"].to_numpy()] = cells["v"].to_numpy()
-    total = total.reshape(len(x), -1)
-    own = _rbf(x, x, gamma)
-    weights = np.linalg.lstsq(total[:, :-1] + alpha * own + 1e-9 * np.eye(len(x)), total[:, -1], rcond=None)[0]
-    return x, weights, mean
-
-
-def kernel_ridge(train: DataFrame, *, gamma: float, alpha: float, most: int = 4_000, basis: int = 500):
-    """RBF kernel ridge, in place of the support-vector regression that Spark lacks.
-
-    Exact up to ``most`` training rows. Beyond them all rows are fitted through a
-    Nystroem basis of ``basis`` rows, whose Gram sums one aggregation adds up.
-    """
-    rows = train.select("features", "label").limit(most + 1).toPandas()
-    if len(rows) > most:
-        x, weights, mean = _nystroem(train, gamma, alpha, basis)
-    else:
-        x, y = np.array(rows["features"].tolist(), float), rows["label"].to_numpy(float)
-        mean = y.mean()
-        distance = ((x[:, None] - x[None]) ** 2).sum(2) if len(x) <= 500 else (x**2).sum(1)[:, None] + (x**2).sum(1)[None] - 2 * x @ x.T
-        weights = np.linalg.solve(np.exp(-gamma * distance) + alpha * np.eye(len(x)), y - mean)
-
-    @F.pandas_udf("double")
-    def predict(features):
-        import pandas as pd
-
-        q = np.array(features.tolist(), float).reshape(len(features), -1)
-        d = (q**2).sum(1)[:, None] + (x**2).sum(1)[None] - 2 * q @ x.T
-        return pd.Series(np.exp(-gamma * d) @ weights + mean)
-
-    return predict
-
-
 def ensemble_ranks(predictions: DataFrame, members: list[str], train_labels: DataFrame) -> DataFrame:
     """item, mean_rank, p: mean ordinal rank of the members, turned into a training-label quantile.
 
@@ -375,10 +385,10 @@ def ensemble_ranks(predictions: DataFrame, members: list[str], train_labels: Dat
     if missing := sorted(set(members) - have):
         raise ValueError(f"missing members: {', '.join(missing)}")
     own = predictions.where(F.col("member").isin(members))
-    ranked = row_index(own, range_part(own, "score"), ["score", "item"], "r", ("member",))
+    ranked = row_index(own, ["score", "item"], "r", ("member",))
     mean = ranked.groupBy("item").agg(F.avg("r").alias("mean_rank"))
-    placed = row_index(mean, range_part(mean, "mean_rank"), ["mean_rank", "item"], "at")
-    labels = row_index(train_labels.select("label"), range_part(train_labels, "label"), ["label"], "i")
+    placed = row_index(mean, ["mean_rank", "item"], "at")
+    labels = row_index(train_labels.select("label"), ["label"], "i")
     sizes = mean.agg(F.count("*").alias("m")).join(F.broadcast(train_labels.agg(F.count("*").alias("n"))))
     at = (F.col("at") + 0.5) / F.col("m") * (F.col("n") - 1)
     placed = placed.join(F.broadcast(sizes)).select("item", "mean_rank", F.floor(at).alias("lo"), (at - F.floor(at)).alias("part"), F.least(F.floor(at) + 1, F.col("n") - 1).alias("hi"))
@@ -391,6 +401,15 @@ def flip_mean(views: DataFrame) -> DataFrame:
     return views.groupBy("item").agg(F.avg("score").alias("score"))
 
 
+def relative_rates(spark, method: str) -> list[float]:
+    """A method's learning rate in each epoch over that of its first; its greatest where it warms up."""
+    from plumbline.plans.catalogue import schedule, setups
+
+    schedule(method)
+    rates = [r["lr"] for r in learning_rates(setups(spark).where(F.col("method") == method)).orderBy("epoch").collect()]  # an epoch each
+    return [r / max(rates) for r in rates]
+
+
 def learning_rates(setups: DataFrame) -> DataFrame:
     """method, epoch, lr over each setup's epochs: cosine, step, warm-up cosine, warm-up linear."""
     each = setups.where("schedule is not null").select("*", F.explode(F.sequence(F.lit(0), F.col("epochs") - 1)).alias("epoch"))

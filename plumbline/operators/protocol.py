@@ -2,9 +2,11 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window, functions as F
+from functools import reduce
 
-from plumbline.functions.stats import not_finite, range_part, row_index
+from pyspark.sql import DataFrame, Window, functions as F
+
+from plumbline.functions.stats import not_finite, row_index
 from plumbline.sources.spec import ItemSpec
 
 
@@ -39,7 +41,8 @@ def histogram(ratings: DataFrame, spec: ItemSpec) -> DataFrame:
 
 
 def build_items(table: DataFrame, spec: ItemSpec) -> DataFrame:
-    """item, label, carried metadata that exists; a missing or non-finite label is an error."""
+    """item, label, carried metadata that exists; a missing or non-finite label is an error, a missing id is made."""
+    table = identified(table, "item", spec.item)
     if spec.label not in table.columns:
         raise ValueError(f"no column {spec.label!r}; available: {', '.join(sorted(table.columns))}")
     if bad := table.where(not_finite(spec.label)).count():
@@ -49,6 +52,32 @@ def build_items(table: DataFrame, spec: ItemSpec) -> DataFrame:
     return table.select(F.col(spec.item).alias("item"), F.col(spec.label).cast("double").alias("label"), *optional, *carried)
 
 
+#: Files up to which their offsets are a broadcast, some 200 bytes each.
+FILES_AT_HAND = 100_000
+
+
+def identified(table: DataFrame, prefix: str, column: str = "item") -> DataFrame:
+    """A table of files with an id for each row, ``prefix_0`` and on: by the files' names, then by the place in the file.
+
+    Places are the reader's own, so a row has the same id on every read, however the
+    files are split, and no row is shuffled: only the files' counts are added up. A
+    table that has the column keeps it.
+    """
+    if column in table.columns:
+        return table
+    files = table.inputFiles()
+    if not files:
+        raise ValueError(f"no column {column!r}, and the table is not read from files whose order could give ids")
+    placed = table.select("*", F.col("_metadata.file_path").alias("__file"), F.col("_metadata.row_index").alias("__at"))
+    counts = placed.groupBy("__file").agg(F.count("*").alias("__n"))
+    # one row for each file
+    before = Window.orderBy("__file").rowsBetween(Window.unboundedPreceding, -1)
+    starts = counts.select("__file", F.coalesce(F.sum("__n").over(before), F.lit(0)).alias("__start"))
+    starts = F.broadcast(starts) if len(files) <= FILES_AT_HAND else starts
+    ids = F.concat(F.lit(prefix + "_"), (F.col("__start") + F.col("__at")).cast("string"))
+    return placed.join(starts, "__file").withColumn(column, ids).drop("__file", "__at", "__start")
+
+
 def check_capabilities(items: DataFrame, required: tuple[str, ...], spec: ItemSpec) -> None:
     """Refuse, with the missing column's name, what the data cannot support."""
     of = {"distributions": spec.histogram, "ratings": spec.ratings, "landmarks": spec.landmarks}
@@ -91,9 +120,16 @@ def cv_roles(items: DataFrame, n: int | None = None, fold: str = "fold") -> Data
     return items.select("*", k).withColumn("role", role)
 
 
-def with_landmarks(items: DataFrame, landmarks: DataFrame, column: str = "landmarks") -> DataFrame:
-    """Items with their landmarks, pooled from wherever there are any; null for items that have none."""
-    one = landmarks.where(F.col(column).isNotNull()).groupBy("item").agg(F.max(F.struct(column))[column].alias(column))
+def with_landmarks(items: DataFrame, landmarks: list[DataFrame], column: str = "landmarks") -> DataFrame:
+    """Items with their landmarks, pooled from several tables of (item, landmarks); null for items that have none.
+
+    Of tables that both have an item the later one's landmarks stay; where one table
+    has an item twice, the greater ones do, so that they do not depend on the order
+    of its rows.
+    """
+    parts = [t.where(F.col(column).isNotNull()).select("item", F.lit(i).alias("__order"), column) for i, t in enumerate(landmarks)]
+    pooled = reduce(DataFrame.unionByName, parts)
+    one = pooled.groupBy("item").agg(F.max(F.struct("__order", column))[column].alias(column))
     return items.drop(column).join(one, "item", "left")
 
 
@@ -116,8 +152,8 @@ def broken_groups(roles: DataFrame, group: str) -> DataFrame:
 def permuted_labels(items: DataFrame, seed: str) -> DataFrame:
     """item, label, shuffled: labels dealt to other items by the order of a seeded hash."""
     h = F.md5(F.concat(F.lit(seed + "|"), F.col("item").cast("string")))
-    by_item = row_index(items.select("item", "label"), range_part(items, "item"), ["item"], "at")
-    by_hash = row_index(items.select("item", F.col("label").alias("shuffled"), h.alias("h")), F.substring("h", 1, 2), ["h", "item"], "at")
+    by_item = row_index(items.select("item", "label"), ["item"], "at")
+    by_hash = row_index(items.select("item", F.col("label").alias("shuffled"), h.alias("h")), ["h", "item"], "at")
     return by_item.join(by_hash.select("shuffled", "at"), "at").select("item", "label", "shuffled")
 
 

@@ -4,7 +4,11 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
+from plumbline.functions.stats import lower_is_better, row_index
+from plumbline.operators import inference as I
+
 POINT = ("PC", "SROCC", "MAE", "RMSE")
+DISTRIBUTION = ("Chebyshev", "Clark", "Canberra", "KL", "Cosine", "Intersection")
 
 
 def leaderboard(runs: DataFrame, eras: DataFrame) -> DataFrame:
@@ -122,3 +126,63 @@ def update_file(path: str, start: str, end: str, body: str) -> bool:
 
 def is_stale(text: str, body: str) -> bool:
     return body not in text
+
+
+def stale_files(texts: dict[str, str]) -> list[str]:
+    """The files that do not hold their text, or are not there."""
+    stale = []
+    for path, body in texts.items():
+        try:
+            with open(path, encoding="utf-8") as f:
+                if is_stale(f.read(), body):
+                    stale.append(path)
+        except FileNotFoundError:
+            stale.append(path)
+    return stale
+
+
+def best_by_metric(runs: DataFrame) -> DataFrame:
+    """metric, lower_is_better, method, value: the best run by each metric's own direction; ties by name."""
+    known = [m for m in (*POINT, *DISTRIBUTION) if m in runs.columns]
+    each = F.explode(F.array(*[F.struct(F.lit(m).alias("metric"), F.lit(lower_is_better(m)).alias("lower_is_better"), F.col(m).alias("value")) for m in known])).alias("x")
+    long = runs.select("method", each).select("method", "x.*").where("value is not null")
+    key = F.struct(F.when(F.col("lower_is_better"), F.col("value")).otherwise(-F.col("value")).alias("k"), "method", "value")
+    return long.groupBy("metric", "lower_is_better").agg(F.min(key).alias("m")).select("metric", "lower_is_better", "m.method", "m.value")
+
+
+def subgroups_text(scored: DataFrame, by: list[str], *, resamples: int, seed: int) -> str:
+    """Each grouping's table with intervals, and the gap between its best and worst group; ``scored`` has item, label, score."""
+    rows = scored.select("item", F.col("label").alias("y"), F.col("score").alias("p"), *by).persist()
+    parts = [f"## Out of fold, {rows.count()} items"]
+    try:
+        for column in by:
+            named = rows.where(F.col(column).isNotNull())
+            table = I.subgroup_table(named, column, resamples=resamples, seed=f"{seed}|{column}").orderBy("place")
+            cells = [F.col("group"), F.col("n")] + [x for m in ("PC", "MAE") for x in (shown(m).alias(m), F.concat_ws(" to ", shown(f"{m}_lo"), shown(f"{m}_hi")).alias(f"{m} interval"))] + [shown("RMSE").alias("RMSE")]
+            shown_rows = [r.asDict() for r in table.select(*cells).collect()]  # a row for each group
+            parts += [f"### {column}", markdown(shown_rows, list(shown_rows[0]))]
+            ends = {r["metric"]: r for r in I.extremes(I.subgroup_metrics(named, column)).collect()}  # three rows
+            numbered = row_index(named.select(F.col(column).alias("group"), "item", "y", "p"), ["item"], "at", ("group",))
+            drawn = I.group_resamples(numbered.select("group", "at", "y", "p"), resamples=resamples, seed=f"{seed}|gap|{column}")
+            for metric in ("PC", "MAE"):
+                best, worst = ends[metric]["best"], ends[metric]["worst"]
+                if best == worst:
+                    continue
+                two = {r["group"]: r[metric] for r in I.subgroup_metrics(named.where(F.col(column).isin(best, worst)), column).collect()}
+                gap = I.subgroup_gap(drawn.where(F.col("group").isin(best, worst)), best, worst, metric).first()
+                verdict = "excludes zero" if gap["excludes_zero"] else "includes zero"
+                parts.append(f"- largest gap of {metric}: {best} less {worst} is {two[best] - two[worst]:+.4f}, interval {gap['lo']:+.4f} to {gap['hi']:+.4f}, which {verdict}")
+    finally:
+        rows.unpersist()
+    return "\n\n".join(parts)
+
+
+def small_groups_text(scored: DataFrame, by: list[str], least: int = 3) -> str:
+    """Point metrics of the groups of a held-out split that have so many items at least, and of all."""
+    rows = scored.select("item", F.col("label").alias("y"), F.col("score").alias("p"), *by)
+    cells = ["group", "n", *[shown(m).alias(m) for m in ("PC", "MAE", "RMSE")]]
+    parts = [f"## Held out, {rows.count()} items"]
+    for column in by:
+        table = I.subgroup_metrics(rows, column, least=least).where("group is not null").orderBy("group").unionByName(I.subgroup_metrics(rows.withColumn("__all", F.lit("all")), "__all"))
+        parts += [f"### {column}", markdown([r.asDict() for r in table.select(*cells).collect()], ["group", "n", "PC", "MAE", "RMSE"])]
+    return "\n\n".join(parts)

@@ -39,6 +39,15 @@ def setups(spark: SparkSession) -> DataFrame:
     return spark.createDataFrame(METHODS, _FIELDS)
 
 
+def schedule(method: str) -> dict:
+    """The fields of a method's schedule; a method without one is an error."""
+    names = [f.split()[0] for f in _FIELDS.split(", ")]
+    for row in METHODS:
+        if row[0] == method and row[2] is not None:
+            return dict(zip(names, row))
+    raise KeyError(f"no schedule for {method!r}")
+
+
 def era_order(spark: SparkSession) -> DataFrame:
     return spark.createDataFrame([(e, i) for i, e in enumerate(ERAS)], "era string, era_order int")
 

@@ -109,7 +109,7 @@ RAW = RUNS.replace("round(", "(").replace(", 6) + 0.0", ")")
 SUMMARY = ", ".join(f'{r6(f"avg(\"{m}\")", m + "_mean")}, {r6(f"stddev_pop(\"{m}\")", m + "_sd")}' for m in ("PC", "SROCC", "MAE", "RMSE"))
 GROUPS = f"count(*) as n, {r6(pc('p', 'y'), 'PC')}, {r6('avg(abs(p - y))', 'MAE')}, {r6('sqrt(avg((p - y) * (p - y)))', 'RMSE')}"
 RATES = f"""
-rates as (select method, epoch, lr * case
+rates as (select method, batch, epoch, lr * case
   when schedule = 'cosine' then 0.5 * (1 + cos(pi() * epoch / epochs))
   when starts_with(schedule, 'step') then pow(0.1, floor(epoch / greatest(1, floor(epochs / 4))))
   when epoch < greatest(1, floor(epochs / 10)) then (epoch + 1) / greatest(1, floor(epochs / 10))
@@ -204,7 +204,12 @@ ORACLES = {
     "attributes_of_test_items": _with(BASE)
     + ", c as (select key, row_number() over (order by first) - 1 as c from (select concat_ws('/', type, brand) as key, min(item) as first from ro where k = 0 and role = 'train' group by 1)) "
     "select item, coalesce(case when c < 32 then c else 0 end, 0)::int as code from ro left join c on key = concat_ws('/', type, brand) where k = 0 and role = 'test'",
-    "fold_count": "select 5::bigint as folds",
+    "fold_count": _with(BASE, RAW) + "select max(n)::bigint as folds from (select method, count(*) as n from runs group by method)",
+    "multinomial_likelihood": _with(BASE, DIST)
+    + f"select type, {r6('sum(nll) / count(*) / avg(n)', 'likelihood')} from (select item, -sum(c * ln(p + 1e-12)) as nll from d group by item) join i using (item) group by type",
+    "best_by_metric": _with(BASE, RUNS)
+    + """, l as (select method, unnest(['PC', 'SROCC', 'MAE', 'RMSE']) as metric, unnest([false, false, true, true]) as lower_is_better, unnest([round("PC", 6), round("SROCC", 6), round("MAE", 6), round("RMSE", 6)]) as value from runs where k = 0)
+ select metric, lower_is_better, method, value from l qualify row_number() over (partition by metric order by case when lower_is_better then value else -value end, method) = 1""",
     "ridge_prediction": _with(LONG, RIDGE).replace("with ", "with recursive ", 1) + f"select item, {r6('any_value(centre) + sum(zv * coefficient)', 'p')} from z join b using (feature), mid where not train group by item",
     "fold_summary": _with(BASE, RAW) + f"select method, count(*) as folds, {SUMMARY} from runs group by method",
     "leaderboard_ranked": _with(BASE, RUNS)
@@ -214,11 +219,22 @@ ORACLES = {
     "equal_width_histogram": _with(BASE)
     + ", v as (select round(label, 9) as x from i), e as (select min(x) as lo, max(x) as hi from v) select least(floor((x - lo) / ((hi - lo) / 40)), 39)::int as bin, count(*) as n from v, e group by 1",
     "value_counts": _with(BASE) + "select type, count(*) as n, min(n) as least, max(n) as most from i group by type",
-    "method_catalogue": f"select method, era, (list_position({list(ERAS)!r}, era) - 1)::int as era_order, schedule is not null as trainable from {values_sql()}",
-    "setup_table": f"select method, era, source, optimiser, lr::double as lr, decay::double as decay, batch, epochs, backbone, schedule from {values_sql()} where source is not null",
-    "lr_schedules": _with(RATES) + "select method, epoch::int as epoch, round(lr, 9)::double + 0.0 as lr from rates",
-    "early_stopping": _with(RATES) + "select method as run, 7 as best_epoch, 1.0::double as best, 12 as stopped_at from rates group by method",
-    "ensemble_rank_average": _with(BASE)
+    "method_catalogue": _with(BASE, RUNS)
+    + f"select m.method, m.era, (list_position({list(ERAS)!r}, m.era) - 1)::int as era_order, schedule is not null as trainable, \"PC\" from {values_sql()} left join (select method, \"PC\" from runs where k = 0) using (method)",
+    "setup_table": _with(BASE)
+    + f"select method, era, source, optimiser, lr::double as lr, decay::double as decay, batch, epochs, backbone, schedule, ceil((select count(*) from ro where k = 0 and role = 'train') / batch)::int as steps from {values_sql()} where source is not null",
+    "lr_schedules": _with(BASE, RATES)
+    + "select method, epoch::int as epoch, round(lr, 9)::double + 0.0 as lr, (epoch * ceil((select count(*) from ro where k = 0 and role = 'train') / batch))::int as first_step from rates",
+    "early_stopping": """
+with recursive l as (select run, epoch, val, row_number() over (partition by run order by epoch) as i from
+  (select o_orderpriority as run, (year(o_orderdate) - 1992) * 12 + month(o_orderdate) - 1 as epoch, round(avg(o_totalprice), 2) as val from orders group by 1, 2)),
+s as (select run, 0::bigint as i, 'infinity'::double as best, -1::bigint as best_epoch, 0 as bad, -1::bigint as stop from l group by run
+  union all
+  select s.run, l.i, case when stop < 0 and val < best - 1e-4 then val else best end, case when stop < 0 and val < best - 1e-4 then epoch else best_epoch end,
+    case when val < best - 1e-4 then 0 else bad + 1 end, case when stop >= 0 then stop when val >= best - 1e-4 and bad + 1 >= 5 then epoch else -1 end
+  from s join l on l.run = s.run and l.i = s.i + 1)
+select run, best_epoch::int as best_epoch, round(best, 6) as best, stop::int as stopped_at from s qualify row_number() over (partition by run order by i desc) = 1
+""",    "ensemble_rank_average": _with(BASE)
     + f""", e as (select item, round(p, 6) as v, 'a' as m from s union all select item, round(p, 6), 'b' from st),
  k as (select item, avg(rr) as mean_rank from (select item, row_number() over (partition by m order by v, item) - 1 as rr from e) group by item),
  n as (select *, (row_number() over (order by mean_rank, item) - 0.5) / count(*) over () * ((select count(*) from i) - 1) as pos from k),
@@ -229,7 +245,8 @@ ORACLES = {
     "symmetry_features": _with(faces(19))
     + f", mid as (select vec_id, avg(x) as m from np where i in (27, 28, 29, 30) group by vec_id), pr as (select unnest([0, 4, 19, 1, 2, 3, 31]) as i, unnest([16, 12, 24, 15, 14, 13, 25]) as j, unnest(range(7)) as pair) select a.vec_id, pair::int as pair, {r6('abs(abs(a.x - m) - abs(b.x - m))', 'asymmetry')} from pr join np a on a.i = pr.i join np b on b.i = pr.j and a.vec_id = b.vec_id join mid on mid.vec_id = a.vec_id",
     "proportion_features": _with(faces(19))
-    + f"select a.vec_id, (a.pair * 12 + b.pair // 14)::int as ratio, {r6('ln(a.distance / (b.distance + 1e-8) + 1e-8)', 'log_value')} from pd a join pd b using (vec_id) where b.pair % 14 = 0 and b.pair // 14 < 12",
+    + ", t as (select a.vec_id, b.pair // 14 as reference, a.pair as pair, ln(a.distance / (b.distance + 1e-8) + 1e-8) as v from pd a join pd b using (vec_id) where b.pair % 14 = 0 and b.pair // 14 < 12) "
+    f"select vec_id, reference::int as reference, count(*) as n, {r6('min(v)', 'least')}, {r6('max(v)', 'greatest')}, {r6('avg(v)', 'mean')}, {r6('sum(v * (pair + 1))', 'by_place')} from t group by vec_id, reference",
     "standardised_features": _with(LONG) + f"select item, feature::int as feature, {r6('(value - mean) / sd', 'z')} from l join sc using (feature) where not train",
     "univariate_selection": _with(LONG)
     + f", c as (select feature, round({pc('value', 'label')}, 9) as r from l where train group by feature) select feature::int as feature, {r6('r', 'r')}, (row_number() over (order by abs(r) desc, feature))::int as rank from c order by rank limit 20",

@@ -12,6 +12,8 @@ from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from plumbline.functions import stats as S
 from plumbline.operators import inference as I
+from plumbline.operators import kernels as K
+from plumbline.operators import methods as M
 from plumbline.operators import predictors as P
 from plumbline.operators import protocol as R
 from plumbline.operators import report as T
@@ -106,7 +108,7 @@ def union_of_folds(spark, sf):
 
 
 def _points(df: DataFrame, *by: str) -> DataFrame:
-    ranked = S.average_rank(S.average_rank(df, "p", "rp", by), "y", "ry", by)
+    ranked = S.average_ranks(df, {"p": "rp", "y": "ry"}, by)
     return ranked.groupBy(*by).agg(F.count("*").alias("n"), S.pearson("p", "y").alias("PC"), S.pearson("rp", "ry").alias("SROCC"), S.mae("p", "y").alias("MAE"), S.rmse("p", "y").alias("RMSE"))
 
 
@@ -158,6 +160,18 @@ def expected_scores(spark, sf):
     return _six(d.select("item", S.expectation("p").alias("expected"), S.multinomial_nll("counts", "p").alias("nll")))
 
 
+def multinomial_likelihood(spark, sf):
+    """The mean over items of -sum of count * ln(share), over the mean number of ratings."""
+    d = _distributions(spark, sf).join(items(spark, sf).select("item", "n"), "item")
+    return _six(d.groupBy("type").agg((F.avg(S.multinomial_nll("counts", "p")) / F.avg("n")).alias("likelihood")))
+
+
+def best_by_metric(spark, sf):
+    """The best method of the first fold by each metric's direction."""
+    runs = _runs(spark, sf).where("k = 0")
+    return _six(T.best_by_metric(runs.select("method", *[F.round(m, 6).alias(m) for m in T.POINT])))
+
+
 def counts_from_shares(spark, sf):
     d = R.histogram(ratings(spark, sf), SPEC).join(items(spark, sf).select("item", "n"), "item").withColumn("share", S.normalised("counts"))
     return _six(d.select("item", F.posexplode(S.counts_of("share", "n")).alias("bin", "count")))
@@ -252,7 +266,7 @@ def _documents(spark, sf) -> DataFrame:
     words = F.length(F.regexp_replace("text", "[^ ]+", ""))
     marks = F.length(F.regexp_replace("text", "[^.]+", ""))
     d = d.select("doc_id", F.col("n_chars").cast("double").alias("y"), words.cast("double").alias("a"), marks.cast("double").alias("b2"), "lang")
-    return S.row_index(d, S.range_part(d, "doc_id"), ["doc_id"], "at")
+    return S.row_index(d, ["doc_id"], "at")
 
 
 def bootstrap_ci(spark, sf):
@@ -267,7 +281,7 @@ def paired_bootstrap(spark, sf):
 
 def _grouped(spark, sf) -> DataFrame:
     d = _documents(spark, sf).select(F.col("lang").alias("group"), "doc_id", "y", F.col("a").alias("p"))
-    return S.row_index(d, S.range_part(d, "doc_id"), ["doc_id"], "at", ("group",))
+    return S.row_index(d, ["doc_id"], "at", ("group",))
 
 
 def subgroup_bootstrap(spark, sf):
@@ -288,8 +302,8 @@ def _runs(spark, sf) -> DataFrame:
     r = roles(spark, sf)
     base = r.where("role = 'test'").select("k", "item", F.round("label", 9).alias("y"), "brand", "type").join(F.broadcast(P.mean_baseline(r)), "k")
     named = [("mean-baseline", "baseline", base), ("group-brand", "classical", scored(spark, sf)), ("group-type", "classical", scored(spark, sf, "type"))]
-    out = [_points(df.select("k", "y", F.round("p", 9).alias("p")), "k").select(F.lit(m).alias("method"), F.lit(e).alias("era"), "k", *T.POINT) for m, e, df in named]
-    return reduce(DataFrame.unionByName, out)
+    every = reduce(DataFrame.unionByName, [df.select(F.lit(m).alias("method"), F.lit(e).alias("era"), "k", "y", F.round("p", 9).alias("p")) for m, e, df in named])
+    return _points(every, "method", "era", "k").select("method", "era", "k", *T.POINT)
 
 
 def fold_summary(spark, sf):
@@ -315,22 +329,32 @@ def value_counts(spark, sf):
 
 
 def method_catalogue(spark, sf):
-    s = catalogue.setups(spark)
-    return s.join(F.broadcast(catalogue.era_order(spark)), "era").select("method", "era", "era_order", (F.col("schedule").isNotNull()).alias("trainable"))
+    """The catalogue, with the first fold's correlation of those methods that have run."""
+    s = catalogue.setups(spark).join(F.broadcast(catalogue.era_order(spark)), "era")
+    runs = _runs(spark, sf).where("k = 0").select("method", F.col("PC"))
+    return _six(s.join(runs, "method", "left").select("method", "era", "era_order", (F.col("schedule").isNotNull()).alias("trainable"), "PC"))
+
+
+def _steps(spark, sf, setups: DataFrame) -> DataFrame:
+    """Schedules with the steps of an epoch: batches of the training items of the first fold."""
+    train = roles(spark, sf).where("k = 0 and role = 'train'").agg(F.count("*").alias("__n"))
+    return setups.crossJoin(F.broadcast(train)).withColumn("steps", F.ceil(F.col("__n") / F.col("batch")).cast("int")).drop("__n")
 
 
 def setup_table(spark, sf):
-    return catalogue.setups(spark).where("source is not null")
+    return _steps(spark, sf, catalogue.setups(spark).where("source is not null"))
 
 
 def lr_schedules(spark, sf):
-    s = P.learning_rates(catalogue.setups(spark))
-    return s.select("method", "epoch", (F.round("lr", 9) + F.lit(0.0)).alias("lr"))
+    s = _steps(spark, sf, catalogue.setups(spark))
+    rates = P.learning_rates(s).join(s.select("method", "steps"), "method")
+    return rates.select("method", "epoch", (F.round("lr", 9) + F.lit(0.0)).alias("lr"), (F.col("epoch") * F.col("steps")).alias("first_step"))
 
 
 def early_stopping(spark, sf):
-    log = P.learning_rates(catalogue.setups(spark)).select(F.col("method").alias("run"), "epoch", F.round(1 + F.abs(F.col("epoch") - 7) / 10.0, 6).alias("val"))
-    return _six(I.running_best(log))
+    """The rule over a log that the orders make: months as epochs, the mean price of a priority as its error."""
+    o = _read(spark, sf, "orders").withColumn("epoch", (F.year("o_orderdate") - 1992) * 12 + F.month("o_orderdate") - 1)
+    return _six(I.running_best(o.groupBy(F.col("o_orderpriority").alias("run"), "epoch").agg(F.round(F.avg("o_totalprice"), 2).alias("val"))))
 
 
 def ensemble_rank_average(spark, sf):
@@ -359,8 +383,12 @@ def symmetry_features(spark, sf):
 
 def proportion_features(spark, sf):
     d = _faces(spark, sf).select("vec_id", P.pair_distances("pts", KEY_POINTS).alias("d"))
-    # ratios of near-zero distances have no six places, so they are compared on a log scale
-    return _six(d.select("vec_id", F.posexplode(F.transform(P.proportions("d", 12), lambda x: F.log(x + 1e-8))).alias("ratio", "log_value")))
+    # ratios of near-zero distances have no six places, so they are compared on a log scale; all of a reference's count
+    each = d.select("vec_id", F.posexplode(F.transform(P.proportions("d", 12), lambda x: F.log(x + 1e-8))).alias("ratio", "v"))
+    of_reference = each.groupBy("vec_id", (F.col("ratio") % 12).alias("reference")).agg(
+        F.count("*").alias("n"), F.min("v").alias("least"), F.max("v").alias("greatest"), F.avg("v").alias("mean"), F.sum(F.col("v") * (F.floor(F.col("ratio") / 12) + 1)).alias("by_place")
+    )
+    return _six(of_reference)
 
 
 def _embedded(spark, sf) -> DataFrame:
@@ -403,9 +431,34 @@ def polynomial_ridge_prediction(spark, sf):
 
 def kernel_ridge_prediction(spark, sf):
     e = _embedded(spark, sf)
-    predict = P.kernel_ridge(e.where("train"), gamma=1 / WIDTH, alpha=1.0)
-    return _six(e.where("not train").select("item", predict("features").alias("p")))
+    model = K.kernel_ridge(e.where("train"), gamma=1 / WIDTH, alpha=1.0)
+    return _six(e.where("not train").select("item", model.column()("features").alias("p")))
+
+
+def support_vector_prediction(spark, sf):
+    e = _embedded(spark, sf)
+    model = K.support_vector_regression(e.where("train"), gamma=1 / WIDTH, c=10.0, epsilon=0.1)
+    return _six(e.where("not train").select("item", model.column()("features").alias("p"), F.lit(model.gap).alias("relative_gap")))
+
+
+#: Epochs of the registered heads, validation and test parts of which are a fifth each.
+HEAD_EPOCHS = 12
+
+
+def _head_prediction(method: str):
+    def query(spark, sf):
+        """The scores of a linear head on the embeddings; an item's label is its class and one, with ratings around it."""
+        e = _embedded(spark, sf).withColumn("label", F.col("label") + 1)
+        counts = F.transform(F.sequence(F.lit(1), F.lit(SPEC.n_bins)), lambda b: F.greatest(F.lit(0), 4 - 2 * F.abs(b - F.col("label")).cast("int")))
+        e = e.withColumn("counts", counts)
+        fitted = M.create(method, epochs=HEAD_EPOCHS)
+        fitted.fit(e.where("item % 5 > 1"), e.where("item % 5 = 1"), SPEC)
+        return _six(fitted.predict(e.where("item % 5 = 0").select("item", "features")).select("item", F.col("score").alias("p")))
+
+    return query
+
 
+HEADS = {f"{m.replace('-', '_')}_prediction": _head_prediction(m) for m in ("ldl-ren2017", "comboloss", "r3cnn", "uol", "rw-ldl", "rw-ldl-noweight", "rw-ldl-kl", "dinov2-linear")}
 
 NAMES = [
     "label_stats", "standard_error", "histogram_label_stats", "label_histogram", "histogram_normalised", "cv_roles", "split_sizes", "group_integrity", "attribute_codes",
@@ -416,5 +469,6 @@ NAMES = [
     "method_catalogue", "setup_table", "lr_schedules", "early_stopping", "ensemble_rank_average", "test_time_mean", "pairwise_distances", "symmetry_features",
     "proportion_features", "standardised_features", "univariate_selection", "knn_regression", "ridge_prediction", "bayesian_ridge_prediction", "polynomial_ridge_prediction",
     "kernel_ridge_prediction", "subgroup_table", "counts_from_shares", "log_softmax_embeddings", "union_of_splits", "attributes_of_test_items", "fold_count",
+    "support_vector_prediction", "multinomial_likelihood", "best_by_metric",
 ]
-QUERIES = {n: globals()[n] for n in NAMES}
+QUERIES = {n: globals()[n] for n in NAMES} | HEADS

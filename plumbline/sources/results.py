@@ -51,25 +51,75 @@ def save_run(result: dict, folder: str) -> str:
     return path
 
 
+def _finite_scores(predictions: DataFrame) -> DataFrame:
+    bad = F.isnull("score") | F.isnan("score") | (F.abs("score") == float("inf"))
+    return predictions.withColumn("score", F.when(bad, F.raise_error(F.lit("a prediction is not finite")).cast("double")).otherwise(F.col("score")))
+
+
 def write_predictions(predictions: DataFrame, path: str) -> None:
     """Predictions keyed by item; a score that is null or not finite is an error."""
-    bad = F.isnull("score") | F.isnan("score") | (F.abs("score") == float("inf"))
-    checked = predictions.withColumn("score", F.when(bad, F.raise_error(F.lit("a prediction is not finite"))).otherwise(F.col("score")))
-    checked.write.mode("overwrite").parquet(path)
+    _finite_scores(predictions).write.mode("overwrite").parquet(path)
 
 
 def read_predictions(spark: SparkSession, path: str, items: DataFrame) -> DataFrame:
     """Predictions joined to their items by key; files that lack an item, have another or repeat one are stale, which is an error."""
     found = spark.read.parquet(path)
-    if repeated := found.groupBy("item").count().where("count > 1").count():
-        raise ValueError(f"{repeated} items have several predictions in {path}: it is stale")
-    if surplus := found.join(items, "item", "left_anti").count():
-        raise ValueError(f"{surplus} predictions in {path} are of other items: it is stale")
-    if missing := items.join(found, "item", "left_anti").count():
-        raise ValueError(f"{missing} items have no prediction in {path}: it is stale")
+    _check_fresh(found, items, path)
     return items.join(found, "item")
 
 
+def _check_fresh(found: DataFrame, items: DataFrame, where: str, *by: str) -> None:
+    """One pass over the keys of both sides: every item has one prediction (in its own part, of ``by``) and there are no others."""
+    keys = ["item", *by]
+    both = found.select(*keys, F.lit(1).alias("p"), F.lit(0).alias("i")).unionByName(items.select(*keys, F.lit(0).alias("p"), F.lit(1).alias("i")))
+    each = both.groupBy(*keys).agg(F.sum("p").alias("p"), F.sum("i").alias("i"))
+    # a row of null keys is no one's
+    repeated, surplus, missing = each.agg(F.count_if(F.col("p") > 1), F.count_if(F.col("i") == 0), F.count_if(F.col("p") == 0)).first()
+    for n, what in ((repeated, "items have several predictions"), (surplus, "predictions are of other items"), (missing, "items have no prediction")):
+        if n:
+            raise ValueError(f"{n} {what} in {where}: it is stale")
+
+
+#: The fold of predictions that belong to none.
+NO_FOLD = -1
+
+
+def store_predictions(predictions: DataFrame, folder: str, *, protocol: str, method: str, fold: int | None = None) -> None:
+    """Put a run's predictions into the store, in place of an earlier run's of the same protocol, fold and method; others stay."""
+    more = {"distribution": "array<double>", "uncertainty": "double"}
+    columns = [F.col(c) if c in predictions.columns else F.lit(None).cast(t).alias(c) for c, t in more.items()]
+    parts = [F.lit(protocol).alias("protocol"), F.lit(NO_FOLD if fold is None else fold).alias("fold"), F.lit(method).alias("method")]
+    rows = _finite_scores(predictions).select("item", "score", *columns, *parts)
+    rows.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("protocol", "fold", "method").parquet(folder)
+
+
+def stored_protocols(spark: SparkSession, folder: str, method: str) -> set[str]:
+    """The protocols of which the store has predictions of a method."""
+    if not _exists(spark, folder):
+        return set()
+    return {r[0] for r in spark.read.parquet(folder).where(F.col("method") == method).select("protocol").distinct().collect()}
+
+
+def stored_predictions(spark: SparkSession, folder: str, items: DataFrame, *, protocol: str, method: str, fold: str | None = None) -> DataFrame:
+    """A method's stored predictions with their items' columns; only its own parts are read.
+
+    With ``fold``, a column of the items, the predictions of all folds are pooled,
+    each item's from the fold in which it was tested. Parts that do not fit the items
+    are an error.
+    """
+    if not _exists(spark, folder):
+        raise ValueError(f"no predictions in {folder}")
+    found = spark.read.parquet(folder).where((F.col("protocol") == protocol) & (F.col("method") == method))
+    where = f"{folder}, {protocol}, {method}"
+    if fold is None:
+        found = found.where(F.col("fold") == NO_FOLD).drop("protocol", "fold", "method")
+        _check_fresh(found, items, where)
+        return items.join(found, "item")
+    found = found.where(F.col("fold") != NO_FOLD).drop("protocol", "method").withColumnRenamed("fold", "__fold")
+    _check_fresh(found, items.withColumn("__fold", F.col(fold).cast("int")), where, "__fold")
+    return items.join(found.drop("__fold"), "item")
+
+
 def _version(name: str) -> str | None:
     try:
         return metadata.version(name)
@@ -77,14 +127,20 @@ def _version(name: str) -> str | None:
         return None
 
 
-def environment(spark: SparkSession, folder: str = ".") -> dict[str, object]:
+#: What results are made of: changes elsewhere in the tree do not make them irreproducible.
+CODE = ("plumbline", "bench.py", "corpus_pipeline.py", "__spark_entry__.py")
+
+
+def environment(spark: SparkSession, folder: str = ".", code: tuple[str, ...] = CODE) -> dict[str, object]:
+    """Where and with what a run was made; the tree is dirty if the code has changes that are not committed."""
+
     def git(*args: str) -> str | None:
         try:
             return subprocess.run(["git", "-C", folder, *args], capture_output=True, text=True, check=True).stdout.strip()
         except (OSError, subprocess.CalledProcessError):
             return None
 
-    dirty = git("status", "--porcelain")
+    dirty = git("status", "--porcelain", "--", *code)
     return {
         "timestamp": datetime.now(UTC).isoformat(timespec="seconds"),
         "git_commit": git("rev-parse", "HEAD"),
@@ -92,6 +148,7 @@ def environment(spark: SparkSession, folder: str = ".") -> dict[str, object]:
         "reproducible_from_commit": dirty == "",
         "python": platform.python_version(),
         "platform": platform.platform(),
+        "device": f"cpu, {spark.sparkContext.master}",
         "spark": spark.version,
         "packages": {name: _version(name) for name in ("pyspark", "pyarrow", "numpy", "pandas")},
         "cpus": os.cpu_count(),

@@ -143,8 +143,12 @@ def test_folds_must_be_in_range(spark):
 
 def test_landmarks_are_pooled(spark):
     items = spark.createDataFrame([(1,), (2,), (3,)], "item int")
-    pooled = spark.createDataFrame([(1, [1.0]), (1, [1.0]), (2, None), (9, [2.0])], "item int, landmarks array<double>")
-    assert sorted((r["item"], r["landmarks"]) for r in R.with_landmarks(items, pooled).collect()) == [(1, [1.0]), (2, None), (3, None)]
+    first = spark.createDataFrame([(1, [9.0]), (1, [1.0]), (2, None), (9, [2.0])], "item int, landmarks array<double>")
+    later = spark.createDataFrame([(1, [2.0]), (3, None)], "item int, landmarks array<double>")
+    pooled = lambda *tables: sorted((r["item"], r["landmarks"]) for r in R.with_landmarks(items, list(tables)).collect())
+    assert pooled(first) == [(1, [9.0]), (2, None), (3, None)]
+    assert pooled(first, later) == [(1, [2.0]), (2, None), (3, None)]  # the later table's, not the greater ones
+    assert pooled(later, first)[0] == (1, [9.0])
 
 
 def test_measured_distributions_need_a_total(spark):
@@ -162,5 +166,56 @@ def test_ranks_and_places_within_groups(spark):
     df = spark.createDataFrame([(g, float(v)) for g, vs in (("a", [3, 1, 1, 2]), ("b", [5] * 3), ("c", list(range(50)))) for v in vs], "g string, v double")
     ranks = stats.average_rank(df, "v", "r", ("g",)).groupBy("g").agg(F.sort_array(F.collect_list("r")).alias("r"))
     assert {r["g"]: r["r"] for r in ranks.collect()} == {"a": [0.5, 0.5, 2.0, 3.0], "b": [1.0] * 3, "c": [float(i) for i in range(50)]}
-    placed = stats.row_index(df, stats.range_part(df, "v"), ["v"], "at", ("g",)).where("g = 'c'").orderBy("at").collect()
+    placed = stats.row_index(df, ["v"], "at", ("g",)).where("g = 'c'").orderBy("at").collect()
     assert [r["v"] for r in placed] == [float(i) for i in range(50)] and [r["at"] for r in placed] == list(range(50))
+
+
+def test_places_of_any_sortable_type(spark):
+    """Strings, dates, several columns and nulls, in groups that may be null; equal to a window, and nothing runs beforehand."""
+    from datetime import date, timedelta
+
+    from pyspark.sql import Window, functions as F
+
+    from plumbline.functions import stats
+
+    rows = [(None if i % 5 == 0 else f"g{i % 3}", f"i{(i * 37) % 100}", date(2020, 1, 1) + timedelta(days=(i * 7) % 50), None if i % 11 == 0 else i % 4 - 1.5) for i in range(100)]
+    df = spark.createDataFrame(rows, "g string, s string, d date, v double").repartition(5)
+    jobs = spark.sparkContext.statusTracker().getJobIdsForGroup(None)
+    for order, by in ((["s"], ()), (["d", "s"], ("g",)), (["v", "d", "s"], ("g",))):
+        placed = stats.row_index(df, order, "at", by)
+        want = df.withColumn("at", F.row_number().over(Window.partitionBy(*by).orderBy(*order)) - 1)
+        assert spark.sparkContext.statusTracker().getJobIdsForGroup(None) == jobs
+        assert sorted(map(str, placed.select(want.columns).collect())) == sorted(map(str, want.collect()))
+        jobs = spark.sparkContext.statusTracker().getJobIdsForGroup(None)
+    whole = df.where("g is not null")
+    ranks = stats.average_ranks(whole, {"d": "rd"}, ("g",))
+    w = Window.partitionBy("g").orderBy("d")
+    want = whole.withColumn("rd", F.rank().over(w) - 1 + (F.count("*").over(Window.partitionBy("g", "d")) - 1) / 2)
+    assert sorted(map(str, ranks.select(want.columns).collect())) == sorted(map(str, want.collect()))
+
+
+def test_labels_are_dealt_among_string_ids(spark):
+    items = spark.createDataFrame([(f"i{k}", float(k)) for k in range(40)], "item string, label double")
+    found = R.permuted_labels(items, "1").collect()
+    assert sorted(r["shuffled"] for r in found) == [float(k) for k in range(40)] and [r["label"] for r in found] != [r["shuffled"] for r in found]
+    assert sorted(map(str, found)) == sorted(map(str, R.permuted_labels(items.repartition(3), "1").collect()))
+    assert sorted(map(str, found)) != sorted(map(str, R.permuted_labels(items, "2").collect()))
+
+
+def test_ids_for_tables_without_any(spark, tmp_path):
+    """The same ids on every read, by file and place in it, however the files are split; not without files."""
+    for k in range(3):
+        spark.range(100 * k, 100 * k + 40).selectExpr("id as v").coalesce(1).write.parquet(str(tmp_path / f"t/part={k}"))
+    read = lambda: spark.read.parquet(str(tmp_path / "t")).select("v", "part")
+    read_all = lambda: R.identified(spark.read.parquet(str(tmp_path / "t")), "train")
+    first = {r["v"]: r["item"] for r in read_all().collect()}
+    assert len(set(first.values())) == 120 and set(first.values()) == {f"train_{i}" for i in range(120)}
+    assert first[0] == "train_0" and first[105] == "train_45"
+    spark.conf.set("spark.sql.files.maxPartitionBytes", "300")
+    try:
+        assert {r["v"]: r["item"] for r in read_all().repartition(7).collect()} == first
+    finally:
+        spark.conf.unset("spark.sql.files.maxPartitionBytes")
+    assert R.identified(read().withColumnRenamed("v", "item"), "x").columns == ["item", "part"]
+    with pytest.raises(ValueError, match="no column 'item'"):
+        R.identified(spark.createDataFrame([(1,)], "v int"), "x")
