@@ -17,7 +17,7 @@ def roles(spark):
 
 
 def test_every_method_runs_and_learns(roles):
-    options = {n: {"epochs": 12} for n in methods.schedule_names()}
+    options = {n: {"epochs": 6} for n in methods.schedule_names()}
     done, failed = methods.sweep([e.name for e in methods.entries()], roles, ItemSpec(), options=options)
     assert not failed, failed
     by = {r["method"]: r["metrics"] for r in done}
