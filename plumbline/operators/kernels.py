@@ -12,6 +12,7 @@ from __future__ import annotations
 from dataclasses import dataclass
 
 import numpy as np
+from pyspark import StorageLevel
 from pyspark.sql import DataFrame, functions as F
 
 from plumbline.operators.predictors import array_sums
@@ -113,6 +114,15 @@ def support_vector_regression(train: DataFrame, *, gamma: float, c: float = 10.0
     function can be from the best at most, the duality gap. No row has a state that
     would have to be kept from pass to pass.
     """
+    # every pass reads the rows, however much it takes to make their features
+    rows = train.select("features", "label").persist(StorageLevel.MEMORY_AND_DISK)
+    try:
+        return _support_vectors(rows, gamma, c, epsilon, basis, tolerance, passes)
+    finally:
+        rows.unpersist()
+
+
+def _support_vectors(train: DataFrame, gamma: float, c: float, epsilon: float, basis: int, tolerance: float, passes: int) -> KernelModel:
     kernel = fitted_kernel(train, gamma, basis)
     m = kernel.turn.shape[1]
     total, n, spread = train.agg(F.sum(F.col("label").cast("double")), F.count("label"), F.stddev_pop(F.col("label").cast("double"))).first()

@@ -180,7 +180,9 @@ class NeighboursAndRidge(_Geometric):
         return rows.withColumn("features", F.concat("distances", P.symmetry("face", MIRRORED, MIDLINE)))
 
     def _fit(self, train):
-        self.train, self.model = train, P.ridge_fit(train, "features", "label", len(self.keep), 10.0)
+        # the training rows are the model: they stay cached as long as it is used
+        self.train = train.persist()
+        self.model = P.ridge_fit(self.train, "features", "label", len(self.keep), 10.0)
 
     def _predict(self, rows):
         near = P.knn_regression(self.train, rows, 15)
