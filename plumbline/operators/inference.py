@@ -1,40 +1,36 @@
 """Bootstrap intervals, paired differences, subgroups.
 
 A draw is a hash of (seed, resample, position), so resamples are the same in any
-order, on any cluster and in SQL. While the items fit into a broadcast of checked
-size, each resample is one row that a task turns into sums: nothing is shuffled.
-Beyond that draws are counted by (resample, item) before they meet the items:
-what joins is a multiplicity, not a row for each draw, and moments are weighted
-sums.
+order, on any cluster and in SQL. Tasks make the draws of a resample in numpy and
+count how often each item is drawn. While the items fit into a broadcast of checked
+size the counts meet them there and nothing is shuffled. Beyond that the items
+are packed into blocks of ``BLOCK`` places; the counts of a resample within a block,
+half a byte a place before compression, meet the block by key, and the sums
+over the blocks are added up. No row stands for a draw or for an item drawn.
 """
 
 from __future__ import annotations
 
-from hashlib import md5
+import zlib
+from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
+from plumbline.functions.hashed import leading_48_bits
 from plumbline.functions.stats import mae, pearson, rmse, row_index
 
 #: Items up to which they are broadcast to the draws, some 20 bytes a column each.
 AT_HAND = 500_000
+#: Places of a block of items (even), and the resamples that meet a block at once.
+BLOCK, MEET = 1 << 18, 256
+#: Draws that a task makes at once.
+DRAWS = 1 << 21
+_SUMS, _ENDS = ("sp", "sy", "spp", "syy", "spy", "ae", "ee"), ("p_lo", "p_hi", "y_lo", "y_hi")
 _KEPT = ("w", "sp", "sy", "spp", "syy", "spy", "MAE", "RMSE", "p_varies", "y_varies")
 
 
-def draws(spark, n: int, resamples: int, seed: str) -> DataFrame:
-    """b, at, times: how often item number ``at`` is drawn in resample ``b``."""
-    both = spark.range(resamples * n).select(F.floor(F.col("id") / n).alias("b"), (F.col("id") % n).alias("k"))
-    h = F.conv(F.substring(F.md5(F.concat_ws("|", F.lit(seed), F.col("b").cast("string"), F.col("k").cast("string"))), 1, 12), 16, 10)
-    return both.select("b", (h.cast("long") % n).alias("at")).groupBy("b", "at").agg(F.count("*").alias("times"))
-
-
-def weighted_moments(p: str, y: str, w: str = "times") -> dict[str, Column]:
-    x, z, t = F.col(p), F.col(y), F.col(w)
-    return {"w": F.sum(t), "sp": F.sum(t * x), "sy": F.sum(t * z), "spp": F.sum(t * x * x), "syy": F.sum(t * z * z), "spy": F.sum(t * x * z)}
-
-
 def moment_pearson(m: str = "") -> Column:
     """Correlation from weighted sums; 0 where a side is constant."""
     c = lambda k: F.col(m + k)
@@ -46,60 +42,176 @@ def moment_pearson(m: str = "") -> Column:
     return F.when(flat, F.lit(0.0)).otherwise((c("spy") - c("sp") * c("sy") / c("w")) / F.nullif(scale, F.lit(0.0)))
 
 
-def _moments_at_hand(numbered: DataFrame, tasks: DataFrame, columns: list[str], text) -> DataFrame:
-    """A row of sums for each row of ``tasks`` (key, resample): its draws meet the items, a broadcast of checked size, in numpy."""
-    held = {}
-    for part in numbered.select("group", "at", "y", *columns).toLocalIterator():
-        held.setdefault(part["group"], []).append(tuple(part)[1:])
-    tables = {}
-    for group, rows in held.items():
-        rows = np.array(sorted(rows), float)
-        tables[group] = rows[:, 1:].T.copy()
-    shipped = numbered.sparkSession.sparkContext.broadcast(tables)
+class _Items:
+    """Labels and predictions of some items, and the sums over those drawn."""
+
+    def __init__(self, table: np.ndarray):
+        y, parts = table[0], []
+        for x in table[1:]:
+            e = x - y
+            parts += [x, y, x * x, y * y, x * y, np.abs(e), e * e]
+        self.table, self.n = table, table.shape[1]
+        self.features = np.stack(parts, 1)
+        self.odd = np.flatnonzero(~np.isfinite(self.features).all(1))
+        if len(self.odd):  # count only where they are drawn
+            self.odd_features = self.features[self.odd]
+            self.features[self.odd] = 0
+
+    def sums(self, counts: np.ndarray) -> np.ndarray:
+        """Of each row of counts: how many there are, then for each prediction ``_SUMS`` and ``_ENDS``."""
+        sums = counts.astype(float) @ self.features
+        for i in range(len(counts) if len(self.odd) else 0):
+            times = counts[i, self.odd]
+            sums[i] += (times[times > 0, None] * self.odd_features[times > 0]).sum(0)
+        ends = [[self._ends(row, values) for values in self.table] for row in counts]
+        out, k = [counts.sum(1).astype(float)[:, None]], len(_SUMS)
+        for p in range(1, len(self.table)):
+            out += [sums[:, k * p - k : k * p], np.array([[*e[p], *e[0]] for e in ends])]
+        return np.concatenate(out, 1)
+
+    def _ends(self, counts: np.ndarray, values: np.ndarray) -> tuple[float, float]:
+        """The least and greatest value drawn, or those of the first few if they differ already: what matters is whether any do."""
+        few = values[:1024][counts[:1024] > 0]
+        if not len(self.odd) and len(few) and few.min() < few.max():
+            return few.min(), few.max()
+        drawn = values[counts > 0]
+        return (drawn.min(), drawn.max()) if len(drawn) else (np.inf, -np.inf)
+
+
+def _same(batch: pa.RecordBatch, *keys: str) -> Iterator[tuple[tuple, list[int]]]:
+    """The resamples ``b`` of a batch that have the same keys."""
+    found: dict[tuple, list[int]] = {}
+    for *key, b in zip(*[batch.column(k).to_pylist() for k in (*keys, "b")]):
+        found.setdefault(tuple(key), []).append(b)
+    yield from found.items()
+
+
+def _places(texts: list[str], n: int, first: int, last: int) -> np.ndarray:
+    """The places 0 to n - 1 that draws first to ``last`` - 1 of some resamples fall on, a row for each."""
+    return (leading_48_bits([t.encode() for t in texts], first, last) % np.uint64(n)).astype(np.int64)
+
+
+def _summed(group, resamples: list[int], sums: np.ndarray) -> pa.RecordBatch:
+    columns = [pa.array([group] * len(resamples), pa.string()), pa.array(resamples, pa.int64()), *[pa.array(c) for c in sums.T.copy()]]
+    return pa.RecordBatch.from_arrays(columns, names=[f"c{i}" for i in range(len(columns))])
+
+
+def _sum_names(columns: list[str]) -> list[str]:
+    return ["w"] + [f"{c}_{k}" for c in columns for k in (*_SUMS, *_ENDS)]
+
+
+def _sum_schema(columns: list[str]) -> str:
+    return "c0 string, c1 long, " + ", ".join(f"c{i} double" for i in range(2, 2 + len(_sum_names(columns))))
+
+
+def _sums_at_hand(numbered: DataFrame, tasks: DataFrame, columns: list[str], text) -> DataFrame:
+    """A row of sums for each row of ``tasks`` (group, n, b): its draws meet the items, a broadcast of checked size."""
+    got = numbered.select("group", "at", "y", *columns).toArrow()
+    code = got["group"].combine_chunks().dictionary_encode(null_encoding="encode")
+    names, code = code.dictionary.to_pylist(), code.indices.to_numpy()
+    values = np.stack([got[c].cast(pa.float64()).to_numpy() for c in ("y", *columns)])[:, np.lexsort((got["at"].to_numpy(), code))]
+    ends = np.cumsum(np.bincount(code, minlength=len(names)))
+    shipped = numbered.sparkSession.sparkContext.broadcast({g: values[:, i:j].copy() for g, i, j in zip(names, [0, *ends], ends)})
 
     def run(batches):
+        known: dict[str, _Items] = {}
         for batch in batches:
-            out = []
-            for group, b in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
-                table = shipped.value[group]
-                n = table.shape[1]
-                start = md5(text(group, b).encode())
-
-                def one(k, start=start):
-                    h = start.copy()
-                    h.update(b"%d" % k)
-                    return int.from_bytes(h.digest()[:6], "big")
-
-                at = np.fromiter(map(one, range(n)), np.int64, n) % n
-                y = table[0][at]
-                row = [group, b]
-                for x in (table[i][at] for i in range(1, len(table))):
-                    e = x - y
-                    row += [float(n), x.sum(), y.sum(), x @ x, y @ y, x @ y, np.abs(e).mean(), float(np.sqrt(e @ e / n)), bool(x.max() > x.min()), bool(y.max() > y.min())]
-                out.append(row)
-            fields = list(zip(*out)) if out else [[] for _ in range(2 + 10 * len(columns))]
-            types = [pa.string(), pa.int64()] + ([pa.float64()] * 8 + [pa.bool_()] * 2) * len(columns)
-            yield pa.RecordBatch.from_arrays([pa.array(list(f), t) for f, t in zip(fields, types)], names=[f"c{i}" for i in range(len(types))])
-
-    names = ["group", "b"] + [f"{c}_{k}" for c in columns for k in _KEPT]
-    kinds = ["string", "long"] + (["double"] * 8 + ["boolean"] * 2) * len(columns)
-    return tasks.mapInArrow(run, ", ".join(f"c{i} {t}" for i, t in enumerate(kinds))).toDF(*names)
+            for (group,), resamples in _same(batch, "group"):
+                if group not in known:
+                    known[group] = _Items(shipped.value[group])
+                items, n = known[group], known[group].n
+                step = max(1, DRAWS // n)
+                for i in range(0, len(resamples), step):
+                    some = resamples[i : i + step]
+                    drawn = _places([text(group, b) for b in some], n, 0, n)
+                    yield _summed(group, some, items.sums(np.stack([np.bincount(row, minlength=n) for row in drawn])))
+
+    return tasks.mapInArrow(run, _sum_schema(columns)).toDF("group", "b", *_sum_names(columns))
+
+
+def _packed(at: np.ndarray, block: int) -> tuple[bool, bytes]:
+    """Sorted places within a block: as counts of half a byte, without their redundancy, or as they are if they are few or one is too frequent."""
+    if len(at) * 8 >= block:
+        counts = np.bincount(at, minlength=block)
+        if counts.max() < 16:
+            counts = counts.astype(np.uint8)
+            coder = zlib.compressobj(1, zlib.DEFLATED, -15, 9, zlib.Z_HUFFMAN_ONLY)
+            return True, coder.compress((counts[::2] | counts[1::2] << 4).tobytes()) + coder.flush()
+    return False, at.astype(np.uint32).tobytes()
+
+
+def _counts(dense: bool, packed: bytes, n: int) -> np.ndarray:
+    """The counts of a block's n places again."""
+    if not dense:
+        return np.bincount(np.frombuffer(packed, np.uint32), minlength=n)
+    pairs = np.frombuffer(zlib.decompress(packed, -15), np.uint8)
+    return np.stack([pairs & 15, pairs >> 4], 1).ravel()[:n]
+
+
+def _sums_in_blocks(numbered: DataFrame, tasks: DataFrame, columns: list[str], text, resamples: int) -> DataFrame:
+    """The same for items of any number: counts of draws meet blocks of items."""
+    block, draws, meet_at_once = BLOCK, DRAWS, MEET
+    parts = tasks.select("group", "n", "b", F.explode(F.sequence(F.lit(0).cast("long"), F.floor((F.col("n") - 1) / draws))).alias("part"))
+
+    def deal(batches):
+        for batch in batches:
+            for (group, n, part), every in _same(batch, "group", "n", "part"):
+                first, last = part * draws, min(n, part * draws + draws)
+                step = max(1, draws // (last - first))
+                for i in range(0, len(every), step):
+                    some, rows, edges = every[i : i + step], [], np.arange(0, n + block, block)
+                    for b, at in zip(some, _places([text(group, b) for b in some], n, first, last)):
+                        at.sort()
+                        ends = np.searchsorted(at, edges)
+                        rows += [(group, k, b // meet_at_once, b, *_packed(at[ends[k] : ends[k + 1]] - edges[k], block)) for k in range(len(edges) - 1) if ends[k] < ends[k + 1]]
+                    columns = [pa.array(v, t) for v, t in zip(zip(*rows), (pa.string(), pa.int64(), pa.int64(), pa.int64(), pa.bool_(), pa.binary()))]
+                    yield pa.RecordBatch.from_arrays(columns, names=["group", "block", "q", "b", "dense", "counts"])
+
+    def pack(key: tuple[pa.Scalar, ...], table: pa.Table) -> pa.Table:
+        order = np.argsort(table["at"].to_numpy())
+        values = np.stack([table[c].cast(pa.float64()).to_numpy()[order] for c in ("y", *columns)])
+        return pa.table({"group": pa.array([key[0].as_py()], pa.string()), "block": pa.array([key[1].as_py()], pa.int64()), "items": pa.array([values.tobytes()], pa.binary())})
+
+    def meet(drawn: pa.Table, packed: pa.Table) -> pa.Table:
+        items = _Items(np.frombuffer(packed["items"][0].as_py()).reshape(1 + len(columns), -1)) if packed.num_rows and drawn.num_rows else None
+        found = [_summed(None, [], np.empty((0, len(_sum_names(columns)))))]
+        rows = list(zip(drawn["b"].to_pylist(), drawn["dense"].to_pylist())) if items else []
+        step = max(1, draws // items.n) if items else 1
+        for i in range(0, len(rows), step):
+            counts = np.stack([_counts(dense, drawn["counts"][i + k].as_py(), items.n) for k, (_, dense) in enumerate(rows[i : i + step])])
+            found.append(_summed(drawn["group"][0].as_py(), [b for b, _ in rows[i : i + step]], items.sums(counts)))
+        return pa.Table.from_batches(found)
+
+    spark = numbered.sparkSession
+    drawn = parts.repartition(4 * _tasks(spark)).mapInArrow(deal, "group string, block long, q long, b long, dense boolean, counts binary")
+    placed = numbered.select("group", "at", "y", *columns).withColumn("block", F.floor(F.col("at") / block))
+    blocks = placed.groupBy("group", "block").applyInArrow(pack, "group string, block long, items binary")
+    blocks = blocks.withColumn("q", F.explode(F.sequence(F.lit(0).cast("long"), F.lit((resamples - 1) // meet_at_once).cast("long"))))
+    keys = ["group", "block", "q"]
+    met = drawn.groupBy(*keys).cogroup(blocks.groupBy(*keys)).applyInArrow(meet, _sum_schema(columns)).toDF("group", "b", *_sum_names(columns))
+    over = lambda c: F.min if c.endswith("_lo") else F.max if c.endswith("_hi") else F.sum
+    return met.groupBy("group", "b").agg(*[over(c)(c).alias(c) for c in _sum_names(columns)])
+
+
+def _moments(numbered: DataFrame, tasks: DataFrame, columns: list[str], text, n: int, resamples: int) -> DataFrame:
+    """group, b and for each of some predictions ``_KEPT``; ``tasks``: group, n, b; ``n``: of all groups."""
+    if n <= AT_HAND:
+        found = _sums_at_hand(numbered, tasks.repartition(4 * _tasks(numbered.sparkSession)), columns, text)
+    else:
+        found = _sums_in_blocks(numbered, tasks, columns, text, resamples)
+    out = []
+    for c in columns:
+        of = lambda k, c=c: F.col(f"{c}_{k}")
+        whole = [F.col("w"), *[of(k) for k in _SUMS[:5]], of("ae") / F.col("w"), F.sqrt(of("ee") / F.col("w")), of("p_hi") > of("p_lo"), of("y_hi") > of("y_lo")]
+        out += [v.alias(f"{c}_{k}") for k, v in zip(_KEPT, whole)]
+    return found.select("group", "b", *out)
 
 
 def resampled(numbered: DataFrame, predictions: list[str], *, n: int, resamples: int, seed: str) -> DataFrame:
-    """b and the correlation of each prediction with ``y`` in each resample, all from the same draws.
-
-    Up to ``AT_HAND`` items travel to the draws; beyond, the draws are counted
-    and joined to the items.
-    """
+    """b and the correlation of each prediction with ``y`` in each resample, all from the same draws."""
     spark = numbered.sparkSession
-    if n <= AT_HAND:
-        tasks = spark.range(resamples).select(F.lit("").alias("group"), F.col("id").alias("b")).repartition(_tasks(spark))
-        by_b = _moments_at_hand(numbered.withColumn("group", F.lit("")), tasks, predictions, lambda _, b: f"{seed}|{b}|")
-        return by_b.select("b", *[moment_pearson(f"{p}_").alias(p) for p in predictions])
-    joined = draws(spark, n, resamples, seed).join(numbered.select("at", "y", *predictions), "at")
-    sums = [v.alias(f"{p}_{k}") for p in predictions for k, v in weighted_moments(p, "y").items()]
-    by_b = joined.groupBy("b").agg(*sums)
+    tasks = spark.range(resamples if n else 0).select(F.lit("").alias("group"), F.lit(n).cast("long").alias("n"), F.col("id").alias("b"))
+    by_b = _moments(numbered.withColumn("group", F.lit("")), tasks, predictions, lambda _, b: f"{seed}|{b}|", n, resamples)
     return by_b.select("b", *[moment_pearson(f"{p}_").alias(p) for p in predictions])
 
 
@@ -128,33 +240,12 @@ def paired_bootstrap(numbered: DataFrame, *, n: int, resamples: int, seed: str)
     return observed.join(F.broadcast(stats))
 
 
-def group_draws(numbered: DataFrame, sizes: DataFrame, *, resamples: int, seed: str) -> DataFrame:
-    """The draws of every group: b, group, at, times. ``sizes``: group, n."""
-    h = F.conv(F.substring(F.md5(F.concat_ws("|", F.lit(seed), F.col("group"), F.col("b").cast("string"), F.col("k").cast("string"))), 1, 12), 16, 10)
-    spread = sizes.select("group", "n", F.explode(F.sequence(F.lit(0), F.lit(resamples - 1))).alias("b")).repartition("group", "b")
-    each = spread.select("group", "n", "b", F.explode(F.sequence(F.lit(0), (F.col("n") - 1).cast("int"))).alias("k"))
-    return each.select("group", "b", (h.cast("long") % F.col("n")).alias("at")).groupBy("group", "b", "at").agg(F.count("*").alias("times"))
-
-
 def group_resamples(numbered: DataFrame, *, resamples: int, seed: str) -> DataFrame:
     """group, b, PC, MAE, RMSE and both sides' variance of every resample of every group."""
     sizes = numbered.groupBy("group").agg(F.count("*").alias("n"))
-    out = ["group", "b", moment_pearson().alias("PC"), "MAE", "RMSE", "p_varies", "y_varies"]
-    if (sizes.agg(F.sum("n")).first()[0] or 0) <= AT_HAND:
-        spark = numbered.sparkSession
-        tasks = sizes.select("group", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(resamples - 1).cast("long"))).alias("b")).repartition(4 * _tasks(spark))
-        found = _moments_at_hand(numbered, tasks, ["p"], lambda group, b: f"{seed}|{group}|{b}|")
-        return found.toDF("group", "b", *_KEPT).select(*out)
-    joined = group_draws(numbered, sizes, resamples=resamples, seed=seed).join(numbered, ["group", "at"])
-    e = F.col("p") - F.col("y")
-    sums = joined.groupBy("group", "b").agg(
-        *[v.alias(k) for k, v in weighted_moments("p", "y").items()],
-        (F.sum(F.col("times") * F.abs(e)) / F.sum("times")).alias("MAE"),
-        F.sqrt(F.sum(F.col("times") * e * e) / F.sum("times")).alias("RMSE"),
-        (F.max("p") > F.min("p")).alias("p_varies"),
-        (F.max("y") > F.min("y")).alias("y_varies"),
-    )
-    return sums.select(*out)
+    tasks = sizes.select("group", "n", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(resamples - 1).cast("long"))).alias("b"))
+    found = _moments(numbered, tasks, ["p"], lambda group, b: f"{seed}|{group}|{b}|", sizes.agg(F.sum("n")).first()[0] or 0, resamples)
+    return found.toDF("group", "b", *_KEPT).select("group", "b", moment_pearson().alias("PC"), "MAE", "RMSE", "p_varies", "y_varies")
 
 
 def subgroup_intervals(resamples: DataFrame) -> DataFrame:
@@ -168,9 +259,10 @@ def subgroup_intervals(resamples: DataFrame) -> DataFrame:
 
 def subgroup_gap(resamples: DataFrame, first: str, second: str, metric: str = "PC") -> DataFrame:
     """Interval of a metric of the first group less that of the second, drawn independently; only constant labels are left out."""
-    of = lambda g, name: resamples.where((F.col("group") == g) & F.col("y_varies")).select("b", F.col(metric).alias(name))
+    of = lambda g: F.max(F.when(F.col("group") == g, F.col(metric)))
     lo, hi = interval("d")
-    gap = of(first, "x").join(of(second, "z"), "b").select((F.col("x") - F.col("z")).alias("d")).agg(lo.alias("lo"), hi.alias("hi"))
+    both = resamples.where(F.col("group").isin(first, second) & F.col("y_varies")).groupBy("b").agg(of(first).alias("x"), of(second).alias("z"))
+    gap = both.select((F.col("x") - F.col("z")).alias("d")).agg(lo.alias("lo"), hi.alias("hi"))
     return gap.withColumn("excludes_zero", (F.col("lo") > 0) | (F.col("hi") < 0))
 
 
