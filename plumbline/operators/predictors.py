@@ -287,18 +287,34 @@ def array_sums(df: DataFrame, columns: list[str], block, *, raw: bool = False) -
     return np.concatenate([np.frombuffer(r["v"]) for r in sorted(rows)]) if rows else None
 
 
+#: Rows that are expanded at once.
+EXPANDED_ROWS = 512
+
+
+def _slices(x: np.ndarray, *more: np.ndarray):
+    for i in range(0, len(x), EXPANDED_ROWS):
+        yield tuple(v[i : i + EXPANDED_ROWS] for v in (x, *more))
+
+
 def gram(df: DataFrame, features: str, label: str, width: int, expand=None) -> tuple[np.ndarray, np.ndarray, np.ndarray, float, int]:
-    """Centred X'X and X'y, means of both, and the number of rows, in two passes: the second subtracts the first's means, so nothing cancels."""
+    """Centred X'X and X'y, means of both, and the number of rows, in two passes: the second subtracts the first's means, so nothing cancels.
+
+    Features are expanded some rows at a time, so memory does not depend on how many rows a batch has.
+    """
     expand = expand or (lambda x: x)
-    first = array_sums(df, [features, label], lambda x, y: np.concatenate([expand(x).sum(0), [y.sum(), len(y)]]))
+    first = array_sums(df, [features, label], lambda x, y: np.concatenate([sum(expand(part).sum(0) for (part,) in _slices(x)), [y.sum(), len(y)]]))
     if first is None:
         raise ValueError("no training rows")
     n = int(first[-1])
     mean, centre = first[:-2] / n, first[-2] / n
 
     def products(x, y):
-        x = expand(x) - mean
-        return np.concatenate([x.T @ x, (x.T @ (y - centre))[:, None]], 1)
+        total = np.zeros((len(mean), len(mean) + 1))
+        for part, labels in _slices(x, y):
+            part = expand(part) - mean
+            total[:, :-1] += part.T @ part
+            total[:, -1] += part.T @ (labels - centre)
+        return total
 
     both = array_sums(df, [features, label], products).reshape(len(mean), -1)
     return both[:, :-1], both[:, -1], mean, float(centre), n
@@ -371,7 +387,7 @@ def predictor(model: tuple[np.ndarray, float], expand=None):
         import pandas as pd
 
         x = np.array(features.tolist(), float).reshape(len(features), -1)
-        return pd.Series((expand(x) if expand else x) @ b + c)
+        return pd.Series(np.concatenate([(expand(part) if expand else part) @ b + c for (part,) in _slices(x)] or [np.empty(0)]))
 
     return predict
 
