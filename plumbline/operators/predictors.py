@@ -173,6 +173,32 @@ def _distances(a: np.ndarray, b: np.ndarray) -> np.ndarray:
     return out
 
 
+def _k_nearest(x: np.ndarray, rows: np.ndarray, place: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(row of x, row of rows, distance to 9 places) of the k nearest of each row of x, ties by ``place``.
+
+    Squared distances from one matrix product, each off by ``slack`` at most, say which rows can be among
+    the k nearest; the distances of these alone are taken from differences.
+    """
+    centre = rows.mean(0)
+    a, b = x - centre, rows - centre
+    aa, bb = np.einsum("ij,ij->i", a, a), np.einsum("ij,ij->i", b, b)
+    about = aa[:, None] + bb - 2 * (a @ b.T)
+    if len(rows) > k:
+        top = np.partition(about, k - 1)[:, k - 1]
+        slack = 1e-12 * (aa + bb.max() + 1) + 4e-9 * np.sqrt(np.maximum(top, 0) + 1e-9)
+        i, j = np.nonzero(~(about > (top + 2 * slack)[:, None]))
+    else:
+        i, j = (v.ravel() for v in np.indices(about.shape))
+    d = np.empty(len(i))
+    for first in range(0, len(i), 1 << 16):
+        e = x[i[first : first + (1 << 16)]] - rows[j[first : first + (1 << 16)]]
+        d[first : first + (1 << 16)] = np.round(np.sqrt(np.einsum("ij,ij->i", e, e)), 9)
+    order = np.lexsort((place[j], d, i))
+    i, j, d = i[order], j[order], d[order]
+    kept = np.arange(len(i)) - np.searchsorted(i, i) < k
+    return i[kept], j[kept], d[kept]
+
+
 def _open_cells(pivots: np.ndarray, sizes: np.ndarray, radii: np.ndarray, k: int):
     """The cells that may hold one of the k nearest of a row: no other comes nearer than k rows surely do."""
 
@@ -230,12 +256,8 @@ def nearest(train: DataFrame, queries: DataFrame, k: int, *, cells: int | None =
             place = np.argsort(pc.sort_indices(names).to_numpy())  # the places of ids in their order, whatever their type
             x, rows = (_matrix(t.column("features").combine_chunks()) for t in (a, b))
             for first in range(0, len(x), 512):
-                for i, d in enumerate(np.round(_distances(x[first : first + 512], rows), 9), first):
-                    near = np.flatnonzero(d <= np.partition(d, k - 1)[k - 1]) if len(d) > k else np.arange(len(d))
-                    near = near[np.lexsort((place[near], d[near]))[:k]]
-                    at.append(np.full(len(near), i))
-                    which.append(near)
-                    how_far.append(d[near])
+                for found, new in zip((at, which, how_far), _k_nearest(x[first : first + 512], rows, place, k)):
+                    found.append(new + first if found is at else new)
         at, which, how_far = (np.concatenate(v) if v else np.empty(0, t) for v, t in ((at, int), (which, int), (how_far, float)))
         return pa.table({"item": queries.take(pa.array(at)), "t": names.take(pa.array(which)), "label": pa.array(labels[which]), "d": pa.array(how_far)})
 
