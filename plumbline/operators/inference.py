@@ -88,7 +88,8 @@ def _same(batch: pa.RecordBatch, *keys: str) -> Iterator[tuple[tuple, list[int]]
 
 def _places(texts: list[str], n: int, first: int, last: int) -> np.ndarray:
     """The places 0 to n - 1 that draws first to ``last`` - 1 of some resamples fall on, a row for each."""
-    return (leading_48_bits([t.encode() for t in texts], first, last) % np.uint64(n)).astype(np.int64)
+    drawn, n = leading_48_bits([t.encode() for t in texts], first, last), np.uint64(n)
+    return (drawn - drawn // n * n).view(np.int64)
 
 
 def _summed(group, resamples: list[int], sums: np.ndarray) -> pa.RecordBatch:
@@ -130,16 +131,36 @@ def _sums_at_hand(numbered: DataFrame, tasks: DataFrame, columns: list[str], tex
 
 
 def _packed(at: np.ndarray, block: int) -> tuple[bool, bytes]:
-    """Sorted places within a block: as counts of half a byte, without their redundancy, or as they are if they are few or one is too frequent."""
+    """Places within a block: as counts, or as they are if they are few."""
     if len(at) * 8 >= block:
-        counts = np.bincount(at, minlength=block)
-        if counts.max() < 16:
-            counts = counts.astype(np.uint8)
-            coder = zlib.compressobj(1, zlib.DEFLATED, -15, 9, zlib.Z_HUFFMAN_ONLY)
-            return True, coder.compress((counts[::2] | counts[1::2] << 4).tobytes()) + coder.flush()
+        return _packed_counts(np.bincount(at, minlength=block))
     return False, at.astype(np.uint32).tobytes()
 
 
+def _packed_counts(counts: np.ndarray) -> tuple[bool, bytes]:
+    """The counts of a block's places, an even number: as half a byte each, without their redundancy, or as places if those are few or one is too frequent."""
+    if counts.sum() * 8 >= len(counts) and counts.max() < 16:
+        counts = counts.astype(np.uint8)
+        coder = zlib.compressobj(1, zlib.DEFLATED, -15, 9, zlib.Z_HUFFMAN_ONLY)
+        return True, coder.compress((counts[::2] | counts[1::2] << 4).tobytes()) + coder.flush()
+    return False, np.repeat(np.arange(len(counts), dtype=np.uint32), counts).tobytes()
+
+
+def _packed_blocks(at: np.ndarray, n: int, block: int) -> Iterator[tuple[int, bool, bytes]]:
+    """The blocks that some of n places fall in, packed; places are sorted only where they are few among n."""
+    edges = np.arange(0, n + block, block)
+    if n <= 4 * len(at):
+        counts = np.bincount(at, minlength=edges[-1])
+        for k in range(len(edges) - 1):
+            if (part := counts[edges[k] : edges[k + 1]]).any():
+                yield k, *_packed_counts(part)
+    else:
+        at = np.sort(at)
+        ends = np.searchsorted(at, edges)
+        for k in np.flatnonzero(ends[1:] > ends[:-1]).tolist():
+            yield k, *_packed(at[ends[k] : ends[k + 1]] - edges[k], block)
+
+
 def _counts(dense: bool, packed: bytes, n: int) -> np.ndarray:
     """The counts of a block's n places again."""
     if not dense:
@@ -159,11 +180,9 @@ def _sums_in_blocks(numbered: DataFrame, tasks: DataFrame, columns: list[str], t
                 first, last = part * draws, min(n, part * draws + draws)
                 step = max(1, draws // (last - first))
                 for i in range(0, len(every), step):
-                    some, rows, edges = every[i : i + step], [], np.arange(0, n + block, block)
+                    some, rows = every[i : i + step], []
                     for b, at in zip(some, _places([text(group, b) for b in some], n, first, last)):
-                        at.sort()
-                        ends = np.searchsorted(at, edges)
-                        rows += [(group, k, b // meet_at_once, b, *_packed(at[ends[k] : ends[k + 1]] - edges[k], block)) for k in range(len(edges) - 1) if ends[k] < ends[k + 1]]
+                        rows += [(group, k, b // meet_at_once, b, *packed) for k, *packed in _packed_blocks(at, n, block)]
                     columns = [pa.array(v, t) for v, t in zip(zip(*rows), (pa.string(), pa.int64(), pa.int64(), pa.int64(), pa.bool_(), pa.binary()))]
                     yield pa.RecordBatch.from_arrays(columns, names=["group", "block", "q", "b", "dense", "counts"])
 

@@ -49,6 +49,17 @@ def test_counts_of_a_block_come_back():
         assert I._counts(dense, packed, 64).tolist() == np.bincount(at, minlength=64).tolist()
 
 
+@pytest.mark.parametrize("n,draws", [(1, 1), (600, 600), (600, 90), (1_000, 300), (129, 5_000)])
+def test_unsorted_places_are_counted_by_block(n, draws):
+    """Where draws are many for the places they are counted, not sorted; where one is too frequent or all are few, places are kept."""
+    at = np.random.default_rng(4).integers(0, n, draws)
+    found = np.zeros(-(-n // 64) * 64, int)
+    for k, dense, packed in I._packed_blocks(at, n, 64):
+        assert not found[64 * k : 64 * k + 64].any()
+        found[64 * k : 64 * k + 64] = I._counts(dense, packed, 64)
+    assert found[:n].tolist() == np.bincount(at, minlength=n).tolist() and not found[n:].any()
+
+
 def test_a_row_without_a_value_counts_where_it_is_drawn():
     items = I._Items(np.array([[1.0, 2.0, 3.0], [1.0, np.nan, 5.0]]))
     sums = items.sums(np.array([[2, 0, 1], [1, 1, 1]]))
