@@ -406,6 +406,9 @@ def test_quality_model(spark, docs, none):
     assert quality_model.judge_by_model(docs, labels.where("false")).where("kept").count() == sum(bool(r[1]) for r in ROWS)
 
 
+_wide_sum = quality_model.wide_sum
+
+
 def _kneser_ney(texts, order, size):
     """Interpolated modified Kneser-Ney by its definition, over lists of numbers: a function of (history, number)."""
     tables = [Counter() for _ in range(order + 1)]
@@ -499,6 +502,32 @@ def test_quality_model_wide_characters_have_a_distribution(spark):
                 assert sum(np.exp(quality_model.wide_sum(block, g)) for g in grams) == pytest.approx(1, abs=1e-5)
 
 
+@pytest.mark.parametrize("block", [16 << 20, 60])
+def test_quality_model_joins_n_grams_to_its_tables(spark, monkeypatch, block):
+    """In one block a task or several, no array of the model is made, and a text has the sum of both factors."""
+    import numpy as np
+
+    r = random.Random(3)
+    texts = ["".join(r.choices("ab c,1é日本語", k=r.randrange(1, 40))) for _ in range(40)] + [None, "", None, "語zq é新"]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").withColumn("lang", F.lit("en"))
+    labels = spark.createDataFrame([(i, 1, 0) for i in range(30)], "doc_id long, quality int, toxic int")
+    table, (wide,) = quality_model.train(docs, labels), quality_model.wide_blocks(quality_model.train_wide(docs, labels))
+    for name in ("train", "wide_blocks", "wide_sum"):
+        monkeypatch.setattr(quality_model, name, None)
+    monkeypatch.setattr(quality_model, "BLOCK_BYTES", block)
+    # the last task has texts without characters only
+    dealt = docs.where("length(text) > 0").coalesce(2).unionByName(docs.where("coalesce(text, '') = ''").coalesce(1))
+    rows = quality_model.judge_by_model(dealt, labels).collect()
+    found = {x["doc_id"]: x for x in rows}
+    assert sorted(found) == list(range(len(texts))) and len(rows) == len(texts)
+    for k, t in enumerate(texts):
+        told = None
+        if t:
+            parts = quality_model.wide_grams(t)
+            told = float(np.exp(-(table[quality_model.grams(t)].sum(dtype=np.float64) + _wide_sum(wide, parts)) / len(t)))
+        assert found[k]["perplexity"] == (told and pytest.approx(told, rel=1e-5))
+
+
 # 6 ---------------------------------------------------------------------------
 
 
