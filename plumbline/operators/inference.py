@@ -25,8 +25,8 @@ from plumbline.functions.stats import mae, pearson, rmse, row_index
 AT_HAND = 500_000
 #: Places of a block of items (even), and the resamples that meet a block at once.
 BLOCK, MEET = 1 << 18, 256
-#: Draws that a task makes at once.
-DRAWS = 1 << 21
+#: Draws that a task makes at once, and how many times that it counts together before they are shuffled.
+DRAWS, TOGETHER = 1 << 21, 4
 _SUMS, _ENDS = ("sp", "sy", "spp", "syy", "spy", "ae", "ee"), ("p_lo", "p_hi", "y_lo", "y_hi")
 _KEPT = ("w", "sp", "sy", "spp", "syy", "spy", "MAE", "RMSE", "p_varies", "y_varies")
 
@@ -146,14 +146,17 @@ def _packed_counts(counts: np.ndarray) -> tuple[bool, bytes]:
     return False, np.repeat(np.arange(len(counts), dtype=np.uint32), counts).tobytes()
 
 
+def _split_counts(counts: np.ndarray, block: int) -> Iterator[tuple[int, bool, bytes]]:
+    for k, part in enumerate(counts.reshape(-1, block)):
+        if part.any():
+            yield k, *_packed_counts(part)
+
+
 def _packed_blocks(at: np.ndarray, n: int, block: int) -> Iterator[tuple[int, bool, bytes]]:
     """The blocks that some of n places fall in, packed; places are sorted only where they are few among n."""
     edges = np.arange(0, n + block, block)
     if n <= 4 * len(at):
-        counts = np.bincount(at, minlength=edges[-1])
-        for k in range(len(edges) - 1):
-            if (part := counts[edges[k] : edges[k + 1]]).any():
-                yield k, *_packed_counts(part)
+        yield from _split_counts(np.bincount(at, minlength=edges[-1]), block)
     else:
         at = np.sort(at)
         ends = np.searchsorted(at, edges)
@@ -172,17 +175,30 @@ def _counts(dense: bool, packed: bytes, n: int) -> np.ndarray:
 def _sums_in_blocks(numbered: DataFrame, tasks: DataFrame, columns: list[str], text, resamples: int) -> DataFrame:
     """The same for items of any number: counts of draws meet blocks of items."""
     block, draws, meet_at_once = BLOCK, DRAWS, MEET
-    parts = tasks.select("group", "n", "b", F.explode(F.sequence(F.lit(0).cast("long"), F.floor((F.col("n") - 1) / draws))).alias("part"))
+    parts = tasks.select("group", "n", "b", F.explode(F.sequence(F.lit(0).cast("long"), F.floor((F.col("n") - 1) / (TOGETHER * draws)))).alias("part"))
+    together = TOGETHER * draws
+
+    def packed_blocks(texts: list[str], n: int, first: int, last: int):
+        """For each text the blocks of its draws; of more than a task makes at once there is one text."""
+        if last - first <= draws:
+            return [_packed_blocks(at, n, block) for at in _places(texts, n, first, last)]
+        pieces = (_places(texts, n, i, min(i + draws, last))[0] for i in range(first, last, draws))
+        if n > 4 * (last - first):
+            return [_packed_blocks(np.concatenate(list(pieces)), n, block)]
+        counts = np.zeros(-(-n // block) * block, np.int64)
+        for at in pieces:
+            counts += np.bincount(at, minlength=len(counts))
+        return [_split_counts(counts, block)]
 
     def deal(batches):
         for batch in batches:
             for (group, n, part), every in _same(batch, "group", "n", "part"):
-                first, last = part * draws, min(n, part * draws + draws)
+                first, last = part * together, min(n, part * together + together)
                 step = max(1, draws // (last - first))
                 for i in range(0, len(every), step):
                     some, rows = every[i : i + step], []
-                    for b, at in zip(some, _places([text(group, b) for b in some], n, first, last)):
-                        rows += [(group, k, b // meet_at_once, b, *packed) for k, *packed in _packed_blocks(at, n, block)]
+                    for b, blocks in zip(some, packed_blocks([text(group, b) for b in some], n, first, last)):
+                        rows += [(group, k, b // meet_at_once, b, *packed) for k, *packed in blocks]
                     columns = [pa.array(v, t) for v, t in zip(zip(*rows), (pa.string(), pa.int64(), pa.int64(), pa.int64(), pa.bool_(), pa.binary()))]
                     yield pa.RecordBatch.from_arrays(columns, names=["group", "block", "q", "b", "dense", "counts"])
 

@@ -42,6 +42,19 @@ def test_resamples_are_the_same_at_any_size(spark, monkeypatch, at_hand, block,
             assert (r["p_varies"], r["y_varies"]) == (p[at].min() < p[at].max(), y[at].min() < y[at].max())
 
 
+@pytest.mark.parametrize("draws", [40, 10, 5, 2])
+def test_draws_are_counted_together(spark, monkeypatch, draws):
+    """A resample of 90 rows in one part of several pieces, or in parts that are many or few draws for the places."""
+    for name, value in (("AT_HAND", 0), ("BLOCK", 16), ("DRAWS", draws), ("MEET", 7)):
+        monkeypatch.setattr(I, name, value)
+    values = np.random.default_rng(6).integers(0, 9, (90, 2)).astype(float)
+    df = spark.createDataFrame([(i, *v) for i, v in enumerate(values.tolist())], "at long, y double, p double")
+    found = {r["b"]: r["p"] for r in I.resampled(df, ["p"], n=90, resamples=5, seed="3").collect()}
+    for b in range(5):
+        at = [int(md5(f"3|{b}|{k}".encode()).hexdigest()[:12], 16) % 90 for k in range(90)]
+        assert found[b] == pytest.approx(np.corrcoef(values[at, 1], values[at, 0])[0, 1], abs=1e-9)
+
+
 def test_counts_of_a_block_come_back():
     rng = np.random.default_rng(2)
     for at in (np.sort(rng.integers(0, 64, 64)), np.sort(rng.integers(0, 64, 3)), np.zeros(64, int)):
