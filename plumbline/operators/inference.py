@@ -2,11 +2,12 @@
 
 A draw is a hash of (seed, resample, position), so resamples are the same in any
 order, on any cluster and in SQL. Tasks make the draws of a resample in numpy and
-count how often each item is drawn. While the items fit into a broadcast of checked
-size the counts meet them there and nothing is shuffled. Beyond that the items
-are packed into blocks of ``BLOCK`` places; the counts of a resample within a block,
-half a byte a place before compression, meet the block by key, and the sums
-over the blocks are added up. No row stands for a draw or for an item drawn.
+count how often each item is drawn. The items are packed into blocks of ``BLOCK``
+places; the counts of a resample within a block, half a byte a place before
+compression, meet the block by key, and the sums over the blocks are added up, so
+what is shuffled is in proportion to the draws. Only the few items of a small table
+are a broadcast that the counts meet where they are made. No row stands for a draw
+or for an item drawn.
 """
 
 from __future__ import annotations
@@ -21,8 +22,8 @@ from pyspark.sql import Column, DataFrame, Window, functions as F
 from plumbline.functions.hashed import leading_48_bits
 from plumbline.functions.stats import mae, pearson, rmse, row_index
 
-#: Items up to which they are broadcast to the draws, some 20 bytes a column each.
-AT_HAND = 500_000
+#: Items up to which they are broadcast to the draws: so few that their counts, were they shuffled, would be some MB.
+AT_HAND = 4_096
 #: Places of a block of items (even), and the resamples that meet a block at once.
 BLOCK, MEET = 1 << 18, 256
 #: Draws that a task makes at once, and how many times that it counts together before they are shuffled.
@@ -147,29 +148,32 @@ def _packed_counts(counts: np.ndarray) -> tuple[bool, bytes]:
 
 
 def _split_counts(counts: np.ndarray, block: int) -> Iterator[tuple[int, bool, bytes]]:
-    for k, part in enumerate(counts.reshape(-1, block)):
-        if part.any():
+    """The blocks of an even number of counts, packed; the last block may be short."""
+    for k in range(-(-len(counts) // block)):
+        if (part := counts[k * block : k * block + block]).any():
             yield k, *_packed_counts(part)
 
 
 def _packed_blocks(at: np.ndarray, n: int, block: int) -> Iterator[tuple[int, bool, bytes]]:
     """The blocks that some of n places fall in, packed; places are sorted only where they are few among n."""
-    edges = np.arange(0, n + block, block)
+    even = n + n % 2
     if n <= 4 * len(at):
-        yield from _split_counts(np.bincount(at, minlength=edges[-1]), block)
+        yield from _split_counts(np.bincount(at, minlength=even), block)
     else:
+        edges = np.arange(0, n + block, block)
         at = np.sort(at)
         ends = np.searchsorted(at, edges)
         for k in np.flatnonzero(ends[1:] > ends[:-1]).tolist():
-            yield k, *_packed(at[ends[k] : ends[k + 1]] - edges[k], block)
+            yield k, *_packed(at[ends[k] : ends[k + 1]] - edges[k], min(block, even - k * block))
 
 
 def _counts(dense: bool, packed: bytes, n: int) -> np.ndarray:
     """The counts of a block's n places again."""
     if not dense:
         return np.bincount(np.frombuffer(packed, np.uint32), minlength=n)
-    pairs = np.frombuffer(zlib.decompress(packed, -15), np.uint8)
-    return np.stack([pairs & 15, pairs >> 4], 1).ravel()[:n]
+    pairs, counts = np.frombuffer(zlib.decompress(packed, -15), np.uint8), np.zeros(n + n % 2, np.uint8)
+    counts[: 2 * len(pairs) : 2], counts[1 : 2 * len(pairs) : 2] = pairs & 15, pairs >> 4
+    return counts[:n]
 
 
 def _sums_in_blocks(numbered: DataFrame, tasks: DataFrame, columns: list[str], text, resamples: int) -> DataFrame:
@@ -185,7 +189,7 @@ def _sums_in_blocks(numbered: DataFrame, tasks: DataFrame, columns: list[str], t
         pieces = (_places(texts, n, i, min(i + draws, last))[0] for i in range(first, last, draws))
         if n > 4 * (last - first):
             return [_packed_blocks(np.concatenate(list(pieces)), n, block)]
-        counts = np.zeros(-(-n // block) * block, np.int64)
+        counts = np.zeros(n + n % 2, np.int64)
         for at in pieces:
             counts += np.bincount(at, minlength=len(counts))
         return [_split_counts(counts, block)]

@@ -4,6 +4,7 @@ from hashlib import md5
 
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
 from plumbline.functions.hashed import leading_48_bits
 from plumbline.operators import inference as I
@@ -73,6 +74,40 @@ def test_unsorted_places_are_counted_by_block(n, draws):
     assert found[:n].tolist() == np.bincount(at, minlength=n).tolist() and not found[n:].any()
 
 
+@pytest.mark.parametrize("n", [60_001, 300_000])
+def test_a_short_last_block_is_packed_as_its_size(n):
+    """Half a byte a place before compression, also where the places do not fill the last block."""
+    at = np.random.default_rng(8).integers(0, n, n)
+    packed = list(I._packed_blocks(at, n, 1 << 18))
+    assert all(dense for _, dense, _ in packed) and sum(len(p) for *_, p in packed) < 0.26 * n
+    sizes = [min(1 << 18, n - (k << 18)) for k, *_ in packed]
+    assert np.concatenate([I._counts(dense, p, m) for (_, dense, p), m in zip(packed, sizes)]).tolist() == np.bincount(at, minlength=n).tolist()
+
+
+def _shuffled(spark, run) -> int:
+    """Bytes that the stages of a call write for others to read."""
+    jvm, store = spark.sparkContext._jvm, spark.sparkContext._jsc.sc().statusStore()
+
+    def written() -> dict[int, int]:
+        spark.sparkContext._jsc.sc().listenerBus().waitUntilEmpty()
+        stages = store.stageList(None, False, False, spark.sparkContext._gateway.new_array(jvm.double, 0), jvm.java.util.ArrayList())
+        return {(s := stages.apply(i)).stageId(): s.shuffleWriteBytes() for i in range(stages.size())}
+
+    before = written()
+    run()
+    return sum(size for stage, size in written().items() if stage not in before)
+
+
+def test_what_is_shuffled_grows_as_the_rows(spark):
+    """Ten times the rows, from fewer to more than were once a broadcast, are ten times the bytes."""
+    value = lambda k: F.pmod(F.xxhash64("at", F.lit(k)), F.lit(50)).cast("double")
+    sizes = []
+    for n in (60_000, 600_000):
+        df = spark.range(n).select(F.col("id").alias("at"), value(1).alias("y"), value(2).alias("a"), value(3).alias("b2"))
+        sizes.append(_shuffled(spark, lambda: I.paired_bootstrap(df, n=n, resamples=12, seed="13").collect()))
+    assert 0 < sizes[1] < 11 * sizes[0]
+
+
 def test_a_row_without_a_value_counts_where_it_is_drawn():
     items = I._Items(np.array([[1.0, 2.0, 3.0], [1.0, np.nan, 5.0]]))
     sums = items.sums(np.array([[2, 0, 1], [1, 1, 1]]))
